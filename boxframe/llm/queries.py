@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from boxframe.llm.byte_bpe import tokenize
 from boxframe.llm.common import table
+from boxframe.llm.mixing import mix
+from boxframe.llm.sharding import shuffle_to_shards
 from boxframe.llm.simhash import simhash_components
 
 
@@ -14,8 +18,30 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op4_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    done = shuffle_to_shards(rows, shards=8)
+    return done.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return tokenize(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep=["doc_id"], with_ids=False)
+
+
+def op10_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_hypergeometric_sharding": op4_hypergeometric_sharding,
+    "op5_byte_bpe": op5_byte_bpe,
+    "op10_pareto_mixing": op10_pareto_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
