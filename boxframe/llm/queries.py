@@ -7,11 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boxframe.llm import toxicity
+from boxframe.llm.ann import nearest
 from boxframe.llm.byte_bpe import tokenize
+from boxframe.llm.chat_format import format_chats
 from boxframe.llm.common import table
+from boxframe.llm.html_extract import extract_main_text
+from boxframe.llm.media_jpeg import media_columns
 from boxframe.llm.mixing import mix
 from boxframe.llm.sharding import shuffle_to_shards
 from boxframe.llm.simhash import simhash_components
+from boxframe.llm.url_rules import judge, seed_labels
+
+#: Given rules: verdict, then host and path start.
+URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
+
+
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
+def op2_chat_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations"))
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,15 +49,43 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep=["doc_id"], with_ids=False)
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = judge(pages, URL_RULES, seed_labels(pages))
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.array_join("antecedent", " ").alias("mined_rule"), "confidence")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(documents, table(spark, sf_dir, "labels"))
+    return toxicity.score(documents, model).select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op9_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media_columns(table(spark, sf_dir, "documents"), keep=["doc_id"], with_media=False)
+    feature = F.concat_ws(":", F.concat_ws("x", "width", "height"), "average_hash", "difference_hash")
+    return stored.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
 def op10_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
+    "op2_chat_role_repair": op2_chat_role_repair,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_hypergeometric_sharding": op4_hypergeometric_sharding,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
+    "op7_url_rules": op7_url_rules,
+    "op8_toxicity": op8_toxicity,
+    "op9_jpeg_media": op9_jpeg_media,
     "op10_pareto_mixing": op10_pareto_mixing,
 }
 
