@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,8 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: A space next to white space of any kind.
+_LOOSE_SPACE = re.compile(r" \s|\s ")
 #: Pieces whose ids a worker remembers before it starts anew; bounds its memory.
 REMEMBERED = 200_000
+#: Bytes of a piece's start whose encoding is remembered.
+HEAD = 7
 
 
 class Vocabulary:
@@ -29,7 +34,9 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes = {i: t for t, i in ranks.items()}
-        self.lengths = sorted({len(t) for t in ranks}, reverse=True)
+        self.longest = max(map(len, ranks))
+        #: Pairs looked at so far, and whether they stand apart.
+        self.seen: dict[int, bool] = {}
         self.joined: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         #: Tokens that merging can make.
@@ -41,6 +48,8 @@ class Vocabulary:
                     self.joined[a, b], self.parts[i] = i, (a, b)
                     self.made.add(i)
                     break
+        self.usable = {t: i for t, i in ranks.items() if i in self.made}
+        self.size = {i: len(t) for t, i in ranks.items()}
 
     def apart(self, a: int, b: int) -> bool:
         """Whether merging the bytes of a then b gives just those two tokens.
@@ -62,6 +71,43 @@ class Vocabulary:
             else:
                 before, b = b + 1, self.parts[b][0]
 
+    def remember(self, pair: int) -> bool:
+        if len(self.seen) >= 2 * REMEMBERED:
+            self.seen.clear()
+        self.seen[pair] = apart = self.apart(pair >> 32, pair & 0xFFFFFFFF)
+        return apart
+
+    def extend(self, data: bytes, last: list[int], stop: int) -> None:
+        """Add to ``last`` the last tokens of the prefixes of ``data`` up to ``stop`` bytes.
+
+        Just one token is right at each end, so the shortest are tried first.
+        """
+        rank, seen, longest = self.usable.get, self.seen.get, self.longest
+        for end in range(len(last), stop + 1):
+            start = end
+            for start in range(end - 1, max(end - longest, 0) - 1, -1):  # noqa: B020
+                token = rank(data[start:end])
+                if token is not None:
+                    if not start:
+                        break
+                    pair = last[start] << 32 | token
+                    apart = seen(pair)
+                    if apart is None:
+                        apart = self.remember(pair)
+                    if apart:
+                        break
+            else:
+                raise ValueError(f"no token ends at byte {end}")
+            last.append(token)
+
+    def read(self, last: list[int], end: int) -> list[int]:
+        """The encoding of the first ``end`` bytes, from the last tokens of their prefixes."""
+        found, length = [], self.size
+        while end:
+            found.append(last[end])
+            end -= length[last[end]]
+        return found[::-1]
+
 
 class PrefixEncoder:
     """The ids of a growing or edited byte string.
@@ -76,20 +122,9 @@ class PrefixEncoder:
         self.vocabulary, self.data, self.last = vocabulary, b"", [-1]
         self.append(data)
 
-    def _last(self, end: int) -> int:
-        v = self.vocabulary
-        for n in v.lengths:
-            if n <= end:
-                token = v.ranks.get(self.data[end - n : end])
-                if token in v.made and (n == end or self.last[end - n] >= 0 and v.apart(self.last[end - n], token)):
-                    return token
-        raise ValueError(f"no token ends at byte {end}")
-
     def append(self, data: bytes) -> None:
-        start = len(self.data)
         self.data += data
-        for end in range(start + 1, len(self.data) + 1):
-            self.last.append(self._last(end))
+        self.vocabulary.extend(self.data, self.last, len(self.data))
 
     def replace(self, start: int, stop: int, data: bytes) -> int:
         """Put ``data`` for bytes start to stop; returns for how many ends a token was looked up.
@@ -101,10 +136,10 @@ class PrefixEncoder:
         self.data, self.last = self.data[:start] + data + tail, self.last[: start + 1]
         moved, same, looked = len(data) - (stop - start), 0, 0
         for end in range(start + 1, len(self.data) + 1):
-            if same >= self.vocabulary.lengths[0]:
+            if same >= self.vocabulary.longest:
                 self.last += old[end - moved :]
                 break
-            self.last.append(self._last(end))
+            self.vocabulary.extend(self.data, self.last, end)
             looked += 1
             behind = end - moved
             same = same + 1 if end > start + len(data) and old[behind] == self.last[-1] else 0
@@ -112,11 +147,7 @@ class PrefixEncoder:
 
     def ids(self, end: int | None = None) -> list[int]:
         """The encoding of the first ``end`` bytes (all, if None)."""
-        end, found = len(self.data) if end is None else end, []
-        while end:
-            found.append(self.last[end])
-            end -= len(self.vocabulary.bytes[self.last[end]])
-        return found[::-1]
+        return self.vocabulary.read(self.last, len(self.data) if end is None else end)
 
 
 class Pieces(dict):
@@ -125,12 +156,26 @@ class Pieces(dict):
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
+        #: Last tokens of first bytes that many pieces share; the rest is appended to a copy.
+        self.heads: dict[bytes, list[int]] = {}
+
+    def _ids(self, data: bytes) -> list[int]:
+        v, start = self.vocabulary, data[:HEAD]
+        head = self.heads.get(start)
+        if head is None:
+            if len(self.heads) >= REMEMBERED // 4:
+                self.heads.clear()
+            head = self.heads[start] = [-1]
+            v.extend(start, head, len(start))
+        last = head.copy()
+        v.extend(data, last, len(data))
+        return v.read(last, len(data))
 
     def __missing__(self, piece: str) -> bytes:
-        data, v = piece.encode(), self.vocabulary
-        whole = v.ranks.get(data)
-        ids = [whole] if whole is not None else PrefixEncoder(v, data).ids()
-        packed = np.array(ids, dtype="<u4").tobytes()
+        data = piece.encode()
+        whole = self.vocabulary.ranks.get(data)
+        ids = [whole] if whole is not None else self._ids(data)
+        packed = b"".join([i.to_bytes(4, "little") for i in ids])
         if len(piece) < 64:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -138,6 +183,25 @@ class Pieces(dict):
         return packed
 
 
+class Chunks(dict):
+    """Ids of a space and the word behind it, with the marks that cling to it; remembers a bounded number."""
+
+    def __init__(self, pieces: Pieces, pattern: str):
+        super().__init__()
+        self.pieces, self.cut = pieces, regex.compile(pattern)
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.cut.findall(text)))
+
+    def __missing__(self, chunk: str) -> bytes:
+        packed = self.encode(" " + chunk)
+        if len(chunk) < 64:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[chunk] = packed
+        return packed
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> Vocabulary:
     """A vocabulary of ranks, one a line: the token in base 64, a space, its rank."""
@@ -146,8 +210,8 @@ def load(path: str) -> Vocabulary:
 
 
 @lru_cache(maxsize=2)
-def _pieces(path: str) -> Pieces:
-    return Pieces(load(path))
+def _chunks(path: str, pattern: str) -> Chunks:
+    return Chunks(Pieces(load(path)), pattern)
 
 
 @lru_cache(maxsize=2)
@@ -156,23 +220,33 @@ def _decoder(path: str) -> list[bytes]:
     return [known.get(i, b"") for i in range(max(known) + 1)]
 
 
-def encode(text: str | None, pieces: Pieces, pattern: regex.Pattern) -> bytes:
-    """Ids of a text, as little-endian unsigned 32-bit integers: each match of the pattern by itself."""
-    return b"".join(map(pieces.__getitem__, pattern.findall(text or "")))
+def encode(text: str | None, chunks: Chunks, at_spaces: bool = True) -> bytes:
+    """Ids of a text, as little-endian unsigned 32-bit integers: each match of the pattern by itself.
+
+    ``at_spaces`` says that the pattern begins a match at every space between
+    two characters that aren't white space. Then texts in which all spaces
+    are such are cut there first, and a word seen before needs no matching.
+    """
+    if not text:
+        return b""
+    if not at_spaces or text[0] == " " or text[-1] == " " or _LOOSE_SPACE.search(text):
+        return chunks.encode(text)
+    first, *rest = text.split(" ")
+    return chunks.encode(first) + b"".join(map(chunks.__getitem__, rest))
 
 
 def decode(ids: bytes, tokens: list[bytes]) -> bytes:
     return b"".join(map(tokens.__getitem__, memoryview(ids).cast("I")))
 
 
-def tokenize(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None, with_ids: bool = True) -> DataFrame:
+def tokenize(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None, with_ids: bool = True, at_spaces: bool = True) -> DataFrame:
     """The ``keep`` columns of ``df`` (all, if None) with ids, n_tokens, ids_sha256 and decoded_sha256.
 
     Whole texts are cut into the matches of ``pattern`` and each is encoded by
     prefix dynamic programming; a piece that is itself a token is that token.
     The ids are then decoded, and both the ids (as little-endian unsigned
     32-bit integers) and the decoded bytes get their SHA-256. ``path`` is the
-    vocabulary's file, which every executor has.
+    vocabulary's file, which every executor has; for ``at_spaces`` see ``encode``.
 
     Defined cases: null text is empty and has no ids; rows are treated by
     themselves, so repeated rows, ties and empty tables need no care; columns
@@ -185,11 +259,11 @@ def tokenize(df: DataFrame, path: str, pattern: str, text_col: str = "text", kee
     kept = [c for c in (df.columns if keep is None else keep) if c not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, tokens, cut = _pieces(path), _decoder(path), regex.compile(pattern)
+        chunks, tokens = _chunks(path, pattern), _decoder(path)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                ids = [encode(text.as_py(), pieces, cut) for text in part.column(part.num_columns - 1)]
+                ids = [encode(text.as_py(), chunks, at_spaces) for text in part.column(part.num_columns - 1)]
                 counts = [len(x) // 4 for x in ids]
                 columns = [part.column(i) for i in range(part.num_columns - 1)]
                 if with_ids:

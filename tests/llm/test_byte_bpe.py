@@ -4,11 +4,10 @@ import random
 import numpy as np
 import public_tokenizers as P
 import pytest
-import regex
 import tiktoken
 from pyspark.sql import functions as F
 
-from boxframe.llm.byte_bpe import Pieces, PrefixEncoder, decode, encode, load, tokenize
+from boxframe.llm.byte_bpe import Chunks, Pieces, PrefixEncoder, decode, encode, load, tokenize
 
 PATH = P.path("byte_bpe_50k.tiktoken")
 
@@ -69,6 +68,14 @@ def test_documents_against_tiktoken(spark, sf_dir, plain):
         assert g.decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
 
 
+def test_spaces(vocabulary, plain):
+    rng, chunks = random.Random(3), Chunks(Pieces(vocabulary), P.PATTERN)
+    for _ in range(3000):
+        text = "".join(rng.choice(["a", "b1", "'s", "'", ".", " ", " ", " ", "\n", "\t", "\u00a0", "\x1c", "\x85", "é"]) for _ in range(rng.randrange(12)))
+        ids = plain.encode_ordinary(text)
+        assert encode(text, chunks) == encode(text, chunks, False) == np.array(ids, dtype="<u4").tobytes(), text
+
+
 def test_hard_texts(spark, plain, vocabulary):
     texts = [None, "", " ", "  \n\t x", "a" * 5000, "<|endoftext|> don't I'LL", "日本語 текст 😀   ", "1234567 ½ ²", "=" * 3000, "\x00\x7f"]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] * 2, "doc_id int, text string, ids string")
@@ -77,7 +84,7 @@ def test_hard_texts(spark, plain, vocabulary):
     for r in rows:
         assert r.ids == plain.encode_ordinary(texts[r.doc_id] or "")
     assert tokenize(df.limit(0), PATH, P.PATTERN).count() == 0
-    pieces, cut = Pieces(vocabulary), regex.compile(P.PATTERN)
+    chunks = Chunks(Pieces(vocabulary), P.PATTERN)
     tokens = [vocabulary.bytes.get(i, b"") for i in range(50256)]
-    assert all(decode(encode(t, pieces, cut), tokens) == (t or "").encode() for t in texts)
+    assert all(decode(encode(t, chunks, s), tokens) == (t or "").encode() for t in texts for s in (True, False))
     assert tokenize(df.withColumn("more", F.lit(1)), PATH, P.PATTERN, with_ids=False).columns == ["doc_id", "text", "ids", "more", "n_tokens", "ids_sha256", "decoded_sha256"]
