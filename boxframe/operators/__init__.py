@@ -1 +1 @@
-
+"""DataFrame operators: matching, duplicates, metrics, meters, augmentation, batching, decoding."""

@@ -1 +1 @@
-
+"""Structured Streaming over prediction files; an extension of the batch evaluation."""
