@@ -47,7 +47,7 @@ def crop_rectangle(box: Box, width: Column, height: Column) -> Box:
     """Whole pixels to cut out, cut to the image."""
     p = to_pixels(box, width, height)
     whole = lambda c: c.cast("long")
-    return Box(F.greatest(whole(p.x1), F.lit(0)), F.greatest(whole(p.y1), F.lit(0)), F.least(whole(p.x2), width.cast("long")), F.least(whole(p.y2), height.cast("long")))
+    return Box(F.greatest(whole(p.x1), F.lit(0)), F.greatest(whole(p.y1), F.lit(0)), F.least(whole(p.x2), F.lit(width).cast("long")), F.least(whole(p.y2), F.lit(height).cast("long")))
 
 
 def is_mol(category: Column) -> Column:
@@ -67,7 +67,7 @@ def from_center(cx: Column, cy: Column, w: Column, h: Column) -> Box:
 
 
 def clamp(box: Box, width: Column, height: Column) -> Box:
-    inside = lambda c, most: F.least(F.greatest(c, F.lit(0.0)), most)
+    inside = lambda c, most: F.least(F.greatest(c, F.lit(0.0)), F.lit(most))
     return Box(inside(box.x1, width), inside(box.y1, height), inside(box.x2, width), inside(box.y2, height))
 
 

@@ -9,7 +9,7 @@ from boxframe.functions import geometry as G
 from boxframe.operators import dedup, matching, metrics
 from boxframe.plans import proxies as P
 
-W, H = F.lit(P.WIDTH), F.lit(P.HEIGHT)
+W, H = P.WIDTH, P.HEIGHT
 KEY = ["image_id", "box_idx"]
 
 

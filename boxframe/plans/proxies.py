@@ -33,7 +33,7 @@ def gold_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     part, supplier = F.col("l_partkey"), F.col("l_suppkey")
     d = lambda c: c.cast("double")
     xywh = F.col("l_quantity") * 10.0, d(supplier % 50) * 10.0, d(20 + part % 300), d(20 + part % 7 * 30)
-    box = from_xywh(*xywh, F.lit(WIDTH), F.lit(HEIGHT))
+    box = from_xywh(*xywh, WIDTH, HEIGHT)
     return lines.select(
         F.col("l_orderkey").alias("image_id"),
         "box_idx",
