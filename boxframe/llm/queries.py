@@ -89,4 +89,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pareto_mixing": op10_pareto_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The mix by plain windows over whole sources.
+_MIX = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    (CAST('0x' || substr(md5(concat_ws(':', '42', coalesce(CAST(doc_id AS VARCHAR), ''), md5(coalesce(text, '')))), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496e0 AS u FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [3e0, 1e0, 2e0][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS w, 2e0 * source_size AS most FROM s),
+l AS (SELECT *, most / w AS level, 1.5e0 * CAST(sum(source_size) OVER () AS BIGINT) AS total, sum(w) OVER () AS all_w FROM w),
+f AS (SELECT *, sum(most) OVER o + level * (all_w - sum(w) OVER o) <= total AS is_full FROM l
+  WINDOW o AS (ORDER BY level, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+t AS (SELECT source, source_size, CASE WHEN is_full THEN most ELSE
+  (total - sum(CASE WHEN is_full THEN most ELSE 0e0 END) OVER ()) / nullif(sum(CASE WHEN is_full THEN 0e0 ELSE w END) OVER (), 0e0) * w END AS target FROM f),
+p AS (SELECT *, coalesce(target / nullif(CAST(source_size AS DOUBLE), 0e0), 0e0) AS f FROM t),
+r AS (SELECT d.doc_id, d.source, d.size, p.source_size, p.target, floor(f) AS whole, f - floor(f) AS part, target - floor(f) * source_size AS rest,
+    u / (1 - u) / (least(greatest(f - floor(f), 1e-12), 1 - 1e-12) / (1 - least(greatest(f - floor(f), 1e-12), 1 - 1e-12))) AS odds
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+k AS (SELECT *, odds / (1 + odds) AS place, sum(size) OVER (PARTITION BY source ORDER BY odds / (1 + odds) RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS till FROM r),
+c AS (SELECT source, coalesce(max(place) FILTER (WHERE till <= rest), 0e0) AS cut, coalesce(max(till) FILTER (WHERE till <= rest), 0) AS till FROM k WHERE part > 0 AND rest > 0 GROUP BY source),
+x AS (SELECT k.source, arg_min(k.place, (abs(k.rest - c.till - k.size), k.place)) AS extra FROM k JOIN c ON k.source IS NOT DISTINCT FROM c.source
+  WHERE part > 0 AND rest > 0 AND k.place > c.cut AND abs(k.rest - c.till - k.size) < k.rest - c.till GROUP BY k.source)
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN part > 0 AND rest > 0 AND (place <= c.cut OR place = x.extra) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM k LEFT JOIN c ON k.source IS NOT DISTINCT FROM c.source LEFT JOIN x ON k.source IS NOT DISTINCT FROM x.source
+"""
+
+ORACLE_SQL: dict[str, str] = {"op10_pareto_mixing": _MIX}
