@@ -97,8 +97,8 @@ def free_spans(boxes: DataFrame, keys: list[str], low: str, high: str, size: Col
 def crop_region(spans: DataFrame, keys: list[str], seed: int) -> DataFrame:
     """(keys, low, high): a cut between points drawn in two different spans of each axis; axes with one span get two points in it."""
     order = F.xxhash64(F.lit(seed), *keys, "start", "stop")
-    pick = spans.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(order, "start", "stop"))).filter("k <= 2")
-    point = pick.select(*keys, whole(seed + 1, F.col("start"), F.col("stop"), *map(F.col, keys), F.col("k")).alias("at"), whole(seed + 2, F.col("start"), F.col("stop"), *map(F.col, keys), F.col("k")).alias("other"))
+    pick = spans.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(order, "start", "stop"))).filter("__nth <= 2")
+    point = pick.select(*keys, whole(seed + 1, F.col("start"), F.col("stop"), *map(F.col, keys), F.col("__nth")).alias("at"), whole(seed + 2, F.col("start"), F.col("stop"), *map(F.col, keys), F.col("__nth")).alias("other"))
     both = point.groupBy(*keys).agg(F.count("*").alias("n"), F.min("at").alias("a"), F.max("at").alias("b"), F.min("other").alias("c"))
     high = F.when(F.col("n") > 1, F.col("b")).otherwise(F.greatest("a", "c"))
     low = F.when(F.col("n") > 1, F.col("a")).otherwise(F.least("a", "c"))
