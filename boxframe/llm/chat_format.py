@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxframe.llm.common import checkpointed
@@ -141,7 +141,8 @@ def format_chats(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
     have an empty turn put before it (3). Dynamic programming over the
     automaton's states finds the cheapest repair of a whole conversation.
 
-    Turn numbers cut a conversation into parts of ``part_turns``. Each part
+    Turn numbers cut a conversation into ranges of ``part_turns``, and a range
+    in which numbers repeat is cut again, so a part has no more turns. Each part
     gives a small matrix of least costs between states; the matrices of a
     conversation, not its turns, meet in one task, which fixes the states at
     the borders; each part is then repaired and rendered by itself. The parts
@@ -149,14 +150,16 @@ def format_chats(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
     conversation; cost is the whole conversation's.
 
     Defined cases: turns are ordered by number, role and text, null first;
-    null turn numbers are a part of their own at the start; null or unknown
+    null turn numbers are parts of their own at the start; null or unknown
     roles take the cheapest; null texts are empty; a null id is a
     conversation; repeated rows are turns of their own; an empty table gives
     an empty result; other columns are ignored.
     """
     chosen = df.select(F.col(id_col).alias("id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = chosen.groupBy("id", F.floor(F.col("turn") / part_turns).alias("part")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    parts = checkpointed(parts.select("id", "part", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts")))
+    ranged = chosen.withColumn("range", F.floor(F.col("turn") / part_turns))
+    place = F.row_number().over(Window.partitionBy("id", "range").orderBy("turn", "role", "text")) - 1
+    parts = ranged.withColumn("cut", F.floor(place / part_turns)).groupBy("id", "range", "cut").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    parts = checkpointed(parts.select("id", F.struct("range", "cut").alias("part"), F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts")))
 
     @F.pandas_udf("array<double>")
     def costs(roles):
@@ -173,7 +176,7 @@ def format_chats(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
     rows = parts.select("id", "part", costs("roles").alias("matrix"))
     whole = rows.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("part", "matrix"))).alias("all")).select("id", "all.part", ways("all.matrix").alias("way"))
     place = F.posexplode("part").alias("at", "of")
-    whole = whole.select("id", "way", place).select(F.col("id").alias("__id"), F.col("of").alias("__of"), F.col("way")[0].alias("cost"), F.get("way", F.col("at") + 1).cast("int").alias("first"), F.get("way", F.col("at") + 2).cast("int").alias("last"), (F.size("way") == F.col("at") + 3).alias("ends"))
+    whole = whole.select("id", "way", place).select(F.col("id").alias("__id"), F.col("of").alias("__of"), F.col("way")[0].alias("cost"), F.col("at").cast("long").alias("number"), F.get("way", F.col("at") + 1).cast("int").alias("first"), F.get("way", F.col("at") + 2).cast("int").alias("last"), (F.size("way") == F.col("at") + 3).alias("ends"))
     joined = parts.join(whole, F.col("id").eqNullSafe(F.col("__id")) & F.col("part").eqNullSafe(F.col("__of"))).drop("__id", "__of")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,5 +190,5 @@ def format_chats(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
                 yield pa.RecordBatch.from_arrays(columns, ["id", "part", "n_turns", "n_messages", "first_state", "last_state", "cost", "rendered"])
 
     kind = chosen.schema["id"].dataType.simpleString()
-    done = joined.select("id", "part", "roles", "texts", "cost", "first", "last", "ends").mapInArrow(run, f"id {kind}, part long, n_turns long, n_messages long, first_state string, last_state string, cost double, rendered string")
+    done = joined.select("id", "number", "roles", "texts", "cost", "first", "last", "ends").mapInArrow(run, f"id {kind}, part long, n_turns long, n_messages long, first_state string, last_state string, cost double, rendered string")
     return done.withColumnRenamed("id", id_col)

@@ -72,5 +72,7 @@ def test_hard_rows(spark):
     assert got[1].rendered == "<|user|>\na\n<|assistant|>\nb" and got[1].cost == RELABEL
     assert got[2].cost == GUESS + INSERT and got[None].rendered == "<|user|>\n\n<|assistant|>\nx"
     assert got[3].rendered == "<|user|>\n\n<|assistant|>\n" and got[4].n_messages == 2
+    same = format_chats(df.filter("conv_id = 4").unionByName(df.filter("conv_id = 4")), part_turns=3).orderBy("part").collect()
+    assert [(r.part, r.n_turns) for r in same] == [(0, 3), (1, 1)] and {r.cost for r in same} == {2 * RELABEL}
     assert format_chats(df.limit(0)).count() == 0
     assert len(ROLES) == 3
