@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxframe.functions.geometry import Box, iou
-from boxframe.schemas import CONDITION, MATCH_IOU, MOL, PRODUCT, REACTANT, ROLES
+from boxframe.schemas import BOX, CONDITION, MATCH_IOU, MOL, PRODUCT, REACTANT, ROLES
 
 
 def let(value: Column, then) -> Column:
@@ -94,6 +94,28 @@ def compare(left: Column, right: Column, mol_only: bool = False, merge_condition
     return let(sides, same)
 
 
+# What a mode of evaluation compares.
+MODES = {"exact": {}, "soft": {"mol_only": True, "merge_condition": True}, "mol_only": {"mol_only": True}}
+
+
+def image_counts(gold: DataFrame, pred: DataFrame, images: DataFrame, image: list[str], mode: str = "exact", digits: int | None = None) -> DataFrame:
+    """Rows of ``images`` with hits and totals of both sides: gold_hits, gold_total, pred_hits, pred_total.
+
+    Both sides' reactions of an image come together in one row by equi-joins
+    on the image alone, so nothing is shuffled by reaction or pair; each pair
+    is compared once. Images without reactions count 0.
+    """
+    arrays = [side.groupBy(*image).agg(F.collect_list("boxes").alias(name)) for side, name in ((gold, "g"), (pred, "p"))]
+    none = F.expr(f"cast(array() as array<array<{BOX}>>)")
+    both = images.join(arrays[0], image, "left").join(arrays[1], image, "left").withColumns({c: F.coalesce(c, none) for c in "gp"})
+    same = F.transform("g", lambda x: F.transform("p", lambda y: compare(x, y, digits=digits, **MODES[mode])))
+    any_row = lambda m: F.size(F.filter(m, lambda row: F.array_contains(row, True)))
+    any_column = lambda m: F.size(F.filter(F.sequence(F.lit(0), F.size("p")), lambda j: F.exists(m, lambda row: F.coalesce(F.get(row, j), F.lit(False)))))
+    counted = let(same, lambda m: F.struct(any_row(m).cast("long").alias("gold_hits"), any_column(m).cast("long").alias("pred_hits")))
+    done = both.select(*images.columns, F.size("g").cast("long").alias("gold_total"), F.size("p").cast("long").alias("pred_total"), counted.alias("h"))
+    return done.select(*images.columns, "h.gold_hits", "gold_total", "h.pred_hits", "pred_total")
+
+
 def hits(gold: DataFrame, pred: DataFrame, image: list[str], digits: int | None = None, modes: tuple[str, ...] = ("exact", "soft")) -> DataFrame:
     """(image, side, rxn_id, one hit flag for each mode) for each reaction of either side.
 
@@ -104,8 +126,7 @@ def hits(gold: DataFrame, pred: DataFrame, image: list[str], digits: int | None
     for all modes.
     """
     g, p = gold.select(*image, F.col("rxn_id").alias("g"), F.col("boxes").alias("gb")), pred.select(*image, F.col("rxn_id").alias("p"), F.col("boxes").alias("pb"))
-    rules = {"exact": {}, "soft": {"mol_only": True, "merge_condition": True}, "mol_only": {"mol_only": True}}
-    pairs = g.join(p, image).select(*image, "g", "p", *(compare(F.col("gb"), F.col("pb"), digits=digits, **rules[m]).alias(m) for m in modes))
+    pairs = g.join(p, image).select(*image, "g", "p", *(compare(F.col("gb"), F.col("pb"), digits=digits, **MODES[m]).alias(m) for m in modes))
     either = F.inline(F.array(F.struct(F.lit("gold").alias("side"), F.col("g").alias("rxn_id")), F.struct(F.lit("pred").alias("side"), F.col("p").alias("rxn_id"))))
     flagged = pairs.select(*image, *modes, either).groupBy(*image, "side", "rxn_id").agg(*(F.max(m).alias(m) for m in modes))
     every = gold.select(*image, F.lit("gold").alias("side"), "rxn_id").unionByName(pred.select(*image, F.lit("pred").alias("side"), "rxn_id"))

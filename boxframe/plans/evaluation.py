@@ -99,8 +99,7 @@ def reaction_compare_soft(spark, d):
 
 
 def _counts(spark, d, mode):
-    flags = matching.hits(P.gold(spark, d), P.pred(spark, d), ["image_id"], P.DIGITS, (mode,))
-    return metrics.per_image(flags, P.image(spark, d), ["image_id"], mode)
+    return matching.image_counts(P.gold(spark, d), P.pred(spark, d), P.image(spark, d), ["image_id"], mode, P.DIGITS)
 
 
 def eval_exact_overall(spark, d):

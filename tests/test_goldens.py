@@ -88,6 +88,8 @@ def test_hits_and_scores(spark):
     pred = spark.createDataFrame([(1, 0, whole), (1, 1, [box(0, 0.3), box(2, 0.8)])], KIND)
     images = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "image_id long, diagram_type string")
     counts = metrics.per_image(matching.hits(gold, pred, ["image_id"]), images, ["image_id"], "exact")
+    direct = matching.image_counts(gold, pred, images, ["image_id"])
+    assert sorted(map(tuple, direct.collect())) == sorted(map(tuple, counts.select(direct.columns).collect()))
     r = metrics.evaluate(counts).first()
     assert (r.gold_hits, r.gold_total, r.pred_hits, r.pred_total, r.images) == (2, 3, 1, 2, 3)
     assert r.precision == 0.5 and r.recall == pytest.approx(2 / 3) and r.f1 == pytest.approx(2 * 0.5 * (2 / 3) / (0.5 + 2 / 3))
