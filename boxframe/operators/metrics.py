@@ -45,3 +45,9 @@ def summarize(counts: DataFrame) -> DataFrame:
     """By number of gold reactions, with a row (size null) over all: one pass of grouping sets."""
     done = counts.withColumn("size", F.col("gold_total")).rollup("size").agg(*(F.sum(c).cast("long").alias(c) for c in NUMBERS), F.count("*").alias("images"))
     return done.select("size", *NUMBERS, "images", *scores(*map(F.col, NUMBERS)))
+
+
+def table(df: DataFrame, name: Column) -> DataFrame:
+    """One text line for each row of scores, in percent."""
+    parts = [F.format_string("%5.1f", 100 * F.col(c)) for c in ("precision", "recall", "f1")]
+    return df.select(F.concat_ws("  ", F.rpad(name, 20, " "), *parts).alias("line"))

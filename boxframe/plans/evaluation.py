@@ -136,6 +136,11 @@ def eval_cv_union(spark, d):
     return metrics.evaluate(together, ["split"])
 
 
+def score_table(spark, d):
+    """Printed lines of exact scores by kind of diagram."""
+    return metrics.table(metrics.evaluate(_counts(spark, d, "exact"), ["diagram_type"]), F.col("diagram_type"))
+
+
 def eval_images(spark, d):
     flags = matching.hits(P.gold(spark, d), P.pred(spark, d), ["image_id"], P.DIGITS, ("exact",))
     return metrics.per_image(flags, P.image(spark, d).select("image_id"), ["image_id"], "exact")
@@ -167,7 +172,7 @@ def postprocess_reactions(spark, d):
     return done.select("image_id", "rxn_id", F.size("boxes").cast("long").alias("n_boxes"))
 
 
-QUERIES = {f.__name__: f for f in (bbox_normalize, bbox_unnormalize, bbox_flags, bbox_crop_rect, bbox_to_coco, bbox_center, clamp_boxes, iou_pairs, bbox_match, bbox_match_category, reaction_schema, reaction_compare_exact, reaction_compare_soft, eval_exact_overall, eval_soft_overall, eval_by_size, eval_by_group, eval_by_group_soft, eval_summarize, eval_cv_union, eval_images, dedup_boxes, dedup_boxes_all, dedup_reactions, postprocess_reactions)}
+QUERIES = {f.__name__: f for f in (bbox_normalize, bbox_unnormalize, bbox_flags, bbox_crop_rect, bbox_to_coco, bbox_center, clamp_boxes, iou_pairs, bbox_match, bbox_match_category, reaction_schema, reaction_compare_exact, reaction_compare_soft, eval_exact_overall, eval_soft_overall, eval_by_size, eval_by_group, eval_by_group_soft, eval_summarize, eval_cv_union, score_table, eval_images, dedup_boxes, dedup_boxes_all, dedup_reactions, postprocess_reactions)}
 
 V = P.VIEWS
 _FOUND = f"best AS (SELECT g.image_id, g.rxn_id, g.box_idx AS gold_idx, p.place, %s AS iou FROM g JOIN p USING (image_id, rxn_id)), ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id, rxn_id, gold_idx ORDER BY iou DESC, place) AS k FROM best)"
@@ -210,6 +215,7 @@ ORACLE_SQL = {
     "eval_by_group_soft": P.scores_sql("soft", "diagram_type"),
     "eval_summarize": f"{V}, {P.EXACT}, {P.counts_sql('exact')}, sized AS (SELECT *, gold_total AS size FROM counts) SELECT size, {P.SCORES} FROM (SELECT {P.RATES} FROM (SELECT size, {P.SUMS} FROM sized GROUP BY ROLLUP (size)))",
     "eval_cv_union": P.scores_sql("exact", "split"),
+    "score_table": f"SELECT concat_ws('  ', rpad(diagram_type, 20, ' '), {', '.join(f"printf('%5.1f', 100 * {c})" for c in ('precision', 'recall', 'f1'))}) AS line FROM ({P.scores_sql('exact', 'diagram_type')})",
     "eval_images": f"{V}, {P.EXACT}, {P.counts_sql('exact')} SELECT image_id, gold_hits, gold_total, pred_hits, pred_total FROM counts",
     "dedup_boxes": f"{_RECURSIVE}, {_FOLD}, done AS (SELECT image_id, rxn_id, arg_max(stay, t) AS stay FROM fold GROUP BY ALL) SELECT t.image_id, t.rxn_id, t.box_idx FROM turns t JOIN done USING (image_id, rxn_id) WHERE list_contains(done.stay, t.t)",
     "dedup_boxes_all": f"{V} SELECT b.image_id, b.rxn_id, b.box_idx FROM g b WHERE NOT EXISTS (SELECT 1 FROM g a WHERE a.image_id = b.image_id AND a.rxn_id = b.rxn_id AND a.place < b.place AND {P.iou_sql('a', 'b')} > 0.6e0)",
