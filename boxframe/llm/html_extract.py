@@ -79,6 +79,8 @@ class Lines(HTMLParser):
         if "hidden" in known or known.get("aria-hidden") == "true" or "display:none" in (known.get("style") or "").replace(" ", "").lower():
             return True
         words = {w.lower() for k in ("class", "id", "role") for w in _WORDS.findall(known.get(k) or "")}
+        if tag == "div" and "header" in words and not top.landmark and not words & MAIN_WORDS:
+            return True
         return bool(words & ASIDE_WORDS) and not (words & MAIN_WORDS and not words & {"comment", "comments", "ad", "ads", "related", "sponsored"})
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:

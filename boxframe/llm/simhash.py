@@ -177,18 +177,26 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
     """The rows of ``df`` that stay: one of each near-duplicate group, with all columns.
 
-    The row with the group's smallest id stays; of several rows with that id
-    one stays. Rows without id stay only if no row with an id has their
+    The row with the group's smallest id stays; of several equal ones, one.
+    Where rows share an id but not their fingerprint, each is treated by its
+    own fingerprint. Rows without id stay only if no row with an id has their
     fingerprint, one for each fingerprint.
     """
-    groups = simhash_components(df, id_col, text_col, radius)
-    stay = groups.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__stay")).distinct()
-    kept = df.join(stay, F.col(id_col) == F.col("__stay"), "left_semi").dropDuplicates([id_col])
+    groups = checkpointed(simhash_components(df, id_col, text_col, radius).select(F.col(id_col).alias("__id"), F.col("fingerprint").alias("__print"), "component_id"))
+    first = groups.filter(F.col("__id") == F.col("component_id"))
+    kept = df.join(first.select("__id"), F.col(id_col) == F.col("__id"), "left_semi")
 
     @F.pandas_udf("string")
     def printed(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: f"{fingerprint(t):016x}").astype(object)
 
-    nameless = df.filter(F.col(id_col).isNull()).withColumn("__print", printed(text_col))
-    named = groups.filter(F.col(id_col).isNotNull()).select(F.col("fingerprint").alias("__named"))
-    return kept.unionByName(nameless.join(named, F.col("__print") == F.col("__named"), "left_anti").dropDuplicates(["__print"]).drop("__print"))
+    shared = groups.filter("__id is not null").groupBy("__id").agg(F.count_distinct("__print").alias("n")).filter("n > 1").select("__id")
+    if shared.limit(1).count():
+        own = df.join(shared, F.col(id_col) == F.col("__id"), "left_semi").withColumn("__own", printed(text_col))
+        own = own.join(first, (F.col(id_col) == F.col("__id")) & (F.col("__own") == F.col("__print")), "left_semi").dropDuplicates([id_col, "__own"]).drop("__own")
+        kept = kept.join(shared, F.col(id_col) == F.col("__id"), "left_anti").dropDuplicates([id_col]).unionByName(own)
+    else:
+        kept = kept.dropDuplicates([id_col])
+    nameless = df.filter(F.col(id_col).isNull()).withColumn("__own", printed(text_col))
+    named = groups.filter("__id is not null")
+    return kept.unionByName(nameless.join(named, F.col("__own") == F.col("__print"), "left_anti").dropDuplicates(["__own"]).drop("__own"))

@@ -17,6 +17,7 @@ CASES = {
     "<div class='post-content'><p>Long enough a text that it stands out.</p><p>x</p><div class='comments'><p>I disagree with all of this, and say so at length.</p></div></div>": "Long enough a text that it stands out. x",
     "<article><p>Body.</p><article class='comment'><p>A reader says something long here.</p></article></article>": "Body.",
     "<article><header><h1>Kept</h1></header><p>Text &lt;b&gt; &#233;&nbsp;e</p><footer>By me</footer></article>": "Kept Text <b> é e",
+    "<div class='site-header'><p>The name of the site, said at some length.</p></div><div id='content'><p>What it's all about, in a sentence.</p></div>": "What it's all about, in a sentence.",
     "<article></article>": "",
     "<article><p>Cut off &am": "Cut off &am",
 }

@@ -93,4 +93,6 @@ def test_hard_rows(spark):
     kept = sorted((str(r.doc_id), r.text[:3] if r.text else r.text) for r in near_dedup(df).collect())
     assert kept == [("1", None), ("3", "one"), ("8", "w0 "), ("None", "two")]
     assert near_dedup(df).columns == df.columns
+    twice = spark.createDataFrame([(3, "alpha beta gamma delta"), (5, "alpha beta gamma delta"), (5, "quite another text here"), (5, "quite another text here")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text[:5]) for r in near_dedup(twice).collect()) == [(3, "alpha"), (5, "quite")]
     assert simhash_components(df.limit(0)).count() == 0
