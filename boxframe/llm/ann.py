@@ -73,15 +73,26 @@ class Index:
         row, place = np.nonzero(np.isfinite(np.take_along_axis(found, ranked, axis=1)))
         return row, ranked[row, place]
 
-    def read_by(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) pairs: the lists a query reads."""
-        return np.nonzero(np.isfinite(self.near(self.lift(vectors, False), self.read_ratio)))
+    def read_by(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, list, distance) triples: the lists a query reads."""
+        found = self.near(self.lift(vectors, False), self.read_ratio)
+        row, own = np.nonzero(np.isfinite(found))
+        return row, own, found[row, own]
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1) - 2 * a @ b.T, 0.0)
 
 
+def _chain(apart: np.ndarray) -> list[int]:
+    """An order in which each is followed by the nearest one left, so that numbers near each other are near in space."""
+    apart, order = apart.copy(), [0]
+    for _ in range(len(apart) - 1):
+        apart[:, order[-1]] = np.inf
+        order.append(int(apart[order[-1]].argmin()))
+    return order
+
+
 def fit(sample: np.ndarray, most: float, lists: int, top: int, recall: float = 0.97, copies: int = 3, copy_ratio: float = 1.05, degree: int = 24, rounds: int = 10, seed: int = 42) -> Index:
     """Balanced centroids of a bounded sample, their graph, and the read ratio that ``recall`` needs.
 
@@ -104,6 +115,7 @@ def fit(sample: np.ndarray, most: float, lists: int, top: int, recall: float = 0
         np.add.at(sums, near, lifted)
         centroids = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], centroids)
         weight = (np.maximum(sizes, 1) * lists / len(lifted)) ** 0.1
+    centroids = centroids[_chain(_distances(centroids, centroids))]
     apart = _distances(centroids, centroids)
     degree = min(degree, lists)
     neighbours = np.argsort(apart, axis=1, kind="stable")[:, :degree].copy()
@@ -125,13 +137,14 @@ def fit(sample: np.ndarray, most: float, lists: int, top: int, recall: float = 0
     return index
 
 
-def best_of(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, allowed: np.ndarray, top: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query row: places of its ``top`` best vectors, best first, ties to the smaller id, and scores.
+def best_of(queries: np.ndarray, least_scores: np.ndarray, vectors: np.ndarray, ids: np.ndarray, allowed: np.ndarray, top: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query row: places of its ``top`` best vectors of at least its least score, best first, ties to the smaller id, and scores.
 
     A matrix product finds all that may be among them; their scores are then
     summed in one order, so equal vectors have equal scores.
     """
     rough = queries @ vectors.T
+    allowed = allowed & (rough >= (least_scores - 1e-9 * (1 + np.abs(np.where(np.isfinite(least_scores), least_scores, 0.0))))[:, None])
     rough[~allowed] = -np.inf
     for i in range(len(queries)):
         have = int(allowed[i].sum())
@@ -141,6 +154,7 @@ def best_of(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids
         at = np.flatnonzero(rough[i] >= least - 1e-9 * (1 + abs(least)))
         at = at[np.isfinite(rough[i][at])]
         exact = (vectors[at] * queries[i]).sum(axis=1)
+        at, exact = at[exact >= least_scores[i]], exact[exact >= least_scores[i]]
         order = np.lexsort((ids[at], -exact))[:top]
         yield i, at[order], exact[order]
 
@@ -156,6 +170,7 @@ def nearest(
     list_rows: int = 512,
     most_lists: int = 4_096,
     shelf_rows: int = 8_192,
+    near_shelves: int = 3,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``top`` largest inner products found for each query.
 
@@ -170,8 +185,11 @@ def nearest(
     is spread over several by a hash, so a crowd of equal vectors is no task
     of its own. A query is sent to the shelves of the lists within the
     distance ratio, in packs of bounded size; a task multiplies one shelf
-    with one pack and gives at most ``top`` rows for each query. Nothing
-    found is capped but by ``top``.
+    with one pack and gives at most ``top`` rows for each query. The
+    ``near_shelves`` nearest come first; from the others only vectors come
+    back that are no worse than the ``top``-th best found there, so what is
+    sent doesn't grow with the number of shelves. Nothing found is capped but
+    by ``top``.
 
     Defined cases: rows without id and vectors that are null, empty, zero,
     shorter than the rest, or hold null or non-finite numbers take no part;
@@ -197,13 +215,8 @@ def nearest(
                 for start in range(0, batch.num_rows, 1024):
                     part = batch.slice(start, 1024)
                     vectors = np.array(part.column(1).flatten()).reshape(-1, wide)
-                    row, own = index.read_by(vectors) if reads else index.stored_in(vectors)
-                    picked = pa.array(row)
-                    if reads:
-                        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(vectors)))]).astype(np.int32))
-                        yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(own.astype(np.int32)))], ["uid", "lists"])
-                    else:
-                        yield pa.RecordBatch.from_arrays([part.column(0).take(picked), pa.array(own.astype(np.int32))], ["uid", "list"])
+                    row, own, *away = index.read_by(vectors) if reads else index.stored_in(vectors)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(own.astype(np.int32)), *map(pa.array, away)], ["uid", "list", "away"][: 2 + reads])
 
         return run
 
@@ -211,7 +224,7 @@ def nearest(
     stored = checkpointed(slim.mapInArrow(to_lists(False), "uid long, list int"))
     sizes = stored.groupBy("list").agg(F.count("*").alias("n"))
     # Lists in order fill shelves; there are at most ``most_lists`` of them.
-    shelf_of, pieces, shelf, filled = [], [], 0, 0
+    shelf_of, shelf, filled = [], 0, 0
     for r in sizes.orderBy("list").collect():
         cut = -(-r.n // shelf_rows)
         if cut == 1 and filled + r.n > shelf_rows:
@@ -226,19 +239,13 @@ def nearest(
     pieces = df.sparkSession.createDataFrame(shelf_of, "list int, shelf int, cut int")
     home = F.col("shelf") + F.pmod(F.xxhash64("uid"), F.col("cut")).cast("int")
     stored = stored.join(F.broadcast(pieces), "list").select("uid", "list", home.alias("shelf"))
-    asked = rows.filter("asks").select("uid", "v").mapInArrow(to_lists(True), "uid long, lists array<int>")
-    asked = asked.select("uid", F.explode("lists").alias("list")).join(F.broadcast(pieces), "list")
-    asked = asked.select("uid", "list", F.explode(F.sequence(F.col("shelf"), F.col("shelf") + F.col("cut") - 1)).alias("shelf"))
-    # One row for each query and shelf, with the lists it reads there; packs of queries bound a task.
-    asked = checkpointed(asked.groupBy("uid", "shelf").agg(F.array_sort(F.collect_set("list")).alias("lists")))
-    crowd = asked.groupBy("shelf").agg(F.ceil(F.count("*") / F.lit(2048)).cast("int").alias("packs"))
-    asked = asked.join(crowd, "shelf").withColumn("pack", F.pmod(F.xxhash64("uid"), F.col("packs")).cast("int"))
-    stored = stored.groupBy("uid", "shelf").agg(F.array_sort(F.collect_set("list")).alias("lists"))
-    stored = stored.join(crowd, "shelf").withColumn("pack", F.explode(F.sequence(F.lit(0), F.col("packs") - 1)))
+    stored = checkpointed(stored.groupBy("uid", "shelf").agg(F.array_sort(F.collect_set("list")).alias("lists")))
+    asked = rows.filter("asks").select("uid", "v").mapInArrow(to_lists(True), "uid long, list int, away double").join(F.broadcast(pieces), "list")
+    asked = asked.select("uid", "list", "away", F.explode(F.sequence(F.col("shelf"), F.col("shelf") + F.col("cut") - 1)).alias("shelf"))
+    # One row for each query and shelf, with the lists it reads there.
+    asked = asked.groupBy("uid", "shelf").agg(F.array_sort(F.collect_set("list")).alias("lists"), F.min("away").alias("away"))
+    asked = checkpointed(asked.withColumn("turn", F.row_number().over(Window.partitionBy("uid").orderBy("away", "shelf"))))
     ids = rows.select("uid", "id", "v")
-    # Named anew, so that the two sides have no column in common.
-    side = lambda of: of.join(ids, "uid").select(*(F.col(c).alias(c, metadata={}) for c in ("shelf", "pack", "uid", "id", "lists", "v")))
-    left, right = side(asked), side(stored)
 
     def multiply(key: tuple, questions: pa.Table, answers: pa.Table) -> pa.Table:
         out = [[], [], []]
@@ -260,7 +267,7 @@ def nearest(
                 reads[np.repeat(np.arange(len(asks)), counts), np.array(part["lists"].combine_chunks().flatten())] = 1
                 allowed = (reads[:, local] @ holds.T > 0) & (part["uid"].to_numpy()[:, None] != uids)
                 names = part["id"].to_numpy(), part["uid"].to_numpy()
-                for i, at, scores in best_of(asks, names[0], vectors, ids, allowed, top):
+                for i, at, scores in best_of(asks, part["least"].to_numpy(), vectors, ids, allowed, top):
                     out[0].append(np.column_stack([np.full(len(at), names[1][i]), np.full(len(at), names[0][i])]))
                     out[1].append(np.column_stack([ids[at], uids[at]]))
                     out[2].append(scores)
@@ -268,9 +275,23 @@ def nearest(
         scores = np.concatenate(out[2]) if out[2] else np.zeros(0)
         return pa.table({"query_uid": pairs[:, 0], "query_id": pairs[:, 1], "vec_id": found[:, 0], "uid": found[:, 1], "score": scores})
 
-    found = left.groupBy("shelf", "pack").cogroup(right.groupBy("shelf", "pack")).applyInArrow(multiply, "query_uid long, query_id long, vec_id long, uid long, score double")
-    # A border vector may be found on two shelves.
-    found = found.groupBy("query_uid", "query_id", "vec_id", "uid").agg(F.max("score").alias("score"))
+    def search(asked: DataFrame) -> DataFrame:
+        """What queries (uid, shelf, lists, least) find on their shelves, a vector once; packs of queries bound a task."""
+        crowd = asked.groupBy("shelf").agg(F.ceil(F.count("*") / F.lit(2048)).cast("int").alias("packs"))
+        left = asked.join(crowd, "shelf").withColumn("pack", F.pmod(F.xxhash64("uid"), F.col("packs")).cast("int"))
+        right = stored.join(crowd, "shelf").withColumn("pack", F.explode(F.sequence(F.lit(0), F.col("packs") - 1)))
+        # Named anew, so that the two sides have no column in common.
+        side = lambda of, *more: of.join(ids, "uid").select(*(F.col(c).alias(c, metadata={}) for c in ("shelf", "pack", "uid", "id", "lists", "v", *more)))
+        pairs = side(left, "least").groupBy("shelf", "pack").cogroup(side(right).groupBy("shelf", "pack"))
+        found = pairs.applyInArrow(multiply, "query_uid long, query_id long, vec_id long, uid long, score double")
+        return found.groupBy("query_uid", "query_id", "vec_id", "uid").agg(F.max("score").alias("score"))
+
     best = Window.partitionBy("query_uid").orderBy(F.desc("score"), "vec_id", "uid")
-    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    rank = F.row_number().over(best)
+    none = F.lit(float("-inf"))
+    near = checkpointed(search(asked.filter(F.col("turn") <= near_shelves).withColumn("least", none)))
+    least = near.withColumn("rank", rank).filter(F.col("rank") == top).select(F.col("query_uid").alias("uid"), F.col("score").alias("least"))
+    rest = asked.filter(F.col("turn") > near_shelves).join(least, "uid", "left").withColumn("least", F.coalesce("least", none))
+    # A border vector may be found on shelves of either round.
+    found = near.unionByName(search(rest)).groupBy("query_uid", "query_id", "vec_id", "uid").agg(F.max("score").alias("score"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
