@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxframe.functions.geometry import Box, is_empty
-from boxframe.operators.matching import compare, overlap
+from boxframe.operators.matching import equal, overlap, prepared
 from boxframe.schemas import DUPLICATE_IOU, PRODUCT, REACTANT
 
 
@@ -47,15 +47,16 @@ def kept_reactions(rxns: DataFrame, image: list[str], with_kept: bool = False, d
     if an earlier one that stays equals it (that one on the left). Pairs meet
     within their image only; the fold is over the image's array of reactions.
     """
-    kept = (lambda r: r["kept"]) if with_kept else (lambda r: None)
+    kept = F.col("kept") if with_kept else None
     columns = ["rxn_id", "boxes", *(["kept"] if with_kept else [])]
-    images = rxns.groupBy(*image).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("all"))
+    whole = _has(F.col("boxes"), REACTANT, kept) & _has(F.col("boxes"), PRODUCT, kept)
+    ready = rxns.select(*image, F.struct(*columns, whole.alias("whole"), prepared(F.col("boxes"), kept=kept).alias("q")).alias("r"))
+    images = ready.groupBy(*image).agg(F.sort_array(F.collect_list("r")).alias("all"))
 
     def step(stay: Column, i: Column) -> Column:
         r = F.get("all", i)
-        seen = F.exists(stay, lambda j: compare(F.get("all", j)["boxes"], r["boxes"], left_kept=kept(F.get("all", j)), right_kept=kept(r), digits=digits))
-        whole = _has(r["boxes"], REACTANT, kept(r)) & _has(r["boxes"], PRODUCT, kept(r))
-        return F.when(~whole | seen, stay).otherwise(F.concat(stay, F.array(i)))
+        seen = F.exists(stay, lambda j: equal(F.get("all", j)["q"], r["q"], digits))
+        return F.when(~r["whole"] | seen, stay).otherwise(F.concat(stay, F.array(i)))
 
     places = F.sequence(F.lit(0), F.size("all") - 1)
     stay = F.aggregate(places, F.expr("cast(array() as array<int>)"), step)

@@ -62,36 +62,41 @@ def role_places(boxes: Column, role: int, mol_only: bool = False, kept: Column |
     return F.transform(inside, lambda b: b["i"])
 
 
-def compare(left: Column, right: Column, mol_only: bool = False, merge_condition: bool = False, left_kept: Column | None = None, right_kept: Column | None = None, digits: int | None = None) -> Column:
-    """Whether the left reaction equals the right one.
+def prepared(boxes: Column, mol_only: bool = False, merge_condition: bool = False, kept: Column | None = None) -> Column:
+    """What a comparison needs of a reaction, to be worked out once: its boxes, and places to look at by role.
 
-    Both have as many boxes to look at, one at least; each of the left one's
-    matches a box of the right one, and role by role these are just the right
-    one's. The match is over all boxes of the right reaction. With
-    ``merge_condition`` reactants and conditions are one role. The cheap count
-    is taken first.
+    With ``merge_condition`` reactants and conditions are one role.
     """
-    numbers = range(len(ROLES))
-    left_places = [role_places(left, r, mol_only, left_kept) for r in numbers]
-    right_places = [role_places(right, r, mol_only, right_kept) for r in numbers]
+    places = [role_places(boxes, r, mol_only, kept) for r in range(len(ROLES))]
     if merge_condition:
-        left_places, right_places = ([F.concat(p[REACTANT], p[CONDITION]), p[PRODUCT]] for p in (left_places, right_places))
-    sides = F.struct(*(p.alias(f"l{i}") for i, p in enumerate(left_places)), *(p.alias(f"r{i}") for i, p in enumerate(right_places)))
+        places = [F.array_sort(F.concat(places[REACTANT], places[CONDITION])), places[PRODUCT]]
+    return F.struct(boxes.alias("boxes"), F.array(*places).alias("places"), F.array(*(F.size(p) for p in places)).alias("sizes"))
+
+
+def equal(left: Column, right: Column, digits: int | None = None) -> Column:
+    """Whether two prepared reactions are equal, the left one's boxes against the right one's.
+
+    Roles of unequal size decide before any overlap is computed.
+    """
+
+    def best(box: Column) -> Column:
+        return let(F.transform(right["boxes"], lambda b: overlap(box, b, digits=digits)), lambda scores: let(F.array_max(scores), lambda most: F.when(most >= MATCH_IOU, F.array_position(scores, most) - 1).otherwise(F.lit(-1).cast("long"))))
 
-    def same(s: Column) -> Column:
-        n = len(left_places)
-        count = lambda side: sum((F.size(s[f"{side}{i}"]) for i in range(n)), F.lit(0))
+    found = F.transform(left["places"], lambda role: F.array_sort(F.transform(role, lambda k: best(F.get(left["boxes"], k.cast("int"))))))
+    none = F.forall(left["sizes"], lambda n: n == 0)
+    return F.when((left["sizes"] != right["sizes"]) | none, F.lit(False)).otherwise(found == right["places"])
 
-        def roles_equal(m: Column) -> Column:
-            equal = F.lit(True)
-            for i in range(n):
-                found = F.transform(s[f"l{i}"], lambda k: F.get(m, k.cast("int"))["place"])
-                equal = equal & (F.array_sort(found) == F.array_sort(s[f"r{i}"]))
-            return equal
 
-        return F.when((count("l") != count("r")) | (count("l") == 0), F.lit(False)).otherwise(let(box_match(left, right, digits=digits), roles_equal))
+def compare(left: Column, right: Column, mol_only: bool = False, merge_condition: bool = False, left_kept: Column | None = None, right_kept: Column | None = None, digits: int | None = None) -> Column:
+    """Whether the left reaction equals the right one.
 
-    return let(sides, same)
+    Both have as many boxes to look at, one at least; each of the left one's
+    matches a box of the right one, and role by role these are just the right
+    one's. The match is over all boxes of the right reaction. With
+    ``merge_condition`` reactants and conditions are one role.
+    """
+    sides = F.struct(prepared(left, mol_only, merge_condition, left_kept).alias("l"), prepared(right, mol_only, merge_condition, right_kept).alias("r"))
+    return let(sides, lambda s: equal(s["l"], s["r"], digits))
 
 
 # What a mode of evaluation compares.
@@ -101,19 +106,22 @@ MODES = {"exact": {}, "soft": {"mol_only": True, "merge_condition": True}, "mol_
 def image_counts(gold: DataFrame, pred: DataFrame, images: DataFrame, image: list[str], mode: str = "exact", digits: int | None = None) -> DataFrame:
     """Rows of ``images`` with hits and totals of both sides: gold_hits, gold_total, pred_hits, pred_total.
 
-    Both sides' reactions of an image come together in one row by equi-joins
+    Both sides' reactions of an image come together in one row by an equi-join
     on the image alone, so nothing is shuffled by reaction or pair; each pair
-    is compared once. Images without reactions count 0.
+    is compared once. Only numbers are then joined to the images; images
+    without reactions count 0.
     """
-    arrays = [side.groupBy(*image).agg(F.collect_list("boxes").alias(name)) for side, name in ((gold, "g"), (pred, "p"))]
-    none = F.expr(f"cast(array() as array<array<{BOX}>>)")
-    both = images.join(arrays[0], image, "left").join(arrays[1], image, "left").withColumns({c: F.coalesce(c, none) for c in "gp"})
-    same = F.transform("g", lambda x: F.transform("p", lambda y: compare(x, y, digits=digits, **MODES[mode])))
+    ready = prepared(F.col("boxes"), **MODES[mode])
+    arrays = [side.select(*image, ready.alias(name)).groupBy(*image).agg(F.collect_list(name).alias(name)) for side, name in ((gold, "g"), (pred, "p"))]
+    none = F.expr(f"cast(array() as array<struct<boxes:array<{BOX}>,places:array<array<bigint>>,sizes:array<int>>>)")
+    both = arrays[0].join(arrays[1], image, "full").withColumns({c: F.coalesce(c, none) for c in "gp"})
+    same = F.transform("g", lambda x: F.transform("p", lambda y: equal(x, y, digits)))
     any_row = lambda m: F.size(F.filter(m, lambda row: F.array_contains(row, True)))
     any_column = lambda m: F.size(F.filter(F.sequence(F.lit(0), F.size("p")), lambda j: F.exists(m, lambda row: F.coalesce(F.get(row, j), F.lit(False)))))
     counted = let(same, lambda m: F.struct(any_row(m).cast("long").alias("gold_hits"), any_column(m).cast("long").alias("pred_hits")))
-    done = both.select(*images.columns, F.size("g").cast("long").alias("gold_total"), F.size("p").cast("long").alias("pred_total"), counted.alias("h"))
-    return done.select(*images.columns, "h.gold_hits", "gold_total", "h.pred_hits", "pred_total")
+    done = both.select(*image, F.size("g").cast("long").alias("gold_total"), F.size("p").cast("long").alias("pred_total"), counted.alias("h"))
+    counts = done.select(*image, "h.gold_hits", "gold_total", "h.pred_hits", "pred_total")
+    return images.join(counts, image, "left").select(*images.columns, *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts.columns if c not in image))
 
 
 def hits(gold: DataFrame, pred: DataFrame, image: list[str], digits: int | None = None, modes: tuple[str, ...] = ("exact", "soft")) -> DataFrame:
@@ -126,7 +134,8 @@ def hits(gold: DataFrame, pred: DataFrame, image: list[str], digits: int | None
     for all modes.
     """
     g, p = gold.select(*image, F.col("rxn_id").alias("g"), F.col("boxes").alias("gb")), pred.select(*image, F.col("rxn_id").alias("p"), F.col("boxes").alias("pb"))
-    pairs = g.join(p, image).select(*image, "g", "p", *(compare(F.col("gb"), F.col("pb"), digits=digits, **MODES[m]).alias(m) for m in modes))
+    g, p = (side.select(*image, c[0], *(prepared(F.col(c), **MODES[m]).alias(f"{c[0]}_{m}") for m in modes)) for side, c in ((g, "gb"), (p, "pb")))
+    pairs = g.join(p, image).select(*image, "g", "p", *(equal(F.col(f"g_{m}"), F.col(f"p_{m}"), digits).alias(m) for m in modes))
     either = F.inline(F.array(F.struct(F.lit("gold").alias("side"), F.col("g").alias("rxn_id")), F.struct(F.lit("pred").alias("side"), F.col("p").alias("rxn_id"))))
     flagged = pairs.select(*image, *modes, either).groupBy(*image, "side", "rxn_id").agg(*(F.max(m).alias(m) for m in modes))
     every = gold.select(*image, F.lit("gold").alias("side"), "rxn_id").unionByName(pred.select(*image, F.lit("pred").alias("side"), "rxn_id"))
