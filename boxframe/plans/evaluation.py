@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,37 +100,42 @@ def reaction_compare_soft(spark, d):
     return _compared(spark, d, mol_only=True, merge_condition=True)
 
 
-def _counts(spark, d, mode):
-    return matching.image_counts(P.gold(spark, d), P.pred(spark, d), P.image(spark, d), ["image_id"], mode, P.DIGITS)
+def whole_pred(spark, d):
+    """Predictions as a scored image holds them: without duplicates and reactions that lack a reactant or product."""
+    return dedup.kept_reactions(P.pred(spark, d), ["image_id"], digits=P.DIGITS)
+
 
+def _counts(spark, d, mode, pred):
+    return matching.image_counts(P.gold(spark, d), pred(spark, d), P.image(spark, d), ["image_id"], mode, P.DIGITS)
 
-def eval_exact_overall(spark, d):
-    return metrics.evaluate(_counts(spark, d, "exact"))
 
+def eval_exact_overall(spark, d, pred=P.pred):
+    return metrics.evaluate(_counts(spark, d, "exact", pred))
 
-def eval_soft_overall(spark, d):
-    return metrics.evaluate(_counts(spark, d, "soft"))
 
+def eval_soft_overall(spark, d, pred=P.pred):
+    return metrics.evaluate(_counts(spark, d, "soft", pred))
 
-def eval_by_size(spark, d):
-    return metrics.by_size(_counts(spark, d, "exact"))
 
+def eval_by_size(spark, d, pred=P.pred):
+    return metrics.by_size(_counts(spark, d, "exact", pred))
 
-def eval_by_group(spark, d):
-    return metrics.evaluate(_counts(spark, d, "exact"), ["diagram_type"])
 
+def eval_by_group(spark, d, pred=P.pred):
+    return metrics.evaluate(_counts(spark, d, "exact", pred), ["diagram_type"])
 
-def eval_by_group_soft(spark, d):
-    return metrics.evaluate(_counts(spark, d, "soft"), ["diagram_type"])
 
+def eval_by_group_soft(spark, d, pred=P.pred):
+    return metrics.evaluate(_counts(spark, d, "soft", pred), ["diagram_type"])
 
-def eval_summarize(spark, d):
-    return metrics.summarize(_counts(spark, d, "exact"))
 
+def eval_summarize(spark, d, pred=P.pred):
+    return metrics.summarize(_counts(spark, d, "exact", pred))
 
-def eval_cv_union(spark, d):
+
+def eval_cv_union(spark, d, pred=P.pred):
     """Five test splits, each read by itself, put together and scored by split."""
-    counts = _counts(spark, d, "exact")
+    counts = _counts(spark, d, "exact", pred)
     folds = [counts.filter(F.col("split") == i) for i in range(5)]
     together = folds[0]
     for fold in folds[1:]:
@@ -136,13 +143,13 @@ def eval_cv_union(spark, d):
     return metrics.evaluate(together, ["split"])
 
 
-def score_table(spark, d):
+def score_table(spark, d, pred=P.pred):
     """Printed lines of exact scores by kind of diagram."""
-    return metrics.table(metrics.evaluate(_counts(spark, d, "exact"), ["diagram_type"]), F.col("diagram_type"))
+    return metrics.table(metrics.evaluate(_counts(spark, d, "exact", pred), ["diagram_type"]), F.col("diagram_type"))
 
 
-def eval_images(spark, d):
-    flags = matching.hits(P.gold(spark, d), P.pred(spark, d), ["image_id"], P.DIGITS, ("exact",))
+def eval_images(spark, d, pred=P.pred):
+    flags = matching.hits(P.gold(spark, d), pred(spark, d), ["image_id"], P.DIGITS, ("exact",))
     return metrics.per_image(flags, P.image(spark, d).select("image_id"), ["image_id"], "exact")
 
 
@@ -173,6 +180,9 @@ def postprocess_reactions(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (bbox_normalize, bbox_unnormalize, bbox_flags, bbox_crop_rect, bbox_to_coco, bbox_center, clamp_boxes, iou_pairs, bbox_match, bbox_match_category, reaction_schema, reaction_compare_exact, reaction_compare_soft, eval_exact_overall, eval_soft_overall, eval_by_size, eval_by_group, eval_by_group_soft, eval_summarize, eval_cv_union, score_table, eval_images, dedup_boxes, dedup_boxes_all, dedup_reactions, postprocess_reactions)}
+#: Evaluations of predictions as they are, by their SQL; each has a twin that removes duplicates first, as the reference does.
+SCORED = ("eval_exact_overall", "eval_soft_overall", "eval_by_size", "eval_by_group", "eval_by_group_soft", "eval_summarize", "eval_cv_union", "score_table", "eval_images")
+QUERIES |= {f"{n}_deduplicated": partial(QUERIES[n], pred=whole_pred) for n in SCORED}
 
 V = P.VIEWS
 _FOUND = f"best AS (SELECT g.image_id, g.rxn_id, g.box_idx AS gold_idx, p.place, %s AS iou FROM g JOIN p USING (image_id, rxn_id)), ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id, rxn_id, gold_idx ORDER BY iou DESC, place) AS k FROM best)"
@@ -221,3 +231,9 @@ ORACLE_SQL = {
     "dedup_boxes_all": f"{V} SELECT b.image_id, b.rxn_id, b.box_idx FROM g b WHERE NOT EXISTS (SELECT 1 FROM g a WHERE a.image_id = b.image_id AND a.rxn_id = b.rxn_id AND a.place < b.place AND {P.iou_sql('a', 'b')} > 0.6e0)",
     "dedup_reactions": f"{_RECURSIVE}, {_DOUBLE}, {_EQUAL}, {_REACTION_FOLD}, done AS (SELECT image_id, arg_max(stay, t) AS stay FROM fold GROUP BY ALL) SELECT image_id, unnest(stay) AS rxn_id FROM done",
 }
+
+#: The views, with p as what the fold over the predictions keeps.
+_WHOLE = f"""{_RECURSIVE.replace(P._placed("p", "pred_box"), P._placed("d", "pred_box"))}, {_EQUAL}, {_REACTION_FOLD.replace("AS (SELECT image_id, r", "AS MATERIALIZED (SELECT image_id, r")},
+done AS MATERIALIZED (SELECT image_id, arg_max(stay, t) AS stay FROM fold GROUP BY ALL),
+p AS (SELECT d.* FROM d JOIN done USING (image_id) WHERE list_contains(done.stay, d.rxn_id))"""
+ORACLE_SQL |= {f"{n}_deduplicated": ORACLE_SQL[n].replace(V, _WHOLE) for n in SCORED}

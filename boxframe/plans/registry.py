@@ -7,4 +7,4 @@ from boxframe.plans import evaluation, sequences, targets
 PARTS = (evaluation, sequences, targets)
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in PARTS for name, sql in part.ORACLE_SQL.items()}
-FLAGSHIP = "eval_exact_overall"
+FLAGSHIP = "eval_exact_overall_deduplicated"
