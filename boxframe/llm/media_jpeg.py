@@ -298,8 +298,11 @@ def thumbnail(picture: Picture) -> np.ndarray:
 
 
 def _cells(grid: np.ndarray, down: int, across: int) -> np.ndarray:
+    """Means of all pixels of each cell; where there are fewer pixels than cells, cells share them."""
     rows, columns = (np.arange(n) * size // n for n, size in ((down, grid.shape[0]), (across, grid.shape[1])))
-    return grid[rows][:, columns].astype(int)
+    sums = np.add.reduceat(np.add.reduceat(grid, rows, axis=0, dtype=np.int64), columns, axis=1)
+    high, wide = (np.maximum(np.diff(starts, append=size), 1) for starts, size in zip((rows, columns), grid.shape, strict=True))
+    return sums / (high[:, None] * wide)
 
 
 def hashes(thumb: np.ndarray) -> tuple[str, str]:

@@ -155,3 +155,23 @@ def test_query_and_hard_rows(spark, sf_dir):
     assert [r.n_bytes for r in got] == [0, 0, 3_000_000, 1, 1] and got[3] == got[4] and got[0].media == got[1].media == J.store(bytes(64))
     assert got[2].payload_sha256 == hashlib.sha256(J.pad(("é" * 1_500_000).encode())).hexdigest()
     assert J.media_columns(df.limit(0)).count() == 0 and got[0].asDict()["width"] == 8
+
+
+def test_hashes_see_every_pixel():
+    """Pixels at the corners of all cells are equal; only the others differ."""
+    a, b = np.full((32, 72), 100, np.uint8), np.full((32, 72), 100, np.uint8)
+    a[1::2, :36] = 200
+    b[1::2, 36:] = 200
+    assert J.hashes(a)[0] == "f0" * 8 and J.hashes(b)[0] == "0f" * 8
+    rng = np.random.default_rng(5)
+    for shape in ((1, 1), (3, 5), (1, 700), (17, 1024), (50, 9)):
+        grid = rng.integers(0, 256, shape).astype(np.uint8)
+        for n in (8, 9):
+            edge = lambda i, k, size: slice(i * size // k, max(i * size // k + 1, (i + 1) * size // k))
+            plain = [[grid[edge(i, 8, shape[0]), edge(j, n, shape[1])].mean() for j in range(n)] for i in range(8)]
+            assert np.allclose(J._cells(grid, 8, n), plain)
+    docs = [b"a" * 64 * 16384, b"a" * 64 * 16384]
+    docs[1] = b"".join((b"z" if i % 128 >= 64 and i // 1024 % 2 else b"a") * 64 for i in range(16384))
+    pictures = [J.parse(J.store(d)) for d in docs]
+    J.decode(pictures)
+    assert len({J.hashes(J.thumbnail(p)) for p in pictures}) == 2
