@@ -30,14 +30,16 @@ class Index:
     copies: int
     #: A query reads lists within this ratio of its nearest centroid's distance.
     read_ratio: float
+    #: A nearest centroid closer than this counts as this far, so that a query on a centroid reads beyond it as well.
+    floor: float = 0.0
 
     def lift(self, vectors: np.ndarray, stored: bool) -> np.ndarray:
         squares = (vectors**2).sum(axis=1)
         extra = np.sqrt(np.maximum(self.most**2 - squares, 0.0)) if stored else np.zeros(len(vectors))
         return np.column_stack([vectors, extra])
 
-    def near(self, points: np.ndarray, ratio: float, kind: str = "") -> np.ndarray:
-        """Distances of lifted points to the centroids found within ``ratio`` of the nearest; infinite for others.
+    def near(self, points: np.ndarray, ratio: float, floor: float = 0.0) -> np.ndarray:
+        """Distances of lifted points to the centroids found within ``ratio`` of the nearest (or of ``floor``); infinite for others.
 
         Best-first search in the graph, one step of all points at once: each
         looks at the neighbours of its closest centroid not yet expanded,
@@ -53,7 +55,7 @@ class Index:
             open_ = np.where(closed[active], np.inf, found[active])
             best = open_.argmin(axis=1)
             distance = open_[np.arange(len(active)), best]
-            far = distance > ratio**2 * found[active].min(axis=1)
+            far = distance > ratio**2 * np.maximum(found[active].min(axis=1), floor**2)
             beyond[active] += far
             on = np.isfinite(distance) & (beyond[active] <= 4)
             active, best = active[on], best[on]
@@ -63,7 +65,7 @@ class Index:
             beside = self.neighbours[best]
             new = ((points[active, None] - self.centroids[beside]) ** 2).sum(axis=2)
             found[active[:, None], beside] = new
-        found[found > ratio**2 * found.min(axis=1, keepdims=True)] = np.inf
+        found[found > ratio**2 * np.maximum(found.min(axis=1, keepdims=True), floor**2)] = np.inf
         return np.sqrt(found)
 
     def stored_in(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,9 +75,21 @@ class Index:
         row, place = np.nonzero(np.isfinite(np.take_along_axis(found, ranked, axis=1)))
         return row, ranked[row, place]
 
-    def read_by(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, list, distance) triples: the lists a query reads."""
-        found = self.near(self.lift(vectors, False), self.read_ratio)
+    def read_by(self, vectors: np.ndarray, homes: np.ndarray | None = None, least: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, list, distance) triples: the lists a query reads.
+
+        ``homes`` has the number of vectors whose nearest list each is; where
+        the lists within the ratio are home to fewer than ``least``, the next
+        nearest are read as well, until they are or all lists are read.
+        """
+        points = self.lift(vectors, False)
+        found = self.near(points, self.read_ratio, self.floor)
+        if homes is not None:
+            for i in np.flatnonzero(np.isfinite(found) @ homes < least):
+                away = ((points[i] - self.centroids) ** 2).sum(axis=1)
+                order = np.argsort(away, kind="stable")
+                more = order[: np.searchsorted(np.cumsum(homes[order]), least) + 1]
+                found[i, more] = np.sqrt(away[more])
         row, own = np.nonzero(np.isfinite(found))
         return row, own, found[row, own]
 
@@ -97,9 +111,10 @@ def fit(sample: np.ndarray, most: float, lists: int, top: int, recall: float = 0
     """Balanced centroids of a bounded sample, their graph, and the read ratio that ``recall`` needs.
 
     Balance: a cluster's distances are stretched by its share of the last
-    round, so crowded clusters give up their border. The read ratio is the
-    least one with which queries of the sample find their true nearest
-    neighbours in it, by brute force, at the recall asked for.
+    round, so crowded clusters give up their border. The read ratio is one
+    with which queries of the sample find their true nearest neighbours in it,
+    by brute force, at the recall asked for: the least by distances, raised
+    until the lists that the graph search itself finds hold as many.
     """
     rng = np.random.default_rng(seed)
     index = Index(np.zeros((1, sample.shape[1] + 1)), np.zeros((1, 1), int), most, copy_ratio, copies, 1.0)
@@ -127,13 +142,24 @@ def fit(sample: np.ndarray, most: float, lists: int, top: int, recall: float = 0
     member = np.zeros((len(sample), lists), bool)
     member[row, own] = True
     away = np.sqrt(_distances(index.lift(sample[asked], False), centroids))
-    ratios = []
+    index.floor = 0.01 * float(away.mean())
+    ratios, trues = [], []
     for i, q in enumerate(asked):
         scores = sample @ sample[q]
         scores[q] = -np.inf
-        true = np.argsort(-scores, kind="stable")[: min(top, len(sample) - 1)]
-        ratios += [(away[i][member[t]]).min() / away[i].min() for t in true]
-    index.read_ratio = max(1.0, float(np.quantile(ratios, recall)) * (1 + 1e-9)) if ratios else 1.0
+        trues.append(np.argsort(-scores, kind="stable")[: min(top, len(sample) - 1)])
+        nearest_one = max(away[i].min(), index.floor)
+        ratios += [max(1.0, away[i][member[t]].min() / nearest_one) if nearest_one else 1.0 for t in trues[-1]]
+    if not ratios:
+        return index
+    index.read_ratio = max(1.0, float(np.quantile(ratios, recall)) * (1 + 1e-9))
+    points = index.lift(sample[asked], False)
+    while True:
+        reads = np.isfinite(index.near(points, index.read_ratio, index.floor))
+        held = np.mean([(member[t] & reads[i]).any(axis=1).mean() for i, t in enumerate(trues)])
+        if held >= recall or reads.all():
+            break
+        index.read_ratio *= 1.05
     return index
 
 
@@ -184,7 +210,7 @@ def nearest(
     Lists lie on shelves of about ``shelf_rows`` stored vectors; a longer list
     is spread over several by a hash, so a crowd of equal vectors is no task
     of its own. A query is sent to the shelves of the lists within the
-    distance ratio, in packs of bounded size; a task multiplies one shelf
+    distance ratio, and of further ones until these are home to ``top`` others, in packs of bounded size; a task multiplies one shelf
     with one pack and gives at most ``top`` rows for each query. The
     ``near_shelves`` nearest come first; from the others only vectors come
     back that are no worse than the ``top``-th best found there, so what is
@@ -215,17 +241,21 @@ def nearest(
                 for start in range(0, batch.num_rows, 1024):
                     part = batch.slice(start, 1024)
                     vectors = np.array(part.column(1).flatten()).reshape(-1, wide)
-                    row, own, *away = index.read_by(vectors) if reads else index.stored_in(vectors)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(own.astype(np.int32)), *map(pa.array, away)], ["uid", "list", "away"][: 2 + reads])
+                    row, own, *more = index.read_by(vectors, homes, top + 1) if reads else index.stored_in(vectors)
+                    # A stored vector's first list is its home.
+                    more = more or [np.diff(row, prepend=-1) > 0]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(own.astype(np.int32)), *map(pa.array, more)], ["uid", "list", "away" if reads else "home"])
 
         return run
 
     slim = rows.select("uid", "v")
-    stored = checkpointed(slim.mapInArrow(to_lists(False), "uid long, list int"))
-    sizes = stored.groupBy("list").agg(F.count("*").alias("n"))
+    stored = checkpointed(slim.mapInArrow(to_lists(False), "uid long, list int, home boolean"))
+    sizes = stored.groupBy("list").agg(F.count("*").alias("n"), F.count_if("home").alias("homes"))
     # Lists in order fill shelves; there are at most ``most_lists`` of them.
     shelf_of, shelf, filled = [], 0, 0
+    homes = np.zeros(len(index.centroids), np.int64)
     for r in sizes.orderBy("list").collect():
+        homes[r.list] = r.homes
         cut = -(-r.n // shelf_rows)
         if cut == 1 and filled + r.n > shelf_rows:
             shelf, filled = shelf + 1, 0

@@ -71,3 +71,43 @@ def test_graph_search_finds_all_within_ratio():
     wanted = true <= 1.3 * true.min(axis=1, keepdims=True)
     found = np.isfinite(index.near(points, 1.3))
     assert (found & wanted).sum() >= 0.99 * wanted.sum() and not (found & ~wanted).any()
+
+
+def test_query_on_a_centroid():
+    """Copies of one vector of the largest norm are their cluster's mean, so queries lie on a centroid."""
+    rng = np.random.default_rng(6)
+    sample = rng.normal(size=(3000, 8))
+    sample *= rng.uniform(0.2, 1, (3000, 1)) / np.linalg.norm(sample, axis=1, keepdims=True)
+    sample[:1500] = np.eye(8)[0] * 2
+    for lists in (30, 300):
+        index = fit(sample, 2.0, lists, 20)
+        row, own = index.stored_in(sample)
+        member = np.zeros((len(sample), lists), bool)
+        member[row, own] = True
+        hits = []
+        for q in range(1500, 3000, 10):
+            reads = np.zeros(lists, bool)
+            reads[index.read_by(sample[[q]])[1]] = True
+            scores = sample @ sample[q]
+            scores[q] = -np.inf
+            hits.append(member[np.argsort(-scores, kind="stable")[:20]][:, reads].any(axis=1).mean())
+        assert index.read_ratio > 1 and np.mean(hits) >= 0.85
+
+
+def test_reads_on_until_there_are_enough(spark):
+    """Lists of ten near-equal vectors each: twenty others lie in three of them at least."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(60, 8))
+    centres *= 3 / np.linalg.norm(centres, axis=1, keepdims=True)
+    vectors = np.repeat(centres, 10, axis=0)
+    index = fit(vectors, 3.0, 60, 5)
+    homes = np.bincount(index.near(index.lift(vectors, True), 1.0).argmin(axis=1), minlength=60)
+    row, own, away = index.read_by(vectors, homes, 21)
+    assert (np.bincount(row, weights=homes[own]) >= 21).all() and np.isfinite(away).all()
+    row, own, _ = index.read_by(vectors[:2], homes, 601)
+    assert (np.bincount(row) == 60).all()
+    index.read_ratio = 1.0
+    assert (np.bincount(index.read_by(vectors)[0]) < 21).all()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    counts = nearest(df, F.col("vec_id") % 50 == 0, top=20, list_rows=10, recall=0.01).groupBy("query_id").count().collect()
+    assert sorted((r.query_id, r["count"]) for r in counts) == [(q, 20) for q in range(0, 600, 50)]
