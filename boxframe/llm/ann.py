@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -218,7 +219,8 @@ def nearest(
     by ``top``.
 
     Defined cases: rows without id and vectors that are null, empty, zero,
-    shorter than the rest, or hold null or non-finite numbers take no part;
+    or hold null or non-finite numbers take no part; vectors of each length are
+    searched by themselves, with an index of their own;
     rows with one id are candidates and queries of their own; fewer candidates give fewer rows; an empty table gives an empty result;
     other columns are ignored.
     """
@@ -228,10 +230,19 @@ def nearest(
     rows = rows.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", sound) & F.exists("v", lambda x: x != 0))
     rows = checkpointed(rows.withColumn("asks", F.coalesce("asks", F.lit(False))).withColumn("uid", F.monotonically_increasing_id()))
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    n, most, wide = rows.agg(F.count("*"), F.sqrt(F.max(square)), F.max(F.size("v"))).first()
-    if not n:
+    groups = rows.groupBy(F.size("v").alias("wide")).agg(F.count("*").alias("n"), F.sqrt(F.max(square)).alias("most"), F.count_if("asks").alias("asks")).orderBy("wide").collect()
+    parts = []
+    for wide, n, most, asks in groups:
+        if asks and n > 1:
+            own = rows.filter(F.size("v") == wide) if len(groups) > 1 else rows
+            parts.append(_nearest_of_length(own, n, most, wide, top, recall, sample_rows, list_rows, most_lists, shelf_rows, near_shelves))
+    if not parts:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.filter(F.size("v") == wide)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _nearest_of_length(rows: DataFrame, n: int, most: float, wide: int, top: int, recall: float, sample_rows: int, list_rows: int, most_lists: int, shelf_rows: int, near_shelves: int) -> DataFrame:
+    """``nearest`` among sound rows (uid, id, v, asks) whose ``n`` vectors all have ``wide`` numbers and no norm above ``most``."""
     sample = np.array([r.v for r in rows.orderBy(F.xxhash64("uid"), "uid").select("v").limit(sample_rows).collect()])
     index = fit(sample, most, int(min(most_lists, max(1, round(n / list_rows)))), top, recall)
 
@@ -266,7 +277,7 @@ def nearest(
         else:
             shelf_of.append((r.list, shelf, 1))
             filled += r.n
-    pieces = df.sparkSession.createDataFrame(shelf_of, "list int, shelf int, cut int")
+    pieces = rows.sparkSession.createDataFrame(shelf_of, "list int, shelf int, cut int")
     home = F.col("shelf") + F.pmod(F.xxhash64("uid"), F.col("cut")).cast("int")
     stored = stored.join(F.broadcast(pieces), "list").select("uid", "list", home.alias("shelf"))
     stored = checkpointed(stored.groupBy("uid", "shelf").agg(F.array_sort(F.collect_set("list")).alias("lists")))

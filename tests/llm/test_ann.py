@@ -111,3 +111,13 @@ def test_reads_on_until_there_are_enough(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
     counts = nearest(df, F.col("vec_id") % 50 == 0, top=20, list_rows=10, recall=0.01).groupBy("query_id").count().collect()
     assert sorted((r.query_id, r["count"]) for r in counts) == [(q, 20) for q in range(0, 600, 50)]
+
+
+def test_each_length_is_searched_by_itself(spark):
+    """One longer vector costs only itself, and two of another length find each other."""
+    rows = [(i, [1.0 + i, 1.0]) for i in range(30)] + [(40, [9.0, 9.0, 9.0]), (50, [1.0]), (51, [2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(df, F.col("vec_id") % 10 == 0, top=3).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    assert got == {q: {k: (29 - k + 1, (1.0 + q) * (30 - k + 1) + 1) for k in (1, 2, 3)} for q in (0, 10, 20)} | {50: {1: (51, 2.0)}}
