@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -28,9 +27,10 @@ ASIDE_WORDS = frozenset(
 #: Beside one of these words the others say nothing.
 MAIN_WORDS = frozenset("article body content entry main post story text has no with without".split())
 WHOLE = frozenset("html body main".split())
+#: Elements that hold a text's blocks beside each other.
+HOLDERS = frozenset("body center div html section".split())
 #: Elements that a start tag of the same kind ends, and what else ends them.
 IMPLIED = {"p": BLOCKS - {"html", "body", "head"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option", "optgroup"}}
-CONTAINERS = frozenset("article body div main section table td".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -38,8 +38,6 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 class Line:
     text: str
     tags: int
-    #: The element around it that counts as a region: kind (article, main or another) and number.
-    region: tuple[str, int]
     aside: bool
 
 
@@ -47,7 +45,8 @@ class Line:
 class _Open:
     tag: str
     aside: bool
-    region: tuple[str, int]
+    #: The number of lines before it.
+    start: int = 0
     landmark: bool = field(default=False)
 
 
@@ -57,18 +56,25 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self._open = [_Open("", False, ("page", 0))]
+        self._open = [_Open("", False)]
+        #: Block elements that hold lines: the first line, the one after the last, tag.
+        self.spans: list[tuple[int, int, str]] = []
         self._text: list[str] = []
-        self._tags = self._number = 0
+        self._tags = 0
 
     def _flush(self) -> None:
         text = " ".join("".join(self._text).split())
         if text:
             top = self._open[-1]
-            self.lines.append(Line(text, self._tags, top.region, top.aside))
+            self.lines.append(Line(text, self._tags, top.aside))
             self._tags = 0
         self._text.clear()
 
+    def _leave(self, i: int) -> None:
+        end = len(self.lines)
+        self.spans += [(x.start, end, x.tag) for x in reversed(self._open[i:]) if x.tag in BLOCKS and x.start < end]
+        del self._open[i:]
+
     def _is_aside(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         top = self._open[-1]
         if tag in ASIDE or tag == "header" and not top.landmark:
@@ -88,7 +94,7 @@ class Lines(HTMLParser):
             for i in range(len(self._open) - 1, 0, -1):
                 if tag in IMPLIED.get(self._open[i].tag, ()):
                     self._flush()
-                    del self._open[i:]
+                    self._leave(i)
                     break
                 if self._open[i].tag in BLOCKS:
                     break
@@ -99,11 +105,7 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         top = self._open[-1]
-        region, landmark = top.region, top.landmark
-        if tag in ("article", "main") and region[0] != "article" or tag in CONTAINERS and not landmark:
-            self._number += 1
-            region, landmark = (tag if tag in ("article", "main") else "other", self._number), landmark or tag in ("article", "main")
-        self._open.append(_Open(tag, top.aside or self._is_aside(tag, attrs), region, landmark))
+        self._open.append(_Open(tag, top.aside or self._is_aside(tag, attrs), len(self.lines), top.landmark or tag in ("article", "main")))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -116,7 +118,7 @@ class Lines(HTMLParser):
         self._tags += 1
         for i in range(len(self._open) - 1, 0, -1):
             if self._open[i].tag == tag:
-                del self._open[i:]
+                self._leave(i)
                 return
             if tag not in BLOCKS and self._open[i].tag in BLOCKS:
                 return
@@ -127,6 +129,7 @@ class Lines(HTMLParser):
     def close(self) -> None:
         super().close()
         self._flush()
+        self._leave(1)
 
 
 def smooth(values: np.ndarray, sigma: float) -> np.ndarray:
@@ -151,18 +154,34 @@ def threshold(values: np.ndarray) -> float:
     return float(np.expm1((low + high) / 2))
 
 
-def main_text(html: str | None, sigma: float = 1.5, least_share: float = 0.3) -> str:
+def _scope(parser: Lines, over: np.ndarray) -> tuple[int, int]:
+    """The run of lines that is the content: the first, and the one after the last."""
+    own = [i for i, line in enumerate(parser.lines) if not line.aside]
+    inside = lambda *tags: {i for a, z, tag in parser.spans if tag in tags for i in range(a, z)}.intersection(own)
+    marked = inside("article", "main")
+    chosen = (marked or {i for i in own if over[i]} or set(own)) | inside("h1")
+    first, last = min(chosen), max(chosen)
+    if marked:
+        return first, last + 1
+    around = sorted((z - a, a, z, tag) for a, z, tag in [*parser.spans, (0, len(parser.lines), "html")] if tag in HOLDERS and a <= first and last < z)
+    # What lies beside the chosen lines is in the next larger container.
+    size, a, z, _ = around[0]
+    return next(((b, y) for n, b, y, tag in around if n > size and tag not in WHOLE), (a, z))
+
+
+def main_text(html: str | None, sigma: float = 1.5) -> str:
     """The main text of a page: blocks in page order, joined by a space.
 
     Parser events give lines, one for each run of text between block tags,
     with their text-to-tag ratio. Ratios of all lines are smoothed and parted
-    in two clusters. Lines over the threshold vote, by their length, for the
-    region they are in: the outermost article if there is any, else the main
-    element, else the nearest container. Regions with at least
-    ``least_share`` of the most votes are main text, and all their lines are
-    kept, short ones as well. Lines in menus, headers, footers, sidebars,
-    forms, adverts, notices, comments and the like, told by element, class,
-    id and role, have no vote and are never kept.
+    in two clusters. The content is one run of lines: from the first to the
+    last line of articles and main elements if there are any, else the container
+    next above the smallest one that holds all lines over the threshold (that
+    one itself right below the body); a first-level heading counts as content
+    in both. All lines of the run are kept, short ones as well. Lines in
+    menus, headers, footers, sidebars, forms, adverts, notices, comments and
+    the like, told by element, class, id and role, choose nothing and are
+    never kept.
     """
     parser = Lines()
     parser.feed(html or "")
@@ -171,18 +190,8 @@ def main_text(html: str | None, sigma: float = 1.5, least_share: float = 0.3) ->
     if all(line.aside for line in lines):
         return ""
     ratios = smooth(np.array([0.0 if x.aside else len(x.text) / max(1, x.tags) for x in lines]), sigma)
-    over = ratios >= threshold(ratios)
-    votes: dict[tuple[str, int], float] = defaultdict(float)
-    for line, content in zip(lines, over, strict=True):
-        if not line.aside:
-            votes[line.region] += len(line.text) * (1.0 if content else 1e-3)
-    for kind in ("article", "main"):
-        if marked := {r: v for r, v in votes.items() if r[0] == kind}:
-            votes = marked
-            break
-    most = max(votes.values())
-    regions = {r for r, v in votes.items() if v >= least_share * most}
-    return " ".join(line.text for line in lines if line.region in regions and not line.aside)
+    start, end = _scope(parser, ratios >= threshold(ratios))
+    return " ".join(line.text for line in lines[start:end] if not line.aside)
 
 
 def extract_main_text(df: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:

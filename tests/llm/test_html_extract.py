@@ -53,3 +53,17 @@ def test_frame(spark):
     rows = extract_main_text(df).orderBy("page_id").collect()
     assert [r.text for r in rows] == ["", "hello", "hello"] and rows[0].asDict().keys() == {"page_id", "html", "url", "text", "n_chars"}
     assert extract_main_text(df.limit(0)).count() == 0
+
+
+LONG = "A sentence of the article that is long enough to stand out from the rest of the page, and another one."
+WHOLE_PAGES = {
+    f"<div id=wrap><div>Title</div><div><p>{LONG}</p><p>{LONG}</p></div><div>One line.</div><section><p>Short.</p></section><div><p>{LONG}</p></div></div>": f"Title {LONG} {LONG} One line. Short. {LONG}",
+    f"<div><p>{LONG}</p><table><tr><td>1</td><td>2</td></tr></table><p>{LONG}</p></div>": f"{LONG} 1 2 {LONG}",
+    f"<article><p>{LONG}</p></article><article><p>Short.</p></article>": f"{LONG} Short.",
+    f"<main><h1>Head</h1><article><p>{LONG}</p></article></main>": f"Head {LONG}",
+}
+
+
+@pytest.mark.parametrize("inner", WHOLE_PAGES)
+def test_short_parts_stay(inner):
+    assert main_text(PAGE % inner) == WHOLE_PAGES[inner]
