@@ -5,7 +5,8 @@ DataFrame functions only: no Python runs on the executors.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from boxframe.llm.common import checkpointed
 
 #: Sources up to which their table (a few numbers each) is broadcast; beyond it the join shuffles.
 BROADCAST_SOURCES = 20_000
+#: Bits of a place in the Pareto order.
+PLACES = 52
 _BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -52,6 +55,70 @@ def _uniform(seed: int, *cols: Column) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
+def _beside(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """``left`` with the columns of ``right``, where the keys agree (nulls as well); ``right`` is broadcast if it's small."""
+    right = right.select(*(F.col(k).alias(f"__key_{k}") for k in keys), *(c for c in right.columns if c not in keys))
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys))
+    right = F.broadcast(right) if right.count() <= BROADCAST_SOURCES else right
+    return left.join(right, same, how).drop(*(f"__key_{k}" for k in keys))
+
+
+def _crossing(ranked: DataFrame, keys: Sequence[str], buckets: int, most_rows: int = 8192) -> DataFrame:
+    """(keys, cut, till): the last place up to which a group's sizes fit into ``rest``, and their sum up to there.
+
+    ``ranked`` has the keys, ``at`` (a place of ``PLACES`` bits), ``size`` and
+    ``rest``. A group's places are cut into ``buckets`` ranges; sums by range,
+    made before any shuffle, tell in which one ``rest`` is passed. That one is
+    cut again until none holds more than ``most_rows`` rows or there's but one
+    place in it, and only its rows are put in order. Rows at one place are
+    taken or left together. Groups that fit whole aren't in the result.
+    """
+    keys, bits = list(keys), max(1, (buckets - 1).bit_length())
+    slim = ranked.select(*keys, "at", "size")
+    whole = ranked.groupBy(*keys).agg(F.sum("size").alias("all"), F.first("rest").alias("rest")).filter("all > rest")
+    ranges, shift = checkpointed(whole.select(*keys, F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("before"), "rest")), PLACES
+    inside = lambda: _beside(slim, ranges, keys, "inner").filter(F.shiftright("at", shift) == F.col("prefix"))
+    while shift:
+        rows, shift = inside(), max(0, shift - bits)
+        sums = rows.groupBy(*keys, "before", "rest", F.shiftright("at", shift).alias("prefix")).agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
+        running = Window.partitionBy(*keys).orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
+        passed = sums.withColumn("till", F.col("before") + F.sum("words").over(running)).filter("till > rest")
+        first = passed.groupBy(*keys).agg(F.min(F.struct("prefix", (F.col("till") - F.col("words")).alias("before"), "rest", "rows")).alias("m"))
+        ranges = checkpointed(first.select(*keys, "m.*"))
+        if not ranges.filter(F.col("rows") > most_rows).limit(1).count():
+            break
+        ranges = ranges.drop("rows")
+    ties = Window.partitionBy(*keys).orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    ended = inside().withColumn("till", F.col("before") + F.sum("size").over(ties))
+    fits = ended.groupBy(*keys, "prefix", "before").agg(F.max(F.when(F.col("till") <= F.col("rest"), F.struct("at", "till"))).alias("m"))
+    return fits.select(*keys, F.coalesce("m.at", F.shiftleft("prefix", shift) - 1).alias("cut"), F.coalesce("m.till", "before").alias("till"))
+
+
+def _filling(later: DataFrame) -> DataFrame:
+    """(source, size, rest): how many of a source's later rows of each size fill its gap.
+
+    ``later`` has source, size and gap. Of the largest size that fits, as many
+    as fit; then of the next, and so on; or at some size one more than fits and
+    then no more, if that comes nearer. Rows are counted by size before any
+    shuffle; a source's sizes below twice its gap (a document's length at most)
+    meet in one fold.
+    """
+    sizes = later.filter((F.col("size") > 0) & (F.col("size") < 2 * F.col("gap"))).groupBy("source", "size", "gap").agg(F.count("*").alias("n"))
+    listed = sizes.groupBy("source", "gap").agg(F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("sizes"))
+    start = F.struct(F.col("gap").alias("left"), F.expr("cast(null as struct<off:double,less:bigint>)").alias("over"), F.expr("cast(array() as array<struct<size:bigint,rest:bigint>>)").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        k = F.least(x["n"], F.floor(s["left"] / x["size"]))
+        left = s["left"] - k * x["size"]
+        over = F.when(x["n"] > k, F.struct((x["size"] - left).alias("off"), (-x["size"]).alias("less")))
+        return F.struct(left.alias("left"), F.least(s["over"], over).alias("over"), F.when(k > 0, F.concat(s["out"], F.array(F.struct(x["size"].alias("size"), k.alias("rest"))))).otherwise(s["out"]).alias("out"))
+
+    filled = listed.select("source", F.aggregate("sizes", start, step).alias("f"))
+    last = F.when(F.col("f.over.off") < F.col("f.left"), -F.col("f.over.less"))
+    put = F.concat(F.filter("f.out", lambda x: last.isNull() | (x["size"] >= last)), F.when(last.isNull(), F.expr("cast(array() as array<struct<size:bigint,rest:bigint>>)")).otherwise(F.array(F.struct(last.alias("size"), F.lit(1).cast("long").alias("rest")))))
+    return filled.select("source", F.explode(put).alias("x")).groupBy("source", "x.size").agg(F.sum("x.rest").alias("rest"))
+
+
 def mix(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -60,81 +127,70 @@ def mix(
     weights: Sequence[float] = (3, 1, 2),
     share: float = 1.5,
     cap: float = 2.0,
-    favour: Column | None = None,
+    favour: Callable[[Column], Column] | Column | None = None,
     seed: int = 42,
     buckets: int = 1024,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``df`` with size, source_size, target and copies: how often the mix takes each row.
+    """The ``keep`` columns of ``df`` (all, if None) with size, source_size, target and copies: how often the mix takes each row.
 
     A source whose target is f times its size takes every row floor(f) times;
     those copies are certain. For the rest, a row's inclusion probability p is
-    the fraction left over (times ``favour``, relative to its mean by size, if
-    given), and rows are ranked by the Pareto order: random odds u / (1 - u)
-    divided by inclusion odds p / (1 - p). The first rows in that order are
-    taken as long as their words fit what is left of the target; then one
-    later row, that which fills the remaining gap best, if it makes it smaller.
-
-    No source is ranked in one task: rows fall into ``buckets`` ranges of the
-    order by source, sums by bucket find the one where the target is reached,
-    and only its rows are put in order. What comes out is one threshold a
-    source, so the rows themselves are never shuffled.
+    the fraction left over times ``favour`` relative to its mean by size (a
+    column of ``df``, or a function of the size; equal for all, if None), and
+    rows are ranked by the Pareto order: random odds u / (1 - u) divided by
+    inclusion odds p / (1 - p). The first rows in that order are taken as long
+    as their words fit what is left of the target; later rows then fill the
+    gap, the largest that fit first. What is left of the gap, or passed, is at
+    most half the size of the smallest later row not taken.
+
+    No source is ranked in one task: see ``_crossing``. What comes out is one
+    threshold a source, and one for each size that fills its gap, so the rows
+    themselves are never shuffled. Without ``text_col`` among ``keep`` texts
+    are read once.
 
     Defined cases: null text has size 0; a null source is a source, the last;
-    a source of size 0 has target 0; rows equal in id and text tie and are
-    taken alike; null ids are told apart by their text; an empty table gives
-    an empty result; columns of ``df`` with the names added are replaced.
+    a source of size 0 has target 0; a null favour is 0; rows equal in id and
+    text tie and are taken alike, so a source may miss its target by such a
+    block; null ids are told apart by their text; an empty table gives an empty
+    result; columns of ``df`` with the names added are replaced, any other
+    names are free.
     """
-    own = ("__size", "__u", "__favour", "__source")
-    rows = df.withColumns(
-        {
-            "__source": F.col(source_col),
-            "__size": word_count(F.col(text_col)),
-            "__u": _uniform(seed, F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")))),
-            "__favour": F.coalesce(favour.cast("double"), F.lit(0.0)) if favour is not None else F.lit(1.0),
-        }
-    )
-    slim = checkpointed(rows.select(*(F.col(c).alias(c[2:]) for c in own)))
+    added = ("size", "source_size", "target", "copies")
+    kept = [c for c in (df.columns if keep is None else keep) if c not in added]
+    size = word_count(F.col(text_col))
+    liked = favour(size) if callable(favour) and not isinstance(favour, Column) else favour
+    own = {
+        "source": F.col(source_col),
+        "size": size,
+        "u": _uniform(seed, F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")))),
+        "favour": F.coalesce(liked.cast("double"), F.lit(0.0)) if liked is not None else F.lit(1.0),
+    }
+    rows = df.select(*(F.col(c).alias(f"c_{i}") for i, c in enumerate(kept)), *(c.alias(n) for n, c in own.items()))
+    if text_col in kept:
+        slim = checkpointed(rows.select(*own))
+    else:
+        rows = slim = checkpointed(rows)
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("favour")).alias("favoured"))
     plan = targets(sizes.select("source", "source_size"), weights, share, cap).join(sizes.select(F.col("source").alias("s"), "favoured"), F.expr("source <=> s")).drop("s")
     f = F.coalesce(F.col("target") / F.nullif(F.col("source_size").cast("double"), F.lit(0.0)), F.lit(0.0))
     plan = plan.withColumn("whole", F.floor(f)).withColumn("part", f - F.col("whole")).withColumn("mean_favour", F.col("favoured") / F.nullif(F.col("source_size").cast("double"), F.lit(0.0)))
     plan = checkpointed(plan.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).drop("favoured"))
-    few = plan.count() <= BROADCAST_SOURCES
-
-    def with_plan(left: DataFrame, right: DataFrame, source: str) -> DataFrame:
-        right = right.withColumnRenamed("source", "__plan_source")
-        return left.join(F.broadcast(right) if few else right, F.col(source).eqNullSafe(F.col("__plan_source")), "left").drop("__plan_source")
-
-    def order(u: Column, liked: Column) -> Column:
-        p = F.least(F.greatest(F.col("part") * F.coalesce(liked / F.nullif(F.col("mean_favour"), F.lit(0.0)), F.lit(0.0)), F.lit(1e-12)), F.lit(1 - 1e-12))
-        odds = u / (1 - u) / (p / (1 - p))
-        return odds / (1 + odds)  # in (0, 1), in the same order
-
-    ranked = with_plan(slim, plan.select("source", "part", "rest", "mean_favour"), "source").filter("part > 0 and rest > 0").select("source", "size", "rest", order(F.col("u"), F.col("favour")).alias("at"))
-    ranked = ranked.withColumn("bucket", F.floor(F.col("at") * buckets))
-    sums = ranked.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    reached = sums.withColumn("till", F.sum("words").over(running)).filter("till > rest").groupBy("source").agg(F.min(F.struct("bucket", (F.col("till") - F.col("words")).alias("before"))).alias("m"))
-    reached = reached.select("source", F.col("m.bucket").alias("cut_bucket"), F.col("m.before").alias("before"))
-    inside = with_plan(ranked, reached, "source").filter("bucket = cut_bucket")
-    # Rows with equal places go together: RANGE frames include ties.
-    ties = Window.partitionBy("source").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("till", F.col("before") + F.sum("size").over(ties))
-    fits = inside.groupBy("source").agg(F.max(F.when(F.col("till") <= F.col("rest"), F.struct("at", "till"))).alias("m"), F.first("cut_bucket").alias("cut_bucket"), F.first("before").alias("before"))
-    #: All places up to ``cut`` are taken; without any in the bucket, all buckets before it.
-    cuts = fits.select("source", F.coalesce("m.at", F.col("cut_bucket") / F.lit(float(buckets)) * (1 - 2.0**-52)).alias("cut"), F.coalesce("m.till", "before").alias("till"))
-    gap = F.col("rest") - F.col("till")
-    extra = with_plan(ranked, cuts, "source").filter((F.col("at") > F.col("cut")) & (F.abs(gap - F.col("size")) < gap))
-    extra = extra.groupBy("source").agg(F.min(F.struct(F.abs(gap - F.col("size")).alias("off"), "at")).alias("m")).select("source", F.col("m.at").alias("extra"))
-    plan = plan.join(cuts.select(F.col("source").alias("s1"), "cut"), F.expr("source <=> s1"), "left").join(extra.select(F.col("source").alias("s2"), "extra"), F.expr("source <=> s2"), "left").drop("s1", "s2")
-    at = order(F.col("__u"), F.col("__favour"))
-    taken = (F.col("part") > 0) & (F.col("rest") > 0) & ((at <= F.coalesce("cut", F.lit(1.0))) | (at == F.coalesce("extra", F.lit(-1.0))))
-    clash = ("size", "source_size", "target", "copies", "whole", "part", "mean_favour", "rest", "cut", "extra")
-    kept = [c for c in df.columns if c not in ("size", "source_size", "target", "copies")]
-    hidden = {c: f"__own_{c}" for c in kept if c in clash}
-    done = with_plan(rows.select(*(F.col(c).alias(hidden.get(c, c)) for c in kept), *own), checkpointed(plan), "__source")
-    done = done.withColumn("copies", (F.col("whole") + F.when(taken, 1).otherwise(0)).cast("long"))
-    return done.select(*(F.col(hidden.get(c, c)).alias(c) for c in kept), F.col("__size").alias("size"), "source_size", "target", "copies")
+    p = F.least(F.greatest(F.col("part") * F.coalesce(F.col("favour") / F.nullif(F.col("mean_favour"), F.lit(0.0)), F.lit(0.0)), F.lit(1e-12)), F.lit(1 - 1e-12))
+    odds = F.col("u") / (1 - F.col("u")) / (p / (1 - p))
+    #: The Pareto order as a whole number, so that ranges of it are cut exactly.
+    at = F.floor(odds / (1 + odds) * float(1 << PLACES)).cast("long")
+    ranked = _beside(slim, plan.select("source", "part", "rest", "mean_favour"), ["source"]).filter("part > 0 and rest > 0").select("source", "size", "rest", at.alias("at"))
+    cuts = checkpointed(_crossing(ranked, ["source"], buckets))
+    later = _beside(ranked, cuts, ["source"], "inner").filter("at > cut").select("source", "size", "at", (F.col("rest") - F.col("till")).alias("gap"))
+    filling = checkpointed(_filling(later))
+    chosen = _beside(later.drop("gap"), filling, ["source", "size"], "inner")
+    last = _crossing(chosen.select("source", F.col("size").alias("length"), "at", F.lit(1).cast("long").alias("size"), "rest"), ["source", "length"], buckets)
+    last = filling.select(F.col("source").alias("s"), "size").join(last, F.expr("s <=> source and size = length"), "left").select(F.col("s").alias("source"), "size", F.coalesce("cut", F.lit((1 << 62))).alias("last"))
+    done = _beside(rows, plan.join(cuts.select(F.col("source").alias("s"), "cut"), F.expr("source <=> s"), "left").drop("s"), ["source"])
+    done = _beside(done, checkpointed(last), ["source", "size"])
+    taken = (F.col("part") > 0) & (F.col("rest") > 0) & ((at <= F.coalesce("cut", F.lit(1 << 62))) | (at <= F.coalesce("last", F.lit(-1))))
+    return done.select(*(F.col(f"c_{i}").alias(c) for i, c in enumerate(kept)), "size", "source_size", "target", (F.col("whole") + F.when(taken, 1).otherwise(0)).cast("long").alias("copies"))
 
 
 def take(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:

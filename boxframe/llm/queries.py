@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxframe.llm import toxicity
@@ -71,8 +71,13 @@ def op9_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
+def by_length(size: Column) -> Column:
+    """How a document is favoured: by its words, from 20 to 2000, so that short ones come late and fill gaps."""
+    return F.least(F.greatest(size, F.lit(20)), F.lit(2000))
+
+
 def op10_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    mixed = mix(table(spark, sf_dir, "documents"), favour=by_length, keep=["doc_id"])
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -91,25 +96,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: The mix by plain windows over whole sources.
 _MIX = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
     (CAST('0x' || substr(md5(concat_ws(':', '42', coalesce(CAST(doc_id AS VARCHAR), ''), md5(coalesce(text, '')))), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496e0 AS u FROM documents),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+e AS (SELECT *, CAST(least(greatest(size, 20), 2000) AS DOUBLE) AS favour FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, sum(size * favour) AS favoured FROM e GROUP BY source),
 w AS (SELECT *, [3e0, 1e0, 2e0][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS w, 2e0 * source_size AS most FROM s),
 l AS (SELECT *, most / w AS level, 1.5e0 * CAST(sum(source_size) OVER () AS BIGINT) AS total, sum(w) OVER () AS all_w FROM w),
 f AS (SELECT *, sum(most) OVER o + level * (all_w - sum(w) OVER o) <= total AS is_full FROM l
   WINDOW o AS (ORDER BY level, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-t AS (SELECT source, source_size, CASE WHEN is_full THEN most ELSE
+t AS (SELECT source, source_size, favoured / nullif(CAST(source_size AS DOUBLE), 0e0) AS mean_favour, CASE WHEN is_full THEN most ELSE
   (total - sum(CASE WHEN is_full THEN most ELSE 0e0 END) OVER ()) / nullif(sum(CASE WHEN is_full THEN 0e0 ELSE w END) OVER (), 0e0) * w END AS target FROM f),
 p AS (SELECT *, coalesce(target / nullif(CAST(source_size AS DOUBLE), 0e0), 0e0) AS f FROM t),
-r AS (SELECT d.doc_id, d.source, d.size, p.source_size, p.target, floor(f) AS whole, f - floor(f) AS part, target - floor(f) * source_size AS rest,
-    u / (1 - u) / (least(greatest(f - floor(f), 1e-12), 1 - 1e-12) / (1 - least(greatest(f - floor(f), 1e-12), 1 - 1e-12))) AS odds
-  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-k AS (SELECT *, odds / (1 + odds) AS place, sum(size) OVER (PARTITION BY source ORDER BY odds / (1 + odds) RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS till FROM r),
-c AS (SELECT source, coalesce(max(place) FILTER (WHERE till <= rest), 0e0) AS cut, coalesce(max(till) FILTER (WHERE till <= rest), 0) AS till FROM k WHERE part > 0 AND rest > 0 GROUP BY source),
-x AS (SELECT k.source, arg_min(k.place, (abs(k.rest - c.till - k.size), k.place)) AS extra FROM k JOIN c ON k.source IS NOT DISTINCT FROM c.source
-  WHERE part > 0 AND rest > 0 AND k.place > c.cut AND abs(k.rest - c.till - k.size) < k.rest - c.till GROUP BY k.source)
-SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN part > 0 AND rest > 0 AND (place <= c.cut OR place = x.extra) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM k LEFT JOIN c ON k.source IS NOT DISTINCT FROM c.source LEFT JOIN x ON k.source IS NOT DISTINCT FROM x.source
+q AS (SELECT e.*, p.source_size, p.target, floor(f) AS whole, f - floor(f) AS part, target - floor(f) * source_size AS rest,
+    least(greatest((f - floor(f)) * coalesce(favour / nullif(mean_favour, 0e0), 0e0), 1e-12), 1 - 1e-12) AS p
+  FROM e JOIN p ON e.source IS NOT DISTINCT FROM p.source),
+r AS (SELECT *, u / (1 - u) / (p / (1 - p)) AS odds FROM q),
+g AS (SELECT *, CAST(floor(odds / (1 + odds) * 4503599627370496e0) AS BIGINT) AS place FROM r),
+k AS MATERIALIZED (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS till FROM g),
+c AS (SELECT source, coalesce(max(place) FILTER (WHERE till <= rest), -1) AS cut, any_value(rest) - coalesce(max(till) FILTER (WHERE till <= rest), 0) AS gap FROM k WHERE part > 0 AND rest > 0 GROUP BY source),
+later AS MATERIALIZED (SELECT k.source, k.size, k.place, c.gap, count(*) OVER (PARTITION BY k.source, k.size ORDER BY k.place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS till
+  FROM k JOIN c ON k.source IS NOT DISTINCT FROM c.source WHERE part > 0 AND rest > 0 AND k.place > c.cut),
+z AS MATERIALIZED (SELECT source, size, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY size DESC) AS t FROM later WHERE size > 0 AND size < 2 * gap GROUP BY source, size),
+fill AS (SELECT source, CAST(0 AS BIGINT) AS t, gap AS space, CAST(0 AS BIGINT) AS size, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS k FROM c
+  UNION ALL SELECT v.source, z.t, v.space - least(z.n, CAST(floor(v.space / z.size) AS BIGINT)) * z.size, z.size, z.n, least(z.n, CAST(floor(v.space / z.size) AS BIGINT))
+  FROM fill v JOIN z ON z.source IS NOT DISTINCT FROM v.source AND z.t = v.t + 1),
+y AS (SELECT source, arg_min(space, -t) AS space, min((size - space, t)) FILTER (WHERE t > 0 AND n > k) AS o FROM fill GROUP BY source),
+o AS (SELECT source, CASE WHEN o[1] < space THEN o[2] END AS t FROM y),
+x AS (SELECT v.source, v.size, v.k + CASE WHEN o.t = v.t THEN 1 ELSE 0 END AS k FROM fill v JOIN o ON v.source IS NOT DISTINCT FROM o.source WHERE v.t BETWEEN 1 AND coalesce(o.t, v.t)),
+more AS (SELECT l.source, l.size, max(l.place) AS last FROM later l JOIN x ON l.source IS NOT DISTINCT FROM x.source AND l.size = x.size WHERE l.till <= x.k GROUP BY ALL)
+SELECT doc_id, k.size, source_size, target, CAST(k.size * (whole + CASE WHEN part > 0 AND rest > 0 AND (place <= c.cut OR place <= more.last) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM k LEFT JOIN c ON k.source IS NOT DISTINCT FROM c.source LEFT JOIN more ON k.source IS NOT DISTINCT FROM more.source AND k.size = more.size
 """
 
 ORACLE_SQL: dict[str, str] = {"op10_pareto_mixing": _MIX}
