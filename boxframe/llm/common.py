@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,15 +16,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only
-    where none is set (a local session, as in tests) a temporary one is made.
+    Only in a local session, where driver and executors are one process, may it
+    be unset; then a temporary one is made. Elsewhere that is an error, since
+    no other folder is known to be shared.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    known = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if known is None and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    known = known or tempfile.mkdtemp(prefix="boxframe-checkpoint-")
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="boxframe-checkpoint-"))
+        context.setCheckpointDir(known)
+    return known
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the session's checkpoint folder and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again: lineage is cut, and sizes and columns are known to later plans."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -28,9 +29,14 @@ ASIDE_WORDS = frozenset(
 MAIN_WORDS = frozenset("article body content entry main post story text has no with without".split())
 WHOLE = frozenset("html body main".split())
 #: Elements that hold a text's blocks beside each other.
-HOLDERS = frozenset("body center div html section".split())
+HOLDERS = frozenset("article body center div html main section td".split())
+#: What a line under the threshold takes from its container, as a share of its length: outside links, and in links.
+UNDER, UNDER_LINKED = 0.1, 1.0
+#: A larger container below the body that gains almost as much is taken instead.
+MARGIN = 0.03
 #: Elements that a start tag of the same kind ends, and what else ends them.
 IMPLIED = {"p": BLOCKS - {"html", "body", "head"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option", "optgroup"}}
+_BEGUN = re.compile(r"<[a-zA-Z/!?]")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -39,6 +45,13 @@ class Line:
     text: str
     tags: int
     aside: bool
+    #: The share of the text that is in links.
+    linked: float = 0.0
+
+    @property
+    def ratio(self) -> float:
+        """Text outside links for each tag; none for what isn't main text anyway."""
+        return 0.0 if self.aside else len(self.text) * (1 - self.linked) / max(1, self.tags)
 
 
 @dataclass
@@ -47,33 +60,53 @@ class _Open:
     aside: bool
     #: The number of lines before it.
     start: int = 0
-    landmark: bool = field(default=False)
+    landmark: bool = False
 
 
 class Lines(HTMLParser):
-    """Lines of a page from the parser's events, one for each run between block tags."""
+    """Lines of a page from the parser's events, one for each run between block tags.
+
+    Every event costs a constant number of steps for each element opened,
+    however deep elements are nested and whatever is left open.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self._open = [_Open("", False)]
+        #: Places of the open block elements, and for each (and the page) how many other elements of a name are open in it.
+        self._blocks: list[int] = []
+        self._inline: list[Counter[str]] = [Counter()]
+        self._names: Counter[str] = Counter()
         #: Block elements that hold lines: the first line, the one after the last, tag.
         self.spans: list[tuple[int, int, str]] = []
         self._text: list[str] = []
-        self._tags = 0
+        self._tags = self._linked = self._seen = self._links = 0
 
     def _flush(self) -> None:
         text = " ".join("".join(self._text).split())
         if text:
-            top = self._open[-1]
-            self.lines.append(Line(text, self._tags, top.aside))
+            self.lines.append(Line(text, self._tags, self._open[-1].aside, self._linked / max(1, self._seen)))
             self._tags = 0
         self._text.clear()
+        self._linked = self._seen = 0
 
-    def _leave(self, i: int) -> None:
+    def _leave(self, tag: str | None) -> None:
+        """Close the innermost open element of this name and all in it (all elements, if None)."""
         end = len(self.lines)
-        self.spans += [(x.start, end, x.tag) for x in reversed(self._open[i:]) if x.tag in BLOCKS and x.start < end]
-        del self._open[i:]
+        while len(self._open) > 1:
+            x = self._open.pop()
+            self._links -= x.tag == "a"
+            if x.tag in BLOCKS:
+                self._blocks.pop()
+                self._inline.pop()
+                self._names[x.tag] -= 1
+                if x.start < end:
+                    self.spans.append((x.start, end, x.tag))
+            else:
+                self._inline[-1][x.tag] -= 1
+            if x.tag == tag:
+                return
 
     def _is_aside(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         top = self._open[-1]
@@ -91,14 +124,10 @@ class Lines(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
-            for i in range(len(self._open) - 1, 0, -1):
-                if tag in IMPLIED.get(self._open[i].tag, ()):
-                    self._flush()
-                    self._leave(i)
-                    break
-                if self._open[i].tag in BLOCKS:
-                    break
             self._flush()
+            around = self._open[self._blocks[-1]].tag if self._blocks else ""
+            if tag in IMPLIED.get(around, ()):
+                self._leave(around)
         self._tags += 1
         if tag == "br":
             self._text.append(" ")
@@ -106,6 +135,13 @@ class Lines(HTMLParser):
             return
         top = self._open[-1]
         self._open.append(_Open(tag, top.aside or self._is_aside(tag, attrs), len(self.lines), top.landmark or tag in ("article", "main")))
+        self._links += tag == "a"
+        if tag in BLOCKS:
+            self._blocks.append(len(self._open) - 1)
+            self._inline.append(Counter())
+            self._names[tag] += 1
+        else:
+            self._inline[-1][tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -113,23 +149,38 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
+        """An end tag closes an element of its name; one that isn't a block's, only within the block it's in."""
         if tag in BLOCKS:
             self._flush()
         self._tags += 1
-        for i in range(len(self._open) - 1, 0, -1):
-            if self._open[i].tag == tag:
-                self._leave(i)
-                return
-            if tag not in BLOCKS and self._open[i].tag in BLOCKS:
-                return
+        if (self._names if tag in BLOCKS else self._inline[-1])[tag] > 0:
+            self._leave(tag)
 
     def handle_data(self, data: str) -> None:
         self._text.append(data)
+        seen = len(data) - sum(map(data.count, " \n\t"))
+        self._seen += seen
+        self._linked += seen if self._links else 0
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """``<![`` begins a comment up to the next ``>``; the standard parser fails on some of them."""
+        end = self.rawdata.find(">", i)
+        return end + 1 if end > 0 else -1
 
     def close(self) -> None:
         super().close()
         self._flush()
-        self._leave(1)
+        self._leave(None)
+
+
+def read(html: str) -> Lines:
+    """The lines of a page. Behind its last ``>`` no tag is whole: a tag begun there is cut off, as browsers do."""
+    parser, end = Lines(), html.rfind(">") + 1
+    begun = _BEGUN.search(html, end)
+    parser.feed(html[:end])
+    parser.feed(html[end : begun.start()] if begun else html[end:])
+    parser.close()
+    return parser
 
 
 def smooth(values: np.ndarray, sigma: float) -> np.ndarray:
@@ -155,41 +206,43 @@ def threshold(values: np.ndarray) -> float:
 
 
 def _scope(parser: Lines, over: np.ndarray) -> tuple[int, int]:
-    """The run of lines that is the content: the first, and the one after the last."""
-    own = [i for i, line in enumerate(parser.lines) if not line.aside]
-    inside = lambda *tags: {i for a, z, tag in parser.spans if tag in tags for i in range(a, z)}.intersection(own)
-    marked = inside("article", "main")
-    chosen = (marked or {i for i in own if over[i]} or set(own)) | inside("h1")
-    first, last = min(chosen), max(chosen)
-    if marked:
-        return first, last + 1
-    around = sorted((z - a, a, z, tag) for a, z, tag in [*parser.spans, (0, len(parser.lines), "html")] if tag in HOLDERS and a <= first and last < z)
-    # What lies beside the chosen lines is in the next larger container.
-    size, a, z, _ = around[0]
-    return next(((b, y) for n, b, y, tag in around if n > size and tag not in WHOLE), (a, z))
+    """The run of lines that is the content, by the lines ``over`` the threshold: the first, and the one after the last."""
+    lines = parser.lines
+    own = np.array([not line.aside for line in lines])
+    length = np.array([len(line.text) for line in lines]) * own
+    linked = np.array([line.linked for line in lines])
+    gains = np.where(over, length, -length * (UNDER + (UNDER_LINKED - UNDER) * linked))
+    counts, sums = (np.concatenate([[0], np.cumsum(x)]) for x in (own, gains))
+    holding = [(a, z, tag) for a, z, tag in [*parser.spans, (0, len(lines), "html")] if counts[z] > counts[a]]
+    gain = lambda x: sums[x[1]] - sums[x[0]]
+    best = max((x for x in holding if x[2] in HOLDERS), key=lambda x: (gain(x), x[1] - x[0]))
+    near = [x for x in holding if x[2] in HOLDERS - {"html", "body"} and x[0] <= best[0] and best[1] <= x[1] and gain(x) >= (1 - MARGIN) * gain(best)]
+    start, end, _ = max([best, *near], key=lambda x: x[1] - x[0])
+    # The page's heading; and all its articles, where the container is in one.
+    marks = [x for x in holding if x[2] in ("article", "main")]
+    marks = [x for x in holding if x[2] == "h1"] + (marks if any(a <= start and end <= z for a, z, _ in marks) else [])
+    return min([start, *(a for a, _, _ in marks)]), max([end, *(z for _, z, _ in marks)])
 
 
 def main_text(html: str | None, sigma: float = 1.5) -> str:
     """The main text of a page: blocks in page order, joined by a space.
 
-    Parser events give lines, one for each run of text between block tags,
-    with their text-to-tag ratio. Ratios of all lines are smoothed and parted
-    in two clusters. The content is one run of lines: from the first to the
-    last line of articles and main elements if there are any, else the container
-    next above the smallest one that holds all lines over the threshold (that
-    one itself right below the body); a first-level heading counts as content
-    in both. All lines of the run are kept, short ones as well. Lines in
-    menus, headers, footers, sidebars, forms, adverts, notices, comments and
-    the like, told by element, class, id and role, choose nothing and are
-    never kept.
+    Parser events give lines, one for each run of text between block tags.
+    Those in menus, headers, footers, sidebars, forms, adverts, notices,
+    comments and the like, told by element, class, id and role, are never
+    kept and have ratio 0; that is all such lists decide. Each line has its
+    ratio of text (outside links) to tags; the ratios of the page are smoothed
+    and parted in two clusters. A container gains the length of each of its
+    lines in the upper cluster and loses for those in the lower one, links most;
+    the container that gains most is the content, or the largest one around it
+    below the body that gains almost as much; with the page's articles if it's
+    in one, and with first-level headings. All lines of that run are kept,
+    short ones as well.
     """
-    parser = Lines()
-    parser.feed(html or "")
-    parser.close()
-    lines = parser.lines
+    lines = (parser := read(html or "")).lines
     if all(line.aside for line in lines):
         return ""
-    ratios = smooth(np.array([0.0 if x.aside else len(x.text) / max(1, x.tags) for x in lines]), sigma)
+    ratios = smooth(np.array([line.ratio for line in lines]), sigma)
     start, end = _scope(parser, ratios >= threshold(ratios))
     return " ".join(line.text for line in lines[start:end] if not line.aside)
 

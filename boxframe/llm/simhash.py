@@ -174,29 +174,46 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return prints.join(groups, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Ids to leave out up to which their table (one number each) is broadcast; beyond it the join shuffles.
+BROADCAST_IDS = 1_000_000
+
+
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
     """The rows of ``df`` that stay: one of each near-duplicate group, with all columns.
 
     The row with the group's smallest id stays; of several equal ones, one.
-    Where rows share an id but not their fingerprint, each is treated by its
-    own fingerprint. Rows without id stay only if no row with an id has their
-    fingerprint, one for each fingerprint.
+    Which ids go is found among ids and fingerprints alone; texts stay where
+    they are while the ids to leave out are few enough to be broadcast.
+
+    Defined cases: null and empty texts have fingerprint 0; where rows share an
+    id but not their fingerprint, each is treated by its own fingerprint; rows
+    without id stay only if no row with an id has their fingerprint, one for
+    each fingerprint; an empty table gives an empty result; other columns may
+    have any name.
     """
-    groups = checkpointed(simhash_components(df, id_col, text_col, radius).select(F.col(id_col).alias("__id"), F.col("fingerprint").alias("__print"), "component_id"))
-    first = groups.filter(F.col("__id") == F.col("component_id"))
-    kept = df.join(first.select("__id"), F.col(id_col) == F.col("__id"), "left_semi")
+    names = [f"c_{i}" for i in range(len(df.columns))]
+    rows = df.select(*(F.col(c).alias(n) for c, n in zip(df.columns, names, strict=True)), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    groups = checkpointed(simhash_components(rows, "__id", "__text", radius))
+    named = groups.filter("__id is not null")
+    repeated = checkpointed(named.groupBy("__id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("__id").alias("gone")))
+    has_repeated, has_nameless = (bool(x.limit(1).count()) for x in (repeated, groups.filter("__id is null")))
+    gone = named.filter("__id <> component_id").select(F.col("__id").alias("gone"))
+    gone = checkpointed(gone.union(repeated).distinct() if has_repeated else gone)
+    few = gone.count() <= BROADCAST_IDS
+    kept = rows.filter("__id is not null").join(F.broadcast(gone) if few else gone, F.col("__id") == F.col("gone"), "left_anti")
 
     @F.pandas_udf("string")
     def printed(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: f"{fingerprint(t):016x}").astype(object)
 
-    shared = groups.filter("__id is not null").groupBy("__id").agg(F.count_distinct("__print").alias("n")).filter("n > 1").select("__id")
-    if shared.limit(1).count():
-        own = df.join(shared, F.col(id_col) == F.col("__id"), "left_semi").withColumn("__own", printed(text_col))
-        own = own.join(first, (F.col(id_col) == F.col("__id")) & (F.col("__own") == F.col("__print")), "left_semi").dropDuplicates([id_col, "__own"]).drop("__own")
-        kept = kept.join(shared, F.col(id_col) == F.col("__id"), "left_anti").dropDuplicates([id_col]).unionByName(own)
-    else:
-        kept = kept.dropDuplicates([id_col])
-    nameless = df.filter(F.col(id_col).isNull()).withColumn("__own", printed(text_col))
-    named = groups.filter("__id is not null")
-    return kept.unionByName(nameless.join(named, F.col("__own") == F.col("__print"), "left_anti").dropDuplicates(["__own"]).drop("__own"))
+    if has_repeated:
+        # Only rows that share their id are compared by id and fingerprint.
+        first = named.filter("__id = component_id").select(F.col("__id").alias("gone"), "fingerprint").join(repeated, "gone", "left_semi").distinct()
+        own = rows.join(F.broadcast(repeated) if few else repeated, F.col("__id") == F.col("gone"), "left_semi").withColumn("__print", printed("__text"))
+        own = own.join(first, (F.col("__id") == F.col("gone")) & (F.col("__print") == F.col("fingerprint")), "left_semi")
+        kept = kept.unionByName(own.dropDuplicates(["__id", "__print"]).drop("__print"))
+    if has_nameless:
+        nameless = rows.filter("__id is null").withColumn("__print", printed("__text"))
+        nameless = nameless.join(named.select("fingerprint").distinct(), F.col("__print") == F.col("fingerprint"), "left_anti")
+        kept = kept.unionByName(nameless.dropDuplicates(["__print"]).drop("__print"))
+    return kept.select(*(F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True)))

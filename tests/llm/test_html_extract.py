@@ -1,8 +1,11 @@
 import html
 import re
+import time
 
+import numpy as np
 import pytest
 
+from boxframe.llm import html_extract
 from boxframe.llm.html_extract import extract_main_text, main_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar">
@@ -60,6 +63,8 @@ WHOLE_PAGES = {
     f"<div id=wrap><div>Title</div><div><p>{LONG}</p><p>{LONG}</p></div><div>One line.</div><section><p>Short.</p></section><div><p>{LONG}</p></div></div>": f"Title {LONG} {LONG} One line. Short. {LONG}",
     f"<div><p>{LONG}</p><table><tr><td>1</td><td>2</td></tr></table><p>{LONG}</p></div>": f"{LONG} 1 2 {LONG}",
     f"<article><p>{LONG}</p></article><article><p>Short.</p></article>": f"{LONG} Short.",
+    f"<article><section><p>{LONG}</p><p>{LONG}</p></section><section>{'<p>Short.</p>' * 9}</section></article>": f"{LONG} {LONG} " + " ".join(["Short."] * 9),
+    f"<div id=wrap><div><p>{LONG}</p><p>{LONG}</p></div><div>{'<p>Short.</p>' * 9}</div></div>": f"{LONG} {LONG} " + " ".join(["Short."] * 9),
     f"<main><h1>Head</h1><article><p>{LONG}</p></article></main>": f"Head {LONG}",
 }
 
@@ -67,3 +72,45 @@ WHOLE_PAGES = {
 @pytest.mark.parametrize("inner", WHOLE_PAGES)
 def test_short_parts_stay(inner):
     assert main_text(PAGE % inner) == WHOLE_PAGES[inner]
+
+
+LINKS = "".join(f"<li><a href='/{i}'>More about thing {i}</a></li>" for i in range(12))
+REGIONS = {
+    f"<div id=a><ul>{LINKS}</ul></div><div id=b><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div><div id=c><ul>{LINKS}</ul></div>": f"{LONG} Short. {LONG}",
+    f"<div id=wrap><div id=a><p>{LONG}</p><p>{LONG}</p></div><div id=b><ul>{LINKS}</ul></div></div>": f"{LONG} {LONG}",
+    f"<div id=wrap><div id=a>Title</div><div id=b><p>{LONG}</p><p>{LONG}</p></div></div>": f"Title {LONG} {LONG}",
+}
+
+
+@pytest.mark.parametrize("inner", REGIONS)
+def test_ratios_choose_between_unmarked_regions(inner):
+    assert main_text(PAGE % inner) == REGIONS[inner]
+
+
+def test_noise_for_ratios_changes_unmarked_pages(monkeypatch):
+    rng = np.random.default_rng(4)
+    pages = []
+    for _ in range(100):
+        blocks = [f"<div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>", *[f"<div><ul>{LINKS}</ul></div>"] * int(rng.integers(1, 4))]
+        pages.append("<html><body>" + "".join(blocks[i] for i in rng.permutation(len(blocks))) + "</body></html>")
+    true = [main_text(p) for p in pages]
+    assert true == [f"{LONG} {LONG} {LONG}"] * 100
+    monkeypatch.setattr(html_extract, "smooth", lambda values, sigma: rng.random(len(values)))
+    assert sum(main_text(p) != t for p, t in zip(pages, true, strict=True)) > 50
+
+
+BROKEN = {
+    "<p>" + "<b>" * 100_000 + "x" + "</i>" * 100_000: "x",
+    "<i><p>" + "<b>" * 100_000 + "x" + "</i>" * 100_000: "x",
+    "<div>x" + "<b>" * 100_000 + "<hr>" * 100_000: "x",
+    "<div>x" * 100_000 + "</div>" * 100_000: ("x " * 100_000).strip(),
+    "<p>x</p>" + "<a " * 100_000: "x",
+    "<p>x</p>" + "<![" * 100_000 + ">": "x",
+    "<p>x<p>y" + "<!--" * 100_000: "x y",
+}
+
+
+def test_broken_pages_take_linear_time():
+    began = time.process_time()
+    assert [main_text(page) for page in BROKEN] == list(BROKEN.values())
+    assert time.process_time() - began < 60
