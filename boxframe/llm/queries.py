@@ -17,10 +17,10 @@ from boxframe.llm.media_jpeg import media_columns
 from boxframe.llm.mixing import mix
 from boxframe.llm.sharding import shuffle_to_shards
 from boxframe.llm.simhash import simhash_components
-from boxframe.llm.url_rules import judge, seed_labels
+from boxframe.llm.url_rules import judge, rule_labels
 
 #: Given rules: verdict, then host and path start.
-URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
+URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    judged = judge(pages, URL_RULES, seed_labels(pages))
+    judged = judge(pages, URL_RULES, rule_labels(pages, URL_RULES))
     return judged.select("page_id", "host", "path", "rule", "verdict", F.array_join("antecedent", " ").alias("mined_rule"), "confidence")
 
 

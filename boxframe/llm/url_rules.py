@@ -12,7 +12,7 @@ from boxframe.llm.common import LOWER, UPPER, checkpointed
 
 #: The item that stands for a bad label in the mined baskets.
 BAD = "@bad"
-#: Words in a host's name that make it bad, for training: a short list that needs no reading of pages.
+#: Words in a host's name that make it bad, for training, where no given rule says anything: no table labels URLs.
 SEED_WORDS = ("spam", "casino", "adult", "pills", "bets", "ads")
 
 
@@ -42,22 +42,33 @@ def host_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> t
 
 
 def tokens(url: Column) -> Column:
-    """Distinct marked tokens of a URL: host parts and their words, top domain, path parts, query keys, scheme.
+    """Distinct marked tokens of a URL: host parts and their words, top domain, first and other path parts, query keys, scheme.
 
-    Numbers in a path are one token, since each by itself says little.
+    Numbers in a path are one token, since each by itself says little; what
+    they begin with is another.
     """
     h, p = host(url), path(url)
     labels = F.split(h, r"\.")
     marked = lambda mark, parts: F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.concat(F.lit(mark), x))
     words = F.flatten(F.transform(labels, lambda x: F.when(F.contains(x, F.lit("-")), F.split(x, "-")).otherwise(F.expr("cast(array() as array<string>)"))))
-    parts = F.transform(F.split(p, "/"), lambda x: F.regexp_replace(x, r"[0-9]+", "#"))
+    pieces = F.split(p, "/")
+    plain = lambda x: F.regexp_replace(x, r"[0-9]+", "#")
     query = F.transform(F.split(F.regexp_extract(url, r"(?s)^[^#]*?\?([^#]*)", 1), "&"), lambda x: F.substring_index(x, "=", 1))
     scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
-    found = F.concat(marked("host:", F.filter(labels, lambda x, i: i < F.size(labels) - 1)), marked("word:", words), marked("top:", F.slice(labels, -1, 1)), marked("path:", parts), marked("query:", query), marked("scheme:", F.array(scheme)))
+    found = F.concat(
+        marked("host:", F.filter(labels, lambda x, i: i < F.size(labels) - 1)),
+        marked("word:", words),
+        marked("top:", F.slice(labels, -1, 1)),
+        marked("first:", F.transform(F.slice(pieces, 2, 1), plain)),
+        marked("path:", F.transform(F.slice(pieces, F.lit(3), F.greatest(F.size(pieces) - 2, F.lit(0))), plain)),
+        marked("digit:", F.transform(pieces, lambda x: F.regexp_extract(x, "^[0-9]", 0))),
+        marked("query:", query),
+        marked("scheme:", F.array(scheme)),
+    )
     return F.array_distinct(F.coalesce(found, F.expr("cast(array() as array<string>)")))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.9, min_rows: int = 5) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.95, min_rows: int = 5) -> DataFrame:
     """(antecedent, confidence, support) of rules "these tokens, so bad" from ``labelled`` (url, bad boolean).
 
     Spark's FP-growth counts token sets over all rows. Kept are sets with at
@@ -97,7 +108,7 @@ def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return best.select("url", F.col("m.antecedent").alias("antecedent"), F.col("m.confidence").alias("confidence"))
 
 
-def judge(df: DataFrame, rules: Sequence[tuple[str, str]], labelled: DataFrame, url_col: str = "url", min_support: float = 0.002, min_confidence: float = 0.9) -> DataFrame:
+def judge(df: DataFrame, rules: Sequence[tuple[str, str]], labelled: DataFrame, url_col: str = "url", min_support: float = 0.002, min_confidence: float = 0.95) -> DataFrame:
     """``df`` with host, path, rule, verdict, and the mined rule's antecedent and confidence.
 
     The longest given rule that fits decides; else a URL that a mined rule
@@ -126,3 +137,14 @@ def seed_labels(df: DataFrame, url_col: str = "url", words: Sequence[str] = SEED
     """(url, bad): a URL is bad if a part of its host, or a word of one, is among ``words``."""
     found = F.split(host(F.col(url_col)), r"[.\-]")
     return df.select(F.col(url_col).alias("url"), F.coalesce(F.arrays_overlap(found, F.array(*map(F.lit, words))), F.lit(False)).alias("bad"))
+
+
+def rule_labels(df: DataFrame, rules: Sequence[tuple[str, str]], url_col: str = "url", words: Sequence[str] = SEED_WORDS) -> DataFrame:
+    """(url, bad): a URL is bad by ``seed_labels``, or where the given rule that fits blocks.
+
+    Rules are given by host and path start, tokens are parts of both, so what
+    is mined from the rules are combinations of tokens.
+    """
+    url = F.col("url")
+    _, verdict = host_rule(host(url), path(url), rules)
+    return seed_labels(df, url_col, words).select("url", (F.col("bad") | F.coalesce(verdict == "block", F.lit(False))).alias("bad"))

@@ -3,7 +3,7 @@ import re
 from pyspark.sql import functions as F
 
 from boxframe.llm.queries import URL_RULES, op7_url_rules
-from boxframe.llm.url_rules import host, judge, mine, path, seed_labels, tokens
+from boxframe.llm.url_rules import host, host_rule, judge, matches, mine, path, rule_labels, seed_labels, tokens
 
 RULES = URL_RULES
 
@@ -67,3 +67,30 @@ def test_seed_labels(spark):
     df = spark.createDataFrame([("http://a.spam-farm.net/",), ("http://spamfarm.net/spam",), (None,)], "url string")
     assert [r.bad for r in seed_labels(df).collect()] == [True, False, False]
     assert df.select(host(F.col("url")), path(F.col("url"))).collect()[2][0] == ""
+
+
+def test_two_tokens_decide(spark):
+    """Bad only where a top domain and a first path part meet: each alone is mostly fine."""
+    rows = [(f"http://h{i % 40}.example.{top}/{first}/{i}", top == "biz" and first == "win") for i, (top, first) in enumerate([(t, f) for t in ("biz", "org", "net") for f in ("win", "en", "de")] * 40)]
+    labelled = spark.createDataFrame(rows, "url string, bad boolean")
+    rules = [r.antecedent for r in mine(labelled, min_support=0.02).collect()]
+    assert ["first:win", "top:biz"] in rules and not any(len(r) < 2 for r in rules)
+    new = spark.createDataFrame([("http://new.test.biz/win/x",), ("http://new.test.org/win/x",), ("http://new.test.biz/en/x",)], "url string")
+    got = {r.url: (r.verdict, r.antecedent) for r in judge(new, [], labelled).collect()}
+    assert got == {"http://new.test.biz/win/x": ("block", ["first:win", "top:biz"]), "http://new.test.org/win/x": ("allow", None), "http://new.test.biz/en/x": ("allow", None)}
+
+
+def test_rules_are_found_again_on_other_hosts(spark):
+    """Rules mined on three quarters of the hosts, against the given rules' verdicts on the others."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url")
+    other = F.crc32(host(F.col("url")).cast("binary")) % 4 == 2
+    rules = mine(rule_labels(pages.filter(~other), RULES))
+    assert rules.filter(F.size("antecedent") > 1).count() > 10
+    _, verdict = host_rule(host(F.col("url")), path(F.col("url")), RULES)
+    held = rule_labels(pages.filter(other), RULES).withColumn("verdict", verdict).filter("verdict is not null")
+    found = {r.url for r in matches(held, rules).collect()}
+    rows = [(r.url in found, r.bad) for r in held.collect()]
+    hits = sum(a and b for a, b in rows)
+    print("held-out hosts", len(rows), "precision", hits / sum(a for a, _ in rows), "recall", hits / sum(b for _, b in rows))
+    # Sixty hosts only: some tokens that say nothing meet bad hosts alone.
+    assert hits / sum(a for a, _ in rows) > 0.8 and hits / sum(b for _, b in rows) > 0.95
