@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UNIT = 64
-#: Payload bytes decoded together; bounds memory whatever a row's length.
+#: Payload bytes decoded together.
 TOGETHER = 1 << 20
+#: Payload bytes of one picture (whole rows of blocks); a longer payload is a sequence of pictures.
+FRAME = 1 << 20
 #: Blocks in a row of the stored picture.
 ACROSS = 1024
 _MARK = b"PAYLOAD\0"
@@ -35,7 +37,7 @@ def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
 
-def store(payload: bytes) -> bytes:
+def store(payload: bytes, across: int | None = None) -> bytes:
     """A baseline JPEG whose quantised coefficients are the payload.
 
     Every 64 bytes are the 64 coefficients of one block of a grey picture, in
@@ -44,12 +46,13 @@ def store(payload: bytes) -> bytes:
     8, whose extra bits are b itself. One code of one bit serves all of them,
     so a block is 64 times nine bits. Each block is a restart interval, so
     blocks are read independently. The payload's length stands in an APP9
-    segment; blocks that fill up the last row are zero bytes.
+    segment; blocks that fill up the last row are zero bytes. More than
+    ``FRAME`` bytes are stored by ``frames``.
     """
     if len(payload) % UNIT or not payload:
         raise ValueError("a payload is a positive multiple of 64 bytes")
     n = len(payload) // UNIT
-    across = min(n, ACROSS)
+    across = across or min(n, ACROSS)
     down = -(-n // across)
     blocks = np.zeros(across * down * UNIT, np.uint8)
     blocks[: len(payload)] = np.frombuffer(payload, np.uint8)
@@ -78,6 +81,12 @@ def store(payload: bytes) -> bytes:
     return head + flat.tobytes() + b"\xff\xd9"
 
 
+def frames(payload: bytes) -> Iterator[bytes]:
+    """Pictures of ``FRAME`` bytes of the payload each, one after the other, as in motion JPEG."""
+    for start in range(0, len(payload), FRAME):
+        yield store(payload[start : start + FRAME], ACROSS)
+
+
 @dataclass
 class Scan:
     data: np.ndarray
@@ -334,6 +343,7 @@ FEATURES = T.StructType(
 
 
 def _read(texts: list[bytes], media: list[bytes]) -> Iterator[tuple]:
+    """Features of texts of one picture each, decoded together."""
     pictures = [parse(m) for m in media]
     decode(pictures)
     for text, stored, picture in zip(texts, media, pictures, strict=True):
@@ -341,19 +351,42 @@ def _read(texts: list[bytes], media: list[bytes]) -> Iterator[tuple]:
         yield (len(text), len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), picture.width, picture.height, *hashes(thumbnail(picture)))
 
 
+def _read_long(text: bytes, with_media: bool) -> tuple[bytes, tuple]:
+    """The stored form (if asked for) and features of a text of several pictures, stored and decoded one by one.
+
+    What is held at once is the text, the stored form if it's asked for, and a
+    thumbnail of a 64th of the text, whatever decoding one picture takes.
+    """
+    whole, kept, thumbs, height = pad(text), [], [], 0
+    read, stored = hashlib.sha256(), hashlib.sha256()
+    sizes, tail = [0, 0], b""
+    for media in frames(whole):
+        picture = parse(media)
+        decode([picture])
+        part = payload(picture)
+        read.update(part)
+        stored.update(media)
+        sizes, tail = [sizes[0] + len(part), sizes[1] + len(media)], part[-64:]
+        thumbs.append(thumbnail(picture))
+        height += picture.height
+        if with_media:
+            kept.append(media)
+    return b"".join(kept), (len(text), sizes[0], read.hexdigest(), zlib.crc32(tail), sizes[1], stored.hexdigest(), ACROSS * 8, height, *hashes(np.concatenate(thumbs)))
+
+
 def media_columns(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, with_media: bool = True) -> DataFrame:
     """The ``keep`` columns of ``df`` (all, if None) with the stored JPEG ``media`` and what is read back from it.
 
     Each whole text's UTF-8 bytes, padded with bytes 0 to a positive multiple
     of 64, are stored by ``store``. The stored bytes are then parsed and
-    decoded again; n_bytes (unpadded), payload_bytes, payload_sha256,
+    decoded again (a payload over ``FRAME`` bytes picture by picture); n_bytes (unpadded), payload_bytes, payload_sha256,
     tail_crc32 (the last 64 bytes), width, height and the hashes of the DC-only
     thumbnail come from what was read. media_bytes and media_sha256 are of the
     stored form. ``with_media`` leaves out the bytes themselves.
 
     Defined cases: null text is empty (one block of zero bytes); rows are
-    treated by themselves, in runs of about a megabyte, and equal texts give
-    equal values; an empty table gives an empty result; columns of ``df`` with
+    treated by themselves, short ones in runs of about a megabyte, long ones a
+    megabyte at a time, and equal texts give equal values; an empty table gives an empty result; columns of ``df`` with
     the names added are replaced.
     """
     added = ([T.StructField("media", T.BinaryType())] if with_media else []) + FEATURES.fields
@@ -365,16 +398,34 @@ def media_columns(df: DataFrame, text_col: str = "text", keep: list[str] | None
             texts = batch.column(batch.num_columns - 1)
             start, size, part = 0, 0, []
             for i in range(batch.num_rows):
-                part.append((texts[i].as_py() or "").encode())
-                size += len(part[-1])
-                if size >= TOGETHER or i == batch.num_rows - 1:
-                    media = [store(pad(t)) for t in part]
-                    columns = [batch.column(j).slice(start, len(part)) for j in range(batch.num_columns - 1)]
-                    columns += [pa.array(media, pa.binary())] if with_media else []
-                    columns += [pa.array(x) for x in zip(*_read(part, media), strict=True)]
-                    types = [c.type for c in columns[: len(columns) - 4]] + [pa.int32(), pa.int32(), pa.string(), pa.string()]
-                    yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, types, strict=True)], [*(f"c_{j}" for j in range(len(kept))), *(f.name for f in added)])
+                text = (texts[i].as_py() or "").encode()
+                if len(text) > FRAME:
+                    if part:
+                        yield put(batch, start, part)
+                    yield put(batch, i, [text])
                     start, size, part = i + 1, 0, []
+                    continue
+                part.append(text)
+                size += len(text)
+                if size >= TOGETHER:
+                    yield put(batch, start, part)
+                    start, size, part = i + 1, 0, []
+            if part:
+                yield put(batch, start, part)
+
+    def put(batch: pa.RecordBatch, start: int, part: list[bytes]) -> pa.RecordBatch:
+        """The rows of ``part``, whose first is row ``start``, with what's added."""
+        if len(part[0]) > FRAME:
+            stored, found = _read_long(part[0], with_media)
+            media, rows = [stored], [found]
+        else:
+            media = [store(pad(t)) for t in part]
+            rows = _read(part, media)
+        columns = [batch.column(j).slice(start, len(part)) for j in range(batch.num_columns - 1)]
+        columns += [pa.array(media, pa.binary())] if with_media else []
+        columns += [pa.array(x) for x in zip(*rows, strict=True)]
+        types = [c.type for c in columns[: len(columns) - 4]] + [pa.int32(), pa.int32(), pa.string(), pa.string()]
+        return pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, types, strict=True)], [*(f"c_{j}" for j in range(len(kept))), *(f.name for f in added)])
 
     chosen = df.select(*(F.col(c).alias(f"c_{i}") for i, c in enumerate(kept)), F.col(text_col).alias("__text"))
     out = chosen.mapInArrow(run, T.StructType([*chosen.schema.fields[:-1], *added]))

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -175,3 +176,31 @@ def test_hashes_see_every_pixel():
     pictures = [J.parse(J.store(d)) for d in docs]
     J.decode(pictures)
     assert len({J.hashes(J.thumbnail(p)) for p in pictures}) == 2
+
+
+def test_long_texts_are_several_pictures(spark, monkeypatch):
+    """Read back whole, with the features of one picture of all; what is held doesn't grow as decoding does."""
+    text = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(300_000))
+    whole = J.pad(text.encode())
+    one = next(iter(J._read([text.encode()], [J.store(whole)])))
+    monkeypatch.setattr(J, "FRAME", 1 << 16)
+    media, found = J._read_long(text.encode(), True)
+    assert found[:4] == one[:4] and found[6:] == one[6:] and found[4] == len(media) and found[5] == hashlib.sha256(media).hexdigest()
+    parts = [J.parse(m) for m in J.frames(whole)]
+    assert len(parts) == 5 and b"".join(J.frames(whole)) == media
+    J.decode(parts)
+    assert b"".join(map(J.payload, parts)) == whole
+    tracemalloc.start()
+    J._read_long(text.encode() * 40, False)
+    assert tracemalloc.get_traced_memory()[1] < 4 * 40 * len(text)
+    tracemalloc.stop()
+
+
+def test_short_and_long_rows_together(spark):
+    rows = [(1, "a"), (2, "b" * (3 << 20)), (3, None), (4, "b" * (3 << 20)), (5, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in J.media_columns(df, keep=["doc_id"]).collect()}
+    for i, text in rows:
+        data = J.pad((text or "").encode())
+        assert got[i].payload_sha256 == hashlib.sha256(data).hexdigest() and got[i].media_sha256 == hashlib.sha256(got[i].media).hexdigest() and got[i].media_bytes == len(got[i].media)
+    assert got[2][1:] == got[4][1:]
