@@ -31,7 +31,7 @@ class Index:
     copies: int
     #: A query reads lists within this ratio of its nearest centroid's distance.
     read_ratio: float
-    #: A nearest centroid closer than this counts as this far, so that a query on a centroid reads beyond it as well.
+    #: A nearest centroid closer than this (as nine queries of ten have it) counts as this far, so that a query near a centroid reads beyond it as well.
     floor: float = 0.0
 
     def lift(self, vectors: np.ndarray, stored: bool) -> np.ndarray:
@@ -99,79 +99,102 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1) - 2 * a @ b.T, 0.0)
 
 
+def _nearest(points: np.ndarray, centroids: np.ndarray, weight: np.ndarray, block: int = 1024) -> np.ndarray:
+    """The place of each point's least weighted distance, a block of points at once."""
+    return np.concatenate([(_distances(points[i : i + block], centroids) * weight).argmin(axis=1) for i in range(0, len(points), block)])
+
+
 def _chain(apart: np.ndarray) -> list[int]:
-    """An order in which each is followed by the nearest one left, so that numbers near each other are near in space."""
-    apart, order = apart.copy(), [0]
+    """An order in which each is followed by the nearest one left, so that numbers near each other are near in space; ``apart`` is used up."""
+    order = [0]
     for _ in range(len(apart) - 1):
         apart[:, order[-1]] = np.inf
         order.append(int(apart[order[-1]].argmin()))
     return order
 
 
-def fit(sample: np.ndarray, most: float, lists: int, top: int, recall: float = 0.97, copies: int = 3, copy_ratio: float = 1.05, degree: int = 24, rounds: int = 10, seed: int = 42) -> Index:
+def fit(sample: np.ndarray, most: float, lists: int, top: int, recall: float = 0.94, copies: int = 3, border: float = 0.2, degree: int = 24, rounds: int = 10, seed: int = 42) -> Index:
     """Balanced centroids of a bounded sample, their graph, and the read ratio that ``recall`` needs.
 
-    Balance: a cluster's distances are stretched by its share of the last
-    round, so crowded clusters give up their border. The read ratio is one
+    Balance: lifted vectors lie on a sphere, and centroids are put on one, since
+    means of many vectors would be shorter, so nearer to all others, and draw
+    ever more of them; and a cluster's distances are stretched by its share of
+    the last round, so crowded clusters give up their border. A vector is at a border if
+    its second centroid is nearly as near as the first: the ratio is that which
+    a share ``border`` of the sample keeps, so however vectors lie, few are
+    stored more than once. The read ratio is one
     with which queries of the sample find their true nearest neighbours in it,
     by brute force, at the recall asked for: the least by distances, raised
-    until the lists that the graph search itself finds hold as many.
+    until the lists that the graph search itself finds hold as many. Matrices
+    of points by lists are made in blocks; the largest thing held is one of
+    lists by lists in single precision, 64 MB for 4,096 lists.
     """
     rng = np.random.default_rng(seed)
-    index = Index(np.zeros((1, sample.shape[1] + 1)), np.zeros((1, 1), int), most, copy_ratio, copies, 1.0)
+    index = Index(np.zeros((1, sample.shape[1] + 1)), np.zeros((1, 1), int), most, 1.0, copies, 1.0)
     lifted = index.lift(sample, True)
     distinct = np.unique(lifted, axis=0)
     lists = max(1, min(lists, len(distinct)))
     centroids = distinct[rng.choice(len(distinct), lists, replace=False)]
     weight = np.ones(lists)
     for _ in range(rounds):
-        near = (_distances(lifted, centroids) * weight).argmin(axis=1)
+        near = _nearest(lifted, centroids, weight)
         sizes = np.bincount(near, minlength=lists)
         sums = np.zeros_like(centroids)
         np.add.at(sums, near, lifted)
-        centroids = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], centroids)
+        means = sums / np.maximum(sizes, 1)[:, None]
+        norms = np.linalg.norm(means, axis=1)
+        own = norms > 1e-9 * most
+        centroids = np.where(own[:, None], means / np.maximum(norms, 1e-300)[:, None], centroids / np.maximum(np.linalg.norm(centroids, axis=1), 1e-300)[:, None]) * norms[own].mean()
         weight = (np.maximum(sizes, 1) * lists / len(lifted)) ** 0.1
-    centroids = centroids[_chain(_distances(centroids, centroids))]
-    apart = _distances(centroids, centroids)
+    blocks = range(0, lists, 512)
+    centroids = centroids[_chain(np.concatenate([_distances(centroids[i : i + 512], centroids).astype(np.float32) for i in blocks]))]
     degree = min(degree, lists)
-    neighbours = np.argsort(apart, axis=1, kind="stable")[:, :degree].copy()
+    neighbours = np.concatenate([np.argsort(_distances(centroids[i : i + 512], centroids), axis=1, kind="stable")[:, :degree] for i in blocks])
     # A ring through all centroids keeps the graph in one piece.
     neighbours[:, -1] = (np.arange(lists) + 1) % lists
     index.centroids, index.neighbours = centroids, neighbours
     asked = rng.choice(len(sample), min(len(sample), 400), replace=False)
-    row, own = index.stored_in(sample)
-    member = np.zeros((len(sample), lists), bool)
-    member[row, own] = True
+    if lists > 1:
+        two = np.sqrt(np.sort(_distances(lifted[rng.choice(len(sample), min(len(sample), 1024), replace=False)], centroids), axis=1)[:, :2])
+        index.copy_ratio = float(np.clip(np.quantile(two[:, 1] / np.maximum(two[:, 0], 1e-12), border), 1.0, 1.05))
     away = np.sqrt(_distances(index.lift(sample[asked], False), centroids))
-    index.floor = 0.01 * float(away.mean())
-    ratios, trues = [], []
-    for i, q in enumerate(asked):
+    index.floor = float(np.quantile(away.min(axis=1), 0.9))
+    trues = []
+    for q in asked:
         scores = sample @ sample[q]
         scores[q] = -np.inf
         trues.append(np.argsort(-scores, kind="stable")[: min(top, len(sample) - 1)])
-        nearest_one = max(away[i].min(), index.floor)
-        ratios += [max(1.0, away[i][member[t]].min() / nearest_one) if nearest_one else 1.0 for t in trues[-1]]
-    if not ratios:
+    wanted = np.unique(np.concatenate(trues)) if trues else np.zeros(0, int)
+    if not len(wanted):
         return index
+    pairs = [index.stored_in(sample[wanted[i : i + 1024]]) for i in range(0, len(wanted), 1024)]
+    held_in: dict[int, list[int]] = {}
+    for i, (row, own) in enumerate(pairs):
+        for r, c in zip(wanted[1024 * i + row].tolist(), own.tolist(), strict=True):
+            held_in.setdefault(r, []).append(c)
+    nearest_one = np.maximum(away.min(axis=1), index.floor)
+    ratios = [max(1.0, away[i][held_in[t]].min() / nearest_one[i]) if nearest_one[i] else 1.0 for i, true in enumerate(trues) for t in true]
     index.read_ratio = max(1.0, float(np.quantile(ratios, recall)) * (1 + 1e-9))
     points = index.lift(sample[asked], False)
     while True:
         reads = np.isfinite(index.near(points, index.read_ratio, index.floor))
-        held = np.mean([(member[t] & reads[i]).any(axis=1).mean() for i, t in enumerate(trues)])
+        held = np.mean([np.mean([reads[i][held_in[t]].any() for t in true]) for i, true in enumerate(trues)])
         if held >= recall or reads.all():
             break
-        index.read_ratio *= 1.05
+        index.read_ratio *= 1.02
     return index
 
 
-def best_of(queries: np.ndarray, least_scores: np.ndarray, vectors: np.ndarray, ids: np.ndarray, allowed: np.ndarray, top: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def best_of(queries: np.ndarray, least_scores: np.ndarray, vectors: np.ndarray, ids: np.ndarray, allowed: np.ndarray, top: int, scale: float = 1.0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query row: places of its ``top`` best vectors of at least its least score, best first, ties to the smaller id, and scores.
 
-    A matrix product finds all that may be among them; their scores are then
-    summed in one order, so equal vectors have equal scores.
+    A matrix product of the vectors over ``scale`` finds all that may be among
+    them; the scores of the vectors themselves are then summed in one order, so
+    equal vectors have equal scores.
     """
-    rough = queries @ vectors.T
-    allowed = allowed & (rough >= (least_scores - 1e-9 * (1 + np.abs(np.where(np.isfinite(least_scores), least_scores, 0.0))))[:, None])
+    rough = (queries / scale) @ (vectors / scale).T
+    scaled = least_scores / scale / scale
+    allowed = allowed & (rough >= (scaled - 1e-9 * (1 + np.abs(np.where(np.isfinite(scaled), scaled, 0.0))))[:, None])
     rough[~allowed] = -np.inf
     for i in range(len(queries)):
         have = int(allowed[i].sum())
@@ -180,7 +203,8 @@ def best_of(queries: np.ndarray, least_scores: np.ndarray, vectors: np.ndarray,
         least = np.partition(rough[i], len(ids) - min(top, have))[len(ids) - min(top, have)]
         at = np.flatnonzero(rough[i] >= least - 1e-9 * (1 + abs(least)))
         at = at[np.isfinite(rough[i][at])]
-        exact = (vectors[at] * queries[i]).sum(axis=1)
+        with np.errstate(over="ignore", invalid="ignore"):
+            exact = (vectors[at] * queries[i]).sum(axis=1)
         at, exact = at[exact >= least_scores[i]], exact[exact >= least_scores[i]]
         order = np.lexsort((ids[at], -exact))[:top]
         yield i, at[order], exact[order]
@@ -192,9 +216,9 @@ def nearest(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     top: int = 20,
-    recall: float = 0.97,
+    recall: float = 0.94,
     sample_rows: int = 16_384,
-    list_rows: int = 512,
+    list_rows: int = 64,
     most_lists: int = 4_096,
     shelf_rows: int = 8_192,
     near_shelves: int = 3,
@@ -205,7 +229,7 @@ def nearest(
     query's own row is no candidate, but others with the same vector are.
 
     The index is fit on at most ``sample_rows`` vectors (in the order of a hash
-    of their id): about one posting list for ``list_rows`` rows, up to
+    of their id, then by id and vector): about one posting list for ``list_rows`` rows, up to
     ``most_lists``, so its size is bounded and it goes to every task. Every
     vector is stored in its nearest list, one near a border in up to three.
     Lists lie on shelves of about ``shelf_rows`` stored vectors; a longer list
@@ -220,7 +244,9 @@ def nearest(
 
     Defined cases: rows without id and vectors that are null, empty, zero,
     or hold null or non-finite numbers take no part; vectors of each length are
-    searched by themselves, with an index of their own;
+    searched by themselves, with an index of their own; components may be as
+    large as a double can be (the index is built on vectors over the largest
+    one), but products beyond doubles are not ranked;
     rows with one id are candidates and queries of their own; fewer candidates give fewer rows; an empty table gives an empty result;
     other columns are ignored.
     """
@@ -229,21 +255,23 @@ def nearest(
     sound = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     rows = rows.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", sound) & F.exists("v", lambda x: x != 0))
     rows = checkpointed(rows.withColumn("asks", F.coalesce("asks", F.lit(False))).withColumn("uid", F.monotonically_increasing_id()))
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    groups = rows.groupBy(F.size("v").alias("wide")).agg(F.count("*").alias("n"), F.sqrt(F.max(square)).alias("most"), F.count_if("asks").alias("asks")).orderBy("wide").collect()
+    largest = F.max(F.array_max(F.transform("v", F.abs)))
+    groups = rows.groupBy(F.size("v").alias("wide")).agg(F.count("*").alias("n"), largest.alias("scale"), F.count_if("asks").alias("asks")).orderBy("wide").collect()
     parts = []
-    for wide, n, most, asks in groups:
+    for wide, n, scale, asks in groups:
         if asks and n > 1:
             own = rows.filter(F.size("v") == wide) if len(groups) > 1 else rows
-            parts.append(_nearest_of_length(own, n, most, wide, top, recall, sample_rows, list_rows, most_lists, shelf_rows, near_shelves))
+            unit = F.transform("v", lambda x: x / F.lit(scale))  # noqa: B023
+            most = own.agg(F.sqrt(F.max(F.aggregate(unit, F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
+            parts.append(_nearest_of_length(own, n, scale, most, wide, top, recall, sample_rows, list_rows, most_lists, shelf_rows, near_shelves))
     if not parts:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     return reduce(DataFrame.unionByName, parts)
 
 
-def _nearest_of_length(rows: DataFrame, n: int, most: float, wide: int, top: int, recall: float, sample_rows: int, list_rows: int, most_lists: int, shelf_rows: int, near_shelves: int) -> DataFrame:
-    """``nearest`` among sound rows (uid, id, v, asks) whose ``n`` vectors all have ``wide`` numbers and no norm above ``most``."""
-    sample = np.array([r.v for r in rows.orderBy(F.xxhash64("uid"), "uid").select("v").limit(sample_rows).collect()])
+def _nearest_of_length(rows: DataFrame, n: int, scale: float, most: float, wide: int, top: int, recall: float, sample_rows: int, list_rows: int, most_lists: int, shelf_rows: int, near_shelves: int) -> DataFrame:
+    """``nearest`` among sound rows (uid, id, v, asks) whose ``n`` vectors all have ``wide`` numbers, none above ``scale``, and over it no norm above ``most``."""
+    sample = np.array([r.v for r in rows.orderBy(F.xxhash64("id"), "id", "v").select("v").limit(sample_rows).collect()]) / scale
     index = fit(sample, most, int(min(most_lists, max(1, round(n / list_rows)))), top, recall)
 
     def to_lists(reads: bool):
@@ -251,7 +279,7 @@ def _nearest_of_length(rows: DataFrame, n: int, most: float, wide: int, top: int
             for batch in batches:
                 for start in range(0, batch.num_rows, 1024):
                     part = batch.slice(start, 1024)
-                    vectors = np.array(part.column(1).flatten()).reshape(-1, wide)
+                    vectors = np.array(part.column(1).flatten()).reshape(-1, wide) / scale
                     row, own, *more = index.read_by(vectors, homes, top + 1) if reads else index.stored_in(vectors)
                     # A stored vector's first list is its home.
                     more = more or [np.diff(row, prepend=-1) > 0]
@@ -308,7 +336,7 @@ def _nearest_of_length(rows: DataFrame, n: int, most: float, wide: int, top: int
                 reads[np.repeat(np.arange(len(asks)), counts), np.array(part["lists"].combine_chunks().flatten())] = 1
                 allowed = (reads[:, local] @ holds.T > 0) & (part["uid"].to_numpy()[:, None] != uids)
                 names = part["id"].to_numpy(), part["uid"].to_numpy()
-                for i, at, scores in best_of(asks, part["least"].to_numpy(), vectors, ids, allowed, top):
+                for i, at, scores in best_of(asks, part["least"].to_numpy(), vectors, ids, allowed, top, scale):
                     out[0].append(np.column_stack([np.full(len(at), names[1][i]), np.full(len(at), names[0][i])]))
                     out[1].append(np.column_stack([ids[at], uids[at]]))
                     out[2].append(scores)

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -121,3 +123,34 @@ def test_each_length_is_searched_by_itself(spark):
     for r in nearest(df, F.col("vec_id") % 10 == 0, top=3).collect():
         got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
     assert got == {q: {k: (29 - k + 1, (1.0 + q) * (30 - k + 1) + 1) for k in (1, 2, 3)} for q in (0, 10, 20)} | {50: {1: (51, 2.0)}}
+
+
+def test_large_components(spark):
+    """Squares of these pass the largest double; their products don't."""
+    rows = [(i, [1e150 * (1 + i % 7), 1e150 * (i % 5)]) for i in range(60)] + [(60, [1e-3, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors = np.array([v for _, v in rows])
+    for r in nearest(df, F.col("vec_id") % 20 == 0, top=3).collect():
+        assert r.score == (vectors[r.query_id] * vectors[r.vec_id]).sum()
+    got = nearest(df.filter("vec_id <> 60").unionByName(spark.createDataFrame([(61, [1e200, 1.0])], df.schema)), F.col("vec_id") % 20 == 0, top=3).collect()
+    assert len(got) == 9 and all(r.vec_id == 61 for r in got if r.rank == 1)
+
+
+def test_few_copies_and_even_lists():
+    """Vectors without clusters, whose means would be short and draw all others."""
+    rng = np.random.default_rng(8)
+    sample = rng.normal(size=(8192, 32))
+    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    index = fit(sample, 1.0, 100, 20)
+    row, own = index.stored_in(sample)
+    assert 1 < len(row) / len(sample) < 1.5
+    assert np.bincount(own, minlength=100).max() < 5 * len(row) / 100 and np.bincount(own, minlength=100).min() > 0
+
+
+def test_fit_holds_little():
+    rng = np.random.default_rng(9)
+    sample = rng.normal(size=(8192, 16))
+    tracemalloc.start()
+    fit(sample, float(np.linalg.norm(sample, axis=1).max()), 2048, 20, rounds=2)
+    assert tracemalloc.get_traced_memory()[1] < 150 << 20
+    tracemalloc.stop()
