@@ -46,7 +46,7 @@ def sampled(logits: Column, seed: Column, temperature: float = 1.0, k: int | Non
     if temperature == 0 or k == 1:
         return argmax(logits)
     place = top_k(logits, k) if k else F.transform(logits, lambda x, i: F.struct(i.cast("long").alias("place"), x.alias("value")))
-    u = lambda i: (F.pmod(F.xxhash64(seed, i), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    u = lambda i: (F.conv(F.substring(F.md5(F.concat_ws(":", seed.cast("string"), i.cast("string"))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     noisy = F.transform(place, lambda p: F.struct((p["value"] / temperature - F.ln(-F.ln(u(p["place"])))).alias("noisy"), p["place"].alias("place")))
     return F.array_max(noisy)["place"]
 

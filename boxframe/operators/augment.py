@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxframe.functions import geometry as G
+from boxframe.schemas import CATEGORIES
 
 #: Side of the square that pictures are put on.
 OUTPUT = 1333
@@ -18,8 +19,8 @@ LEAST_CROP = 30
 
 
 def uniform(seed: int, *keys: Column) -> Column:
-    """A number in [0, 1) for a key."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11).cast("double") / float(1 << 53)
+    """A number in [0, 1) for a key: 52 bits of the MD5 of seed and keys as text, which any SQL engine can repeat."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *(k.cast("string") for k in keys))), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def whole(seed: int, low: Column, high: Column, *keys: Column) -> Column:
@@ -29,7 +30,7 @@ def whole(seed: int, low: Column, high: Column, *keys: Column) -> Column:
 
 def shuffled(values: Column, seed: int, *keys: Column) -> Column:
     """An array in an order drawn for the key."""
-    ranked = F.array_sort(F.transform(values, lambda x, i: F.struct(F.xxhash64(F.lit(seed), *keys, i).alias("at"), i.alias("i"))))
+    ranked = F.array_sort(F.transform(values, lambda x, i: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), *(k.cast("string") for k in keys), i.cast("string"))).alias("at"), i.alias("i"))))
     return F.transform(ranked, lambda r: F.get(values, r["i"]))
 
 
@@ -50,6 +51,35 @@ def random_crop(box: G.Box, width: Column, height: Column, crop_w: Column, crop_
     return G.crop(box, left, top, crop_w, crop_h)
 
 
+def random_size_crop(box: G.Box, width: Column, height: Column, least: int, most: int, seed: int, *keys: Column) -> tuple[G.Box, Column, Column]:
+    """Box, width and height of a cut-out whose sides are drawn from ``least`` to ``most`` (or the picture's)."""
+    sides = [whole(seed, F.lit(least), F.least(F.lit(most), side), *keys, F.lit(n)) for n, side in (("w", width), ("h", height))]
+    return random_crop(box, width, height, *sides, seed, *keys), *sides
+
+
+def padded(width: Column, height: Column, right: Column, below: Column) -> tuple[Column, Column]:
+    """Width and height of a picture with a margin to the right and below; boxes stay where they are."""
+    return width + right, height + below
+
+
+def random_pad(width: Column, height: Column, most: int, seed: int, *keys: Column) -> tuple[Column, Column]:
+    return padded(width, height, *(whole(seed, F.lit(0), F.lit(most), *keys, F.lit(n)) for n in ("x", "y")))
+
+
+def random_resize(box: G.Box, width: Column, height: Column, sizes: list[int], seed: int, *keys: Column, max_size: int | None = None) -> tuple[G.Box, Column, Column]:
+    """Box, width and height after a resize to one of ``sizes``, drawn for the key."""
+    at = whole(seed, F.lit(0), F.lit(len(sizes) - 1), *keys)
+    sides = [G.resized(width, height, size, max_size) for size in sizes]
+    w, h = (F.get(F.array(*(s[i] for s in sides)), at.cast("int")) for i in (0, 1))
+    return G.scaled(box, w / width, h / height), w, h
+
+
+def random_select(first: G.Box, second: G.Box, seed: int, *keys: Column, p: float = 0.5) -> G.Box:
+    """The box of one of two transforms, the first with probability ``p``."""
+    chosen = uniform(seed, *keys) < p
+    return G.Box(*(F.when(chosen, a).otherwise(b) for a, b in zip(first, second, strict=True)))
+
+
 def center_crop(box: G.Box, width: Column, height: Column, crop_w: Column, crop_h: Column) -> G.Box:
     return G.crop(box, F.rint((width - crop_w) / 2), F.rint((height - crop_h) / 2), crop_w, crop_h)
 
@@ -96,7 +126,7 @@ def free_spans(boxes: DataFrame, keys: list[str], low: str, high: str, size: Col
 
 def crop_region(spans: DataFrame, keys: list[str], seed: int) -> DataFrame:
     """(keys, low, high): a cut between points drawn in two different spans of each axis; axes with one span get two points in it."""
-    order = F.xxhash64(F.lit(seed), *keys, "start", "stop")
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in (*keys, "start", "stop"))))
     pick = spans.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(order, "start", "stop"))).filter("__nth <= 2")
     point = pick.select(*keys, whole(seed + 1, F.col("start"), F.col("stop"), *map(F.col, keys), F.col("__nth")).alias("at"), whole(seed + 2, F.col("start"), F.col("stop"), *map(F.col, keys), F.col("__nth")).alias("other"))
     both = point.groupBy(*keys).agg(F.count("*").alias("n"), F.min("at").alias("a"), F.max("at").alias("b"), F.min("other").alias("c"))
@@ -117,6 +147,21 @@ def composites(items: DataFrame, others: int, n: Column, seed: int, p: float = 0
     return items.select("idx", F.lit(0).alias("slot"), F.col("idx").alias("source")).unionByName(throws.select("idx", "slot", partner.alias("source")))
 
 
+def stacked(pictures: DataFrame, keys: list[str], slot: str = "slot", boxes: str = "boxes") -> DataFrame:
+    """(keys, boxes): the pictures of each key put below one another in the order of slots.
+
+    ``pictures`` has keys, slot, height and an array of boxes (x1, y1, x2, y2
+    and any other fields); of fields named rxn_id and box_idx those of later
+    pictures are counted on from the ones before. A key has a handful of slots.
+    """
+    order = Window.partitionBy(*keys).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(order), F.lit(0))
+    reactions = F.coalesce(F.array_max(F.transform(boxes, lambda b: b["rxn_id"])) + 1, F.lit(0))
+    placed = pictures.select(*keys, slot, boxes, before(F.col("height")).alias("top"), before(F.size(boxes)).alias("n"), before(reactions).alias("r"))
+    moved = F.transform(boxes, lambda b: b.withField("y1", b["y1"] + F.col("top")).withField("y2", b["y2"] + F.col("top")).withField("box_idx", b["box_idx"] + F.col("n")).withField("rxn_id", b["rxn_id"] + F.col("r")))
+    return placed.select(*keys, slot, moved.alias("b")).groupBy(*keys).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(slot, "b"))), lambda x: x["b"])).alias(boxes))
+
+
 def below(boxes_a: Column, boxes_b: Column, height_a: Column, x_b: Column) -> Column:
     """Boxes of two pictures of which the second is put below the first, ``x_b`` to the right."""
     moved = F.transform(boxes_b, lambda b: b.withField("x1", b["x1"] + x_b).withField("x2", b["x2"] + x_b).withField("y1", b["y1"] + height_a).withField("y2", b["y2"] + height_a))
@@ -128,21 +173,71 @@ def rebased(indices: Column, n_boxes: Column) -> Column:
     return F.transform(indices, lambda i: i + n_boxes)
 
 
-def perturbed(indices: Column, n_boxes: Column, seed: int, *keys: Column) -> Column:
-    """A role's box numbers with one added, one taken out or one replaced, drawn for the key; one of no box gets one added."""
-    kind = whole(seed, F.lit(0), F.lit(2), *keys, F.lit("kind"))
-    new = whole(seed, F.lit(0), n_boxes - 1, *keys, F.lit("new"))
-    at = whole(seed, F.lit(0), F.size(indices) - 1, *keys, F.lit("at"))
-    added = F.concat(indices, F.array(new))
-    gone = F.filter(indices, lambda x, i: i != at)
-    return F.when((F.size(indices) == 0) | (kind == 0), added).when(kind == 1, gone).otherwise(F.transform(indices, lambda x, i: F.when(i == at, new).otherwise(x)))
+def perturbed(roles: Column, n_boxes: Column, seed: int, *keys: Column) -> Column:
+    """A reaction, as an array of its roles' box numbers, with one box added, taken out or moved to another role.
+
+    A reaction of one reactant and one product can only get one added; what's
+    taken out leaves at least one reactant and one product.
+    """
+    draw = lambda low, high, name: whole(seed, low, high, *keys, F.lit(name))
+    least = F.array(F.lit(1), F.lit(0), F.lit(1))
+    spare = F.filter(F.transform(roles, lambda a, r: F.when(F.size(a) > F.get(least, r), r.cast("long"))), lambda r: r.isNotNull())
+    kind = F.when(F.size(spare) == 0, F.lit(0)).otherwise(draw(F.lit(0), F.lit(2), "kind"))
+    added, new = draw(F.lit(0), F.lit(2), "role"), draw(F.lit(0), n_boxes - 1, "new")
+    gone = F.get(spare, draw(F.lit(0), F.size(spare) - 1, "gone").cast("int"))
+    place = draw(F.lit(0), F.size(F.get(roles, gone.cast("int"))) - 1, "place")
+    to, box = (gone + 1 + draw(F.lit(0), F.lit(1), "to")) % 3, F.get(F.get(roles, gone.cast("int")), place.cast("int"))
+
+    def role(a: Column, r: Column) -> Column:
+        put = F.when((kind == 0) & (r == added), F.concat(a, F.array(new))).when((kind > 0) & (r == gone), F.filter(a, lambda x, i: i != place))
+        return put.when((kind == 2) & (r == to), F.concat(a, F.array(box))).otherwise(a)
+
+    return F.transform(roles, role)
+
+
+def augmented(reactions: Column, boxes: Column, seed: int, *keys: Column, fresh: int = 20) -> Column:
+    """A reaction that isn't there: of boxes drawn anew (``fresh`` times of 100, or if there's none), or one of ``reactions`` perturbed.
+
+    ``reactions`` is an array of roles' box numbers, ``boxes`` the numbers of
+    boxes that aren't empty.
+    """
+    draw = lambda low, high, *name: whole(seed, low, high, *keys, *map(F.lit, name))
+    n = F.size(boxes)
+
+    def drawn(name: str, least: int) -> Column:
+        count = draw(F.lit(least), F.lit(3), "n", name)
+        return F.transform(F.slice(F.array(F.lit(0), F.lit(1), F.lit(2)), F.lit(1), count.cast("int")), lambda j: F.get(boxes, whole(seed, F.lit(0), n - 1, *keys, F.lit(name), j).cast("int")))
+
+    anew = F.array(drawn("r", 1), drawn("c", 0), drawn("p", 1))
+    known = F.get(reactions, draw(F.lit(0), F.size(reactions) - 1, "pick").cast("int"))
+    old = F.transform(F.array(known), lambda k: perturbed(k, n, seed, *keys))[0]
+    return F.when((F.size(reactions) == 0) | (draw(F.lit(0), F.lit(99), "fresh") < fresh), anew).otherwise(old)
+
+
+def train_view(box: G.Box, width: Column, height: Column, seed: int, *keys: Column, size: int = OUTPUT) -> tuple[G.Box, Column, Column]:
+    """(normalised box, x scale, y scale) of a training view: turned, flipped, jittered, then normalised. Colours are the pixels' matter."""
+    box, w, h = random_rotate(box, width, height, seed, *keys)
+    box = random_flip(box, w, seed + 1, *keys)
+    box, sx, sy = jitter(box, w, h, seed + 2, keys=keys, size=size)
+    return G.normalised(box, F.lit(float(size)), F.lit(float(size))), sx, sy
+
+
+def eval_view(box: G.Box, width: Column, height: Column, size: int = OUTPUT) -> tuple[G.Box, Column, Column]:
+    """The same without any draw: fitted and padded, then normalised."""
+    box, sx, sy = jitter(box, width, height, size=size)
+    return G.normalised(box, F.lit(float(size)), F.lit(float(size))), sx, sy
 
 
 def jittered_box(box: G.Box, width: Column, height: Column, seed: int, *keys: Column, ratio: float = 0.2) -> G.Box:
-    """Corners moved by up to ``ratio`` of the box's sides, cut to the picture."""
+    """Corners moved by up to ``ratio`` of the box's sides, put in order and cut to the picture."""
     w, h = box.x2 - box.x1, box.y2 - box.y1
     move = lambda side, name: side * ratio * (uniform(seed, *keys, F.lit(name)) * 2 - 1)
-    return G.clamp(G.Box(box.x1 + move(w, "x1"), box.y1 + move(h, "y1"), box.x2 + move(w, "x2"), box.y2 + move(h, "y2")), width, height)
+    x, y = [box.x1 + move(w, "x1"), box.x2 + move(w, "x2")], [box.y1 + move(h, "y1"), box.y2 + move(h, "y2")]
+    return G.clamp(G.Box(F.least(*x), F.least(*y), F.greatest(*x), F.greatest(*y)), width, height)
+
+
+def random_category(seed: int, *keys: Column) -> Column:
+    return whole(seed, F.lit(1), F.lit(len(CATEGORIES)), *keys, F.lit("category"))
 
 
 def random_box(width: Column, height: Column, seed: int, *keys: Column) -> G.Box:

@@ -66,14 +66,16 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["image_id", "category_id", "area", "rank", "score", "hits", "outs", "gold"])
 
 
-def evaluate(gold: DataFrame, pred: DataFrame) -> DataFrame:
+def evaluate(gold: DataFrame, pred: DataFrame, ranges: int = 1024) -> DataFrame:
     """One row of twelve numbers: ap, ap50, ap75, aps, apm, apl, ar1, ar10, ar100, ars, arm, arl.
 
     ``gold`` is (image_id, category_id, box, corners in pixels), ``pred`` has
     score as well. Images without predictions don't count at all. Matching is
     greedy by score within an image and category, the one step that is not a
-    plain aggregate; curves are windows over the ranked detections of a
-    category, area and threshold. Without detections all are 0; areas without
+    plain aggregate. A curve (of a category, area and threshold) is cut into
+    ``ranges`` of scores: detections are ranked within their range, and small
+    tables carry counts, hits and the best precision from range to range, so
+    no task holds a whole curve. Without detections all are 0; areas without
     gold boxes are -1.
     """
     columns = ("image_id", "category_id", "box", "x1", "y1", "x2", "y2")
@@ -81,24 +83,37 @@ def evaluate(gold: DataFrame, pred: DataFrame) -> DataFrame:
     both = known.unionByName(pred.select(*columns, "score", F.lit("pred").alias("side")))
     box = F.struct("side", "score", "box", "x1", "y1", "x2", "y2")
     each = both.groupBy("image_id", "category_id").agg(F.sort_array(F.collect_list(box)).alias("boxes"))
-    found = each.mapInArrow(_matched, "image_id long, category_id long, area string, rank long, score double, hits long, outs long, gold long")
-    total = found.groupBy("category_id", "area").agg(F.sum("gold").alias("total")).filter("total > 0")
+    found = each.mapInArrow(_matched, "image_id long, category_id long, area string, rank long, score double, hits long, outs long, gold long").filter("rank is not null")
+    size = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    areas = F.explode(F.array_compact(F.array(*(F.when((size >= least) & (size <= most), F.lit(name)) for name, (least, most) in AREAS.items())))).alias("area")
+    total = known.select("category_id", areas).groupBy("category_id", "area").agg(F.count("*").alias("total"))
     bit = F.posexplode(F.array(*map(F.lit, IOUS))).alias("bit", "iou")
     is_set = lambda c: F.expr(f"(shiftright({c}, bit) & 1) = 1")
-    scored = found.filter("rank is not null").select("*", bit).filter(~is_set("outs")).withColumn("hit", is_set("hits").cast("double"))
-    scored = scored.join(total, ["category_id", "area"])
-    curve = Window.partitionBy("category_id", "area", "iou").orderBy(F.desc("score"), "image_id", "rank")
-    hits = F.sum("hit").over(curve.rowsBetween(Window.unboundedPreceding, 0))
-    points = scored.withColumn("recall", hits / F.col("total")).withColumn("precision", hits / F.row_number().over(curve))
-    points = points.withColumn("best", F.max("precision").over(curve.rowsBetween(0, Window.unboundedFollowing)))
-    # The curve's envelope falls with recall: at each recall point the first value at or over it counts.
-    by_recall = points.groupBy("category_id", "area", "iou", "recall").agg(F.max("best").alias("best"))
-    before = F.coalesce(F.lag("recall").over(Window.partitionBy("category_id", "area", "iou").orderBy("recall")), F.lit(-1.0))
-    reached = F.size(F.filter(F.array(*map(F.lit, RECALLS)), lambda r: (r <= F.col("recall") + 1e-12) & (r > F.col("before") + 1e-12)))
-    averaged = by_recall.withColumn("before", before).groupBy("category_id", "area", "iou").agg((F.sum(F.col("best") * reached) / len(RECALLS)).alias("ap"))
-    cells = total.withColumn("iou", F.explode(F.array(*map(F.lit, IOUS))))
-    recall = scored.groupBy("category_id", "area", "iou").agg(*(F.sum(F.when(F.col("rank") < k, F.col("hit")).otherwise(0.0)).alias(f"hits{k}") for k in (1, 10, 100)))
-    table = cells.join(averaged, ["category_id", "area", "iou"], "left").join(recall, ["category_id", "area", "iou"], "left")
+    cell = ["category_id", "area", "iou"]
+    scored = found.select("*", bit).filter(~is_set("outs")).withColumn("hit", is_set("hits").cast("double")).withColumn("range", -F.floor(F.col("score") * ranges))
+    scored = scored.join(F.broadcast(total), ["category_id", "area"]).select("image_id", *cell, "rank", "score", "hit", "range", "total")
+    # Within a range.
+    inside = Window.partitionBy(*cell, "range").orderBy(F.desc("score"), "image_id", "rank")
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    # Across ranges: a table of cells and ranges.
+    counts = scored.groupBy(*cell, "range").agg(F.count("*").alias("n"), F.sum("hit").alias("h"))
+    across = Window.partitionBy(*cell).orderBy("range")
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*cell, "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"), F.coalesce(F.sum("h").over(earlier), F.lit(0.0)).alias("h0"))
+    points = scored.join(counts, [*cell, "range"]).withColumn("hits", F.col("h0") + F.sum("hit").over(so_far)).withColumn("precision", F.col("hits") / (F.col("n0") + F.row_number().over(inside)))
+    points = points.withColumn("recall", F.col("hits") / F.col("total"))
+    # A curve's envelope falls with recall: at each recall point the best precision from the first detection at or over it counts.
+    by_recall = points.groupBy(*cell, "range", "recall").agg(F.max("precision").alias("best"), *(F.sum(F.when(F.col("rank") < k, F.col("hit")).otherwise(0.0)).alias(f"hits{k}") for k in (1, 10, 100)))
+    own = Window.partitionBy(*cell, "range").orderBy("recall")
+    by_recall = by_recall.withColumn("best", F.max("best").over(own.rowsBetween(0, Window.unboundedFollowing)))
+    ends = by_recall.groupBy(*cell, "range").agg(F.max("best").alias("most"), F.max("recall").alias("till"))
+    later, last = across.rowsBetween(1, Window.unboundedFollowing), across.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*cell, "range", F.coalesce(F.max("most").over(later), F.lit(0.0)).alias("after"), F.coalesce(F.max("till").over(last), F.lit(-1.0)).alias("since"))
+    placed = by_recall.withColumn("before", F.lag("recall").over(own)).join(ends, [*cell, "range"])
+    before, best = F.coalesce("before", "since"), F.greatest("best", "after")
+    reached = F.size(F.filter(F.array(*map(F.lit, RECALLS)), lambda r: (r <= F.col("recall") + 1e-12) & (r > before + 1e-12)))
+    curves = placed.groupBy(*cell).agg((F.sum(best * reached) / len(RECALLS)).alias("ap"), *(F.sum(f"hits{k}").alias(f"hits{k}") for k in (1, 10, 100)))
+    table = total.withColumn("iou", F.explode(F.array(*map(F.lit, IOUS)))).join(curves, cell, "left")
     mean = lambda c, when: F.coalesce(F.avg(F.when(when, F.coalesce(c, F.lit(0.0)))), F.lit(-1.0))
     area = lambda a: F.col("area") == a
     numbers = [mean(F.col("ap"), area("all")).alias("ap"), *(mean(F.col("ap"), area("all") & (F.col("iou") == t)).alias(n) for n, t in (("ap50", 0.5), ("ap75", 0.75)))]

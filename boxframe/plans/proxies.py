@@ -86,12 +86,15 @@ def _placed(name: str, table: str) -> str:
     return f"{name} AS (SELECT *, row_number() OVER (PARTITION BY image_id, rxn_id ORDER BY role, box_idx) - 1 AS place FROM {table})"
 
 
-def compare_sql(name: str, left: str, right: str, extra: str = "", mol_only: bool = False, merge: bool = False) -> str:
-    """CTEs that give ``name`` (image_id, l, r): pairs of reactions that are equal, left against right."""
+def compare_sql(name: str, left: str, right: str, extra: str = "", mol_only: bool = False, merge: bool = False, kept: bool = False) -> str:
+    """CTEs that give ``name`` (image_id, l, r): pairs of reactions that are equal, left against right.
+
+    With ``kept`` only boxes with that flag are looked at; any may be matched.
+    """
 
     def considered(side: str) -> str:
         if not mol_only:
-            return f"SELECT image_id, rxn_id, role, place FROM {side}"
+            return f"SELECT image_id, rxn_id, role, place FROM {side}{' WHERE kept' if kept else ''}"
         return f"SELECT image_id, rxn_id, role, place FROM (SELECT *, max(CAST(category_id = 1 AS INT)) OVER (PARTITION BY image_id, rxn_id, role) AS any_mol FROM {side}) WHERE category_id = 1 OR (role <> {ROLES.index('conditions')} AND any_mol = 0)"
 
     role = "CASE WHEN role = 1 THEN 0 ELSE role END" if merge else "role"

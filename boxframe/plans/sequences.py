@@ -78,11 +78,19 @@ def fsm_trace(spark, d):
 
 
 def fsm_allowed(spark, d):
-    """For each token of each reaction, whether the grammar allows it after those before."""
-    rxns = P.gold(spark, d).select("image_id", "rxn_id", tokens.reaction_tokens(V, F.col("boxes")).alias("tokens"))
-    before = rxns.select("image_id", "rxn_id", "tokens", F.concat(F.array(F.lit(grammar.START)), grammar.states(V, F.col("tokens"))).alias("states"))
+    """For each token of each reaction, whether the grammar allows it after those before.
+
+    In every image but one of four, each reaction has one token doubled, left
+    out or put in the place of the next, so that some are forbidden.
+    """
+    rxns = P.gold(spark, d).select("image_id", "rxn_id", tokens.reaction_tokens(V, F.col("boxes")).alias("said")).filter(F.size("said") > 0)
+    at = ((F.col("image_id") * 7 + F.col("rxn_id")) % F.size("said")).cast("int")
+    kind = F.col("image_id") % 4
+    begin, own, rest = F.slice("said", F.lit(1), at), F.slice("said", at + 1, F.lit(1)), F.slice("said", at + 2, F.size("said"))
+    changed = F.when(kind == 0, F.col("said")).when(kind == 1, F.concat(begin, own, own, rest)).when(kind == 2, F.concat(begin, rest)).otherwise(F.concat(begin, F.slice(rest, 1, 1), own, F.slice(rest, F.lit(2), F.size("said"))))
+    before = rxns.withColumn("tokens", changed).withColumn("states", F.concat(F.array(F.lit(grammar.START)), grammar.states(V, F.col("tokens"))))
     ok = F.zip_with("tokens", F.slice("states", F.lit(1), F.size("tokens")), lambda t, s: grammar.allowed(V, s, t))
-    return before.select("image_id", "rxn_id", F.size("tokens").cast("long").alias("n"), F.size(F.filter(ok, lambda x: x)).cast("long").alias("allowed"))
+    return before.select("image_id", "rxn_id", F.array_join(F.transform(ok, lambda x: F.when(x, "1").otherwise("0")), "").alias("allowed"))
 
 
 def _logits(spark, d):
@@ -232,6 +240,32 @@ _WARM = lambda rising: f"CASE WHEN step >= 10 THEN 1e0 ELSE {rising} END"  # noq
 _STEP = "s AS (SELECT o_orderkey, o_orderkey % 301 AS step FROM orders)"
 _BEAM = f"b AS (SELECT vec_id // 4 AS batch, vec_id % 4 AS beam, -(vec_id % 7) / 10e0 AS beam_logp, place, round(logp, 9) AS logp FROM lp)"
 
+#: The grammar step by step over the changed sequences: section and slot after each token, and whether it was allowed.
+_FSM = """o AS (SELECT image_id, rxn_id, list_transform(string_split(tokens, ' '), lambda x: CAST(x AS INT)) AS l FROM said WHERE tokens <> ''),
+c AS (SELECT *, CAST((image_id * 7 + rxn_id) % len(l) AS INT) AS pos FROM o),
+e AS (SELECT image_id, rxn_id, unnest(l) AS t, generate_subscripts(l, 1) - 1 AS j, pos, image_id % 4 AS kind FROM c),
+f AS (SELECT *, CASE WHEN kind = 3 AND j = pos THEN j + 1.5 ELSE j END AS place FROM e WHERE NOT (kind = 2 AND j = pos) UNION ALL SELECT *, j + 0.5 FROM e WHERE kind = 1 AND j = pos),
+tok AS MATERIALIZED (SELECT image_id, rxn_id, t, row_number() OVER (PARTITION BY image_id, rxn_id ORDER BY place) AS i FROM f),
+run AS (SELECT DISTINCT image_id, rxn_id, CAST(0 AS BIGINT) AS i, 'Rxn' AS s, 'e' AS k, true AS ok FROM tok
+  UNION ALL SELECT r.image_id, r.rxn_id, n.i,
+    CASE WHEN r.k <> 'e' OR r.s = 'EOS' THEN r.s WHEN r.s = 'Rxn' THEN CASE WHEN n.t < 2000 THEN 'Rct' ELSE 'EOS' END WHEN r.s = 'Rct' THEN 'Cnd' WHEN r.s = 'Cnd' THEN 'Prd' ELSE 'Rxn' END,
+    CASE r.k WHEN 'x1' THEN 'y1' WHEN 'y1' THEN 'x2' WHEN 'x2' THEN 'y2' WHEN 'y2' THEN 'c' WHEN 'c' THEN CASE WHEN n.t < 2000 THEN 'x1' ELSE 'e' END
+      ELSE CASE WHEN r.s = 'EOS' OR r.s = 'Prd' THEN 'e' WHEN r.s = 'Cnd' OR n.t < 2000 THEN 'x1' ELSE 'e' END END,
+    CASE r.k WHEN 'x1' THEN n.t < 2000 WHEN 'y1' THEN n.t < 2000 WHEN 'x2' THEN n.t < 2000 WHEN 'y2' THEN n.t BETWEEN 2010 AND 2013
+      WHEN 'c' THEN n.t < 2000 OR n.t = CASE r.s WHEN 'Rct' THEN 2007 WHEN 'Cnd' THEN 2009 WHEN 'Prd' THEN 2008 ELSE -1 END
+      ELSE CASE r.s WHEN 'Rct' THEN n.t < 2000 OR n.t = 2009 WHEN 'Cnd' THEN n.t < 2000 WHEN 'Prd' THEN n.t IN (2006, 2014) WHEN 'Rxn' THEN n.t < 2000 OR n.t = 2092 ELSE n.t = 2092 END END
+  FROM run r JOIN tok n ON n.image_id = r.image_id AND n.rxn_id = r.rxn_id AND n.i = r.i + 1)"""
+_SEARCH = """st AS MATERIALIZED (SELECT vec_id // 8 AS run, vec_id % 8 AS step, place, logp FROM lp),
+b AS (SELECT DISTINCT run, CAST(0 AS BIGINT) AS n, 0e0 AS logp, CAST([] AS BIGINT[]) AS tokens, 0e0 AS less, false AS done, false AS over FROM st
+  UNION ALL SELECT run, n, logp, tokens, less, done, over FROM (
+    SELECT *, first_value(done) OVER w AS over, row_number() OVER w AS k FROM (
+      SELECT b.run, b.n + 1 AS n, b.logp + x.logp AS logp, list_append(b.tokens, x.place) AS tokens, -(b.logp + x.logp) / (b.n + 1) AS less, x.place = 0 OR b.n + 1 >= 8 AS done
+      FROM b JOIN (SELECT run, step, place, CASE WHEN place = 0 AND step < 1 THEN -1e20 ELSE logp END AS logp FROM st) x ON x.run = b.run AND x.step = b.n WHERE NOT b.done AND NOT b.over)
+    WINDOW w AS (PARTITION BY run ORDER BY less, logp, tokens)) WHERE k <= 3),
+h AS (SELECT *, bool_or(done) OVER (PARTITION BY run) AS any_done, max(n) OVER (PARTITION BY run) AS last FROM b),
+r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY less, logp, tokens) AS k FROM h WHERE CASE WHEN any_done THEN done ELSE n = last END)
+SELECT run, array_to_string(tokens, ' ') AS tokens, round(-less, 6) AS score FROM r WHERE k = 1"""
+
 ORACLE_SQL = {
     "tokenize_boxes": f"{_W} SELECT image_id, box_idx, {_FIVE} AS tokens FROM gold_box",
     "quantize_plain": f"{_W}, q AS (SELECT image_id, box_idx, 14 + CAST(round_even(x1 * 99e0, 0) AS BIGINT) AS x_token, 114 + CAST(round_even(y1 * 99e0, 0) AS BIGINT) AS y_token FROM gold_box) SELECT *, round((x_token - 14) / 99e0, 9) AS x, round((y_token - 114) / 99e0 / 0.5e0, 9) AS y, y_token BETWEEN 14 AND 113 AS y_is_x FROM q",
@@ -242,7 +276,8 @@ ORACLE_SQL = {
     "detokenize_roundtrip": f"{_W}, ok AS (SELECT image_id, rxn_id, row_number() OVER (PARTITION BY image_id ORDER BY rxn_id) - 1 AS rxn FROM gold_box GROUP BY image_id, rxn_id HAVING bool_or(role = 0) AND bool_or(role = 2)) SELECT image_id, ok.rxn, role, row_number() OVER (PARTITION BY image_id, rxn_id, role ORDER BY box_idx) - 1 AS place, category_id, {', '.join(f'round({_BIN(c)} / 1999e0, 9) AS {c}' for c in ('x1', 'y1', 'x2', 'y2'))} FROM gold_box JOIN ok USING (image_id, rxn_id)",
     "detokenize_boxes": f"{_W} SELECT image_id, box_idx AS place, category_id, round({_BIN('x1')} / 1999e0, 9) AS x1, round((5 * box_idx + 5) / 100e0, 6) AS score FROM gold_box",
     "fsm_trace": f"{_W}, {_RXN}, {_STATES} SELECT image_id, rxn_id, coalesce(states, '') AS states FROM said LEFT JOIN states USING (image_id, rxn_id)",
-    "fsm_allowed": f"{_W}, {_RXN} SELECT image_id, rxn_id, CASE WHEN tokens = '' THEN 0 ELSE len(string_split(tokens, ' ')) END AS n, CASE WHEN tokens = '' THEN 0 ELSE len(string_split(tokens, ' ')) END AS allowed FROM said",
+    "fsm_allowed": f"{_W.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_RXN}, {_FSM} SELECT image_id, rxn_id, string_agg(CASE WHEN ok THEN '1' ELSE '0' END, '' ORDER BY i) AS allowed FROM run WHERE i > 0 GROUP BY ALL",
+    "beam_search": f"WITH RECURSIVE {_LOGP}, {_SEARCH}",
     "log_softmax": f"WITH {_LOGP} SELECT vec_id, place, round(logp, 9) AS logp FROM lp",
     "greedy_argmax": f"WITH {_LOGP} SELECT vec_id, place AS token, round(logp, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, place) AS k FROM lp WHERE place < 62) WHERE k = 1",
     "masked_argmax": f"WITH {_LOGP} SELECT vec_id, place AS token FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, place) AS k FROM lp WHERE place % 2 <> label % 2) WHERE k = 1",
@@ -260,5 +295,6 @@ ORACLE_SQL = {
     "sine_position": "WITH p AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), i AS (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS i), a AS (SELECT l_orderkey, l_linenumber, i, CAST(l_linenumber AS DOUBLE) / (7e0 + 1e-6) * 6.283185307179586e0 / pow(10000e0, 2e0 * (i // 2) / 8) AS a FROM p, i) SELECT l_orderkey, l_linenumber, i, round(CASE WHEN i % 2 = 0 THEN sin(a) ELSE cos(a) END, 9) AS v FROM a",
     "sinusoid_position": "WITH i AS (SELECT unnest([0, 1, 2, 3, 4, 5]) AS i), a AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, i, turn * exp(-(2 * (i // 2)) * ln(10000e0) / 6) AS a FROM conversations, i) SELECT conv_id, turn, i, round(CASE WHEN i % 2 = 0 THEN sin(a) ELSE cos(a) END, 9) AS v FROM a",
     "window_grid": f"WITH {_LOGP} SELECT vec_id, true AS whole, place // 8 AS window, round(sum(x ORDER BY place), 9) AS total FROM lp GROUP BY ALL",
+    "sampled_tokens": f"WITH {_LOGP}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, place) AS k FROM lp), g AS (SELECT vec_id, place, x / 0.7e0 - ln(-ln((CAST('0x' || substr(md5(concat_ws(':', CAST(vec_id AS VARCHAR), CAST(place AS VARCHAR))), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496e0)) AS noisy FROM r WHERE k <= 5) SELECT vec_id, arg_max(place, noisy) AS token FROM g GROUP BY vec_id",
     "frozen_norm": f"WITH {_LOGP} SELECT vec_id, round(sum(x * (2e0 / sqrt(0.5e0 + 1e-5)) + (0.3e0 - 0.1e0 * (2e0 / sqrt(0.5e0 + 1e-5)))), 6) AS total FROM lp GROUP BY vec_id",
 }

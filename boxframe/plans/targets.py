@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from boxframe.functions import geometry as G
@@ -61,54 +62,18 @@ def free_spans(spark, d):
     return augment.free_spans(spans, ["image_id"], "low", "high", W)
 
 
-def reaction_crop(spark, d):
-    return augment.crop_region(free_spans(spark, d), ["image_id"], 42)
-
-
-def random_views(spark, d):
-    """Two augmented views of each box: flipped, turned and jittered by a hash of image and view."""
-    rows = augment.views(P.gold_box(spark, d))
-    keys = (F.col("image_id"), F.col("view"))
-    box, w, h = augment.random_rotate(augment.random_flip(_px(), W, 1, *keys), W, H, 2, *keys)
-    box, sx, sy = augment.jitter(box, w, h, 3, keys=keys)
-    return rows.select(*KEY, "view", *box.named(), sx.alias("scale_x"), sy.alias("scale_y"))
-
-
-def random_crops(spark, d):
-    box = augment.random_crop(_px(), W, H, F.lit(400.0), F.lit(300.0), 5, F.col("image_id"))
-    return P.gold_box(spark, d).select(*KEY, *box.named())
-
-
-def perturb_reactions(spark, d):
-    """Reactants of each reaction with one box added, taken out or replaced, and all boxes in a drawn order and jittered."""
-    rxns = P.gold(spark, d)
-    reactants = F.transform(F.filter("boxes", lambda b: b["role"] == 0), lambda b: b["idx"])
-    keys = F.col("image_id"), F.col("rxn_id")
-    order = augment.shuffled(F.transform("boxes", lambda b: b["idx"]), 7, *keys)
-    moved = augment.jittered_box(G.Box.of(F.col("boxes")[0]), F.lit(1.0), F.lit(1.0), 8, *keys)
-    drawn = augment.random_box(F.lit(1.0), F.lit(1.0), 9, *keys)
-    return rxns.select("image_id", "rxn_id", augment.perturbed(reactants, F.lit(12), 6, *keys).alias("reactants"), order.alias("order"), *moved.named(), *drawn.named("random_"))
-
-
 def concat_targets(spark, d):
-    """Each even picture with the next one below it: boxes moved down, reactions' box numbers rebased."""
+    """Each even picture with the next one below it, if there is one: boxes moved down, reactions' box numbers rebased."""
     boxes = P.gold_box(spark, d).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("box_idx", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"), "rxn_id"))).alias("boxes"))
     first = boxes.filter(F.col("image_id") % 2 == 0)
     second = boxes.filter(F.col("image_id") % 2 == 1).select((F.col("image_id") - 1).alias("image_id"), F.col("boxes").alias("more"))
-    both = first.join(second, "image_id")
+    both = first.join(second, "image_id", "left").withColumn("more", F.coalesce("more", F.slice("boxes", 1, 0)))
     put = augment.below(F.col("boxes"), F.col("more"), H, F.lit(25.0))
     numbers = F.concat(F.transform("boxes", lambda b: b["box_idx"]), augment.rebased(F.transform("more", lambda b: b["box_idx"]), F.size("boxes").cast("long")))
     rows = both.select("image_id", F.posexplode(F.arrays_zip(put.alias("b"), numbers.alias("n"))).alias("place", "z"))
     return rows.select("image_id", F.col("place").cast("long").alias("place"), F.col("z.n").alias("number"), F.round("z.b.x1", 6).alias("x1"), F.round("z.b.y1", 6).alias("y1"), F.round("z.b.x2", 6).alias("x2"), F.round("z.b.y2", 6).alias("y2"))
 
 
-def composite_sources(spark, d):
-    """Which customers' pictures are put below each one's, by coin throws."""
-    customers = P.read(spark, d, "customer").select((F.col("c_custkey") - 1).alias("idx"))
-    n = customers.count()
-    return augment.composites(customers, 5, F.lit(n), 11)
-
-
 def _sequences(spark, d):
     words = F.transform(F.filter(F.split("text", " "), lambda w: w != ""), lambda w: F.length(w).cast("long"))
     return P.read(spark, d, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), batching.batch_number(F.col("conv_id"), 8).alias("batch"), words.alias("sequence"))
@@ -140,10 +105,9 @@ def state_keys(spark, d):
 
 
 def head_limit(spark, d):
-    """The first hundred pictures of each split, in file order."""
-    files = P.image(spark, d).groupBy("split").agg(F.sort_array(F.collect_list("image_id")).alias("images"))
-    rows = files.select("split", F.posexplode("images").alias("pos", "image_id")).filter("pos < 100")
-    return rows.select("split", F.col("pos").cast("long").alias("pos"), "image_id")
+    """The first hundred pictures of each split, in file order: Spark limits each split before the exchange."""
+    pos = F.row_number().over(Window.partitionBy("split").orderBy("image_id"))
+    return P.image(spark, d).withColumn("pos", pos).filter("pos <= 100").select("split", (F.col("pos") - 1).cast("long").alias("pos"), "image_id")
 
 
 def dataset_name(spark, d):
@@ -199,7 +163,7 @@ def coco_scores(spark, d):
     return done.select(*(F.round(c, 9).alias(c) for c in done.columns))
 
 
-QUERIES = {f.__name__: f for f in (hflip, rotate90, crop_boxes, center_crop_boxes, resize_boxes, jitter_eval_scale, normalize_targets, free_spans, reaction_crop, random_views, random_crops, perturb_reactions, concat_targets, composite_sources, pad_sequences, pad_masks, inference_batches, draw_specs, state_keys, head_limit, dataset_name, reaction_json, merge_predictions, missing_pictures, smoothed_window, smoothed_global, reduce_metrics, log_every, coco_scores)}
+QUERIES = {f.__name__: f for f in (hflip, rotate90, crop_boxes, center_crop_boxes, resize_boxes, jitter_eval_scale, normalize_targets, free_spans, concat_targets, pad_sequences, pad_masks, inference_batches, draw_specs, state_keys, head_limit, dataset_name, reaction_json, merge_predictions, missing_pictures, smoothed_window, smoothed_global, reduce_metrics, log_every, coco_scores)}
 
 _V = P.VIEWS
 _B = "SELECT image_id, box_idx, "
@@ -227,7 +191,7 @@ ORACLE_SQL = {
     "jitter_eval_scale": f"{_V} {_B} {_R(x1='x * 1.333e0', y1='y * (1066e0 / 800e0)', x2='(x + w) * 1.333e0', y2='(y + h) * (1066e0 / 800e0)')}, 1e0 AS scale_x, round(1066e0 / 1333e0, 9) AS scale_y FROM gold_px",
     "normalize_targets": f"{_V} {_B} {', '.join(f'round(least(greatest(({e}) / {m}e0, 0e0), 1e0), 9) AS {n}' for n, e, m in (('x1', 'x', 600), ('y1', 'y', 500), ('x2', 'x + w', 600), ('y2', 'y + h', 500)))} FROM gold_px",
     "free_spans": f"{_V}, {_SPANS} SELECT * FROM spans",
-    "concat_targets": f"{_V}, n AS (SELECT image_id, count(*) AS n FROM gold_px GROUP BY 1), ok AS (SELECT a.image_id, a.n FROM n a JOIN n b ON b.image_id = a.image_id + 1 WHERE a.image_id % 2 = 0) SELECT g.image_id, box_idx AS place, box_idx AS number, {_R(x1='x', y1='y', x2='x + w', y2='y + h')} FROM gold_px g JOIN ok USING (image_id) UNION ALL SELECT ok.image_id, box_idx + n, box_idx + n, {_R(x1='x + 25e0', y1='y + 800e0', x2='x + w + 25e0', y2='y + h + 800e0')} FROM gold_px g JOIN ok ON g.image_id = ok.image_id + 1",
+    "concat_targets": f"{_V}, n AS (SELECT image_id, count(*) AS n FROM gold_px GROUP BY 1), ok AS (SELECT image_id, n FROM n WHERE image_id % 2 = 0) SELECT g.image_id, box_idx AS place, box_idx AS number, {_R(x1='x', y1='y', x2='x + w', y2='y + h')} FROM gold_px g JOIN ok USING (image_id) UNION ALL SELECT ok.image_id, box_idx + n, box_idx + n, {_R(x1='x + 25e0', y1='y + 800e0', x2='x + w + 25e0', y2='y + h + 800e0')} FROM gold_px g JOIN ok ON g.image_id = ok.image_id + 1",
     "pad_sequences": "WITH s AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, conv_id // 8 AS batch, list_transform(list_filter(string_split(text, ' '), lambda w: w <> ''), lambda w: CAST(length(w) AS BIGINT)) AS q FROM conversations), m AS (SELECT *, len(q) AS length, max(len(q)) OVER (PARTITION BY batch) AS most FROM s) SELECT conv_id, turn, batch, length, array_to_string(list_concat(q, list_transform(range(most - length), lambda i: 2001)), ' ') AS sequence FROM m",
     "pad_masks": f"{_V}, i AS (SELECT image_id, image_id // 16 AS batch, 300 + image_id % 701 AS width, 200 + image_id % 601 AS height FROM image), m AS (SELECT *, max(width) OVER (PARTITION BY batch) AS batch_width, max(height) OVER (PARTITION BY batch) AS batch_height FROM i) SELECT *, batch_width * batch_height - width * height AS masked FROM m",
     "inference_batches": f"{_V} SELECT image_id // 16 AS batch, count(*) AS n, min(image_id) AS first FROM image GROUP BY 1",
@@ -243,3 +207,35 @@ ORACLE_SQL = {
     "reduce_metrics": f"WITH {_EV} SELECT name, avg(value) AS value FROM e GROUP BY name",
     "log_every": f"WITH {_EV}, p AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY name) AS n, avg(value) OVER ({_SOFAR}) AS a FROM e) SELECT event_id, name, i, n, a * (n - i) AS eta FROM p WHERE i % 50 = 0 OR i = n - 1",
 }
+
+_IOUS = "[0.5e0, 0.55e0, 0.6e0, 0.65e0, 0.7e0, 0.75e0, 0.8e0, 0.85e0, 0.9e0, 0.95e0]"
+_PX = "image_id, category_id, box_idx AS box, x1 * 1000e0 AS x1, y1 * 800e0 AS y1, x2 * 1000e0 AS x2, y2 * 800e0 AS y2"
+_MEAN = lambda c, when, name: f"coalesce(avg(coalesce({c}, 0e0)) FILTER (WHERE {when}), -1e0) AS {name}"
+_NUMBERS = [_MEAN("ap", "area = 'all'", "ap"), *(_MEAN("ap", f"area = 'all' AND iou = {t}e0", n) for n, t in (("ap50", 0.5), ("ap75", 0.75))), *(_MEAN("ap", f"area = '{a}'", f"ap{a[0]}") for a in ("small", "medium", "large"))]
+_NUMBERS += [*(_MEAN(f"hits{k} / total", "area = 'all'", f"ar{k}") for k in (1, 10, 100)), *(_MEAN("hits100 / total", f"area = '{a}'", f"ar{a[0]}") for a in ("small", "medium", "large"))]
+#: Greedy matching by recursion over the ranks of an image's detections of a category, for each area and threshold; curves by plain windows.
+ORACLE_SQL["coco_scores"] = f"""{_V.replace('WITH ', 'WITH RECURSIVE ', 1)},
+pb AS (SELECT {_PX}, 1e0 - shift AS score FROM pred_box),
+gb AS (SELECT {_PX} FROM gold_box WHERE image_id IN (SELECT image_id FROM pb)),
+pr AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, category_id ORDER BY score DESC, box) - 1 AS rank, (x2 - x1) * (y2 - y1) AS size FROM pb) WHERE rank < 100),
+ar AS (SELECT * FROM (VALUES ('all', 0e0, 1e10), ('small', 0e0, 1024e0), ('medium', 1024e0, 9216e0), ('large', 9216e0, 1e10)) AS a(area, least, most)),
+ga AS (SELECT gb.*, area, (x2 - x1) * (y2 - y1) AS size, (x2 - x1) * (y2 - y1) < least OR (x2 - x1) * (y2 - y1) > most AS aside FROM gb, ar),
+total AS (SELECT category_id, area, count(*) AS total FROM ga WHERE NOT aside GROUP BY ALL),
+cand AS MATERIALIZED (SELECT * FROM (SELECT p.image_id, p.category_id, p.rank, g.area, g.box, g.aside, greatest(least(p.x2, g.x2) - greatest(p.x1, g.x1), 0e0) * greatest(least(p.y2, g.y2) - greatest(p.y1, g.y1), 0e0) AS inter, p.size + g.size AS sizes
+  FROM pr p JOIN ga g ON g.image_id = p.image_id AND g.category_id = p.category_id) WHERE inter / greatest(sizes - inter, 1e-12) >= 0.5e0),
+m AS (SELECT DISTINCT image_id, category_id, area, least, most, iou, CAST(-1 AS BIGINT) AS rank, CAST([] AS BIGINT[]) AS taken, false AS hit, false AS outs, 0e0 AS score FROM pr, ar, (SELECT unnest({_IOUS}) AS iou)
+  UNION ALL SELECT image_id, category_id, area, least, most, iou, rank, CASE WHEN got IS NULL THEN taken ELSE list_append(taken, got.box) END, got IS NOT NULL, CASE WHEN got IS NULL THEN NOT (size BETWEEN least AND most) ELSE got.aside END, score FROM (
+    SELECT m.image_id, m.category_id, m.area, m.least, m.most, m.iou, p.rank, m.taken, p.size, p.score,
+      arg_max({{'box': c.box, 'aside': c.aside}}, (CAST(NOT c.aside AS INT), c.inter / greatest(c.sizes - c.inter, 1e-12), c.box)) FILTER (WHERE c.box IS NOT NULL) AS got
+    FROM m JOIN pr p ON p.image_id = m.image_id AND p.category_id = m.category_id AND p.rank = m.rank + 1
+    LEFT JOIN cand c ON c.image_id = p.image_id AND c.category_id = p.category_id AND c.rank = p.rank AND c.area = m.area AND c.inter / greatest(c.sizes - c.inter, 1e-12) >= m.iou AND NOT list_contains(m.taken, c.box)
+    GROUP BY ALL)),
+sc AS (SELECT m.*, CAST(hit AS INT) AS h, total FROM m JOIN total USING (category_id, area) WHERE rank >= 0 AND NOT outs),
+pt AS (SELECT *, sum(h) OVER w / CAST(total AS DOUBLE) AS recall, sum(h) OVER w / CAST(row_number() OVER w AS DOUBLE) AS precision FROM sc WINDOW w AS (PARTITION BY category_id, area, iou ORDER BY score DESC, image_id, rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+en AS (SELECT *, max(precision) OVER (PARTITION BY category_id, area, iou ORDER BY score DESC, image_id, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS best FROM pt),
+rc AS (SELECT category_id, area, iou, recall, max(best) AS best FROM en GROUP BY ALL),
+bf AS (SELECT *, coalesce(lag(recall) OVER (PARTITION BY category_id, area, iou ORDER BY recall), -1e0) AS since FROM rc),
+ap AS (SELECT category_id, area, iou, sum(best * len(list_filter(range(101), lambda r: r / 100e0 <= recall + 1e-12 AND r / 100e0 > since + 1e-12))) / 101 AS ap FROM bf GROUP BY ALL),
+hs AS (SELECT category_id, area, iou, {', '.join(f'CAST(sum(CASE WHEN rank < {k} THEN h ELSE 0 END) AS DOUBLE) AS hits{k}' for k in (1, 10, 100))} FROM sc GROUP BY ALL),
+cells AS (SELECT *, unnest({_IOUS}) AS iou FROM total)
+SELECT {', '.join(f'round({x.rsplit(" AS ", 1)[0]}, 9) AS {x.rsplit(" AS ", 1)[1]}' for x in _NUMBERS)} FROM cells LEFT JOIN ap USING (category_id, area, iou) LEFT JOIN hs USING (category_id, area, iou)"""

@@ -195,9 +195,14 @@ def test_geometry_properties(spark):
 
 def test_seeded_augmentation(spark):
     rows = spark.range(2000).select("id", F.array(*map(F.lit, range(5))).alias("a"))
-    got = rows.select(augment.shuffled(F.col("a"), 1, F.col("id")).alias("s"), augment.perturbed(F.col("a"), F.lit(9), 2, F.col("id")).alias("p"), *augment.random_box(F.lit(4.0), F.lit(3.0), 3, F.col("id")).named(), augment.jitter(G.Box(*map(F.lit, (1.0, 1.0, 50.0, 60.0))), F.lit(100.0), F.lit(80.0), 4, keys=(F.col("id"),))[0].x2.alias("jx")).collect()
+    got = rows.select(augment.shuffled(F.col("a"), 1, F.col("id")).alias("s"), augment.perturbed(F.array(F.slice("a", 1, 2), F.slice("a", 3, 1), F.slice("a", 4, 2)), F.lit(9), 2, F.col("id")).alias("p"), *augment.random_box(F.lit(4.0), F.lit(3.0), 3, F.col("id")).named(), augment.jitter(G.Box(*map(F.lit, (1.0, 1.0, 50.0, 60.0))), F.lit(100.0), F.lit(80.0), 4, keys=(F.col("id"),))[0].x2.alias("jx")).collect()
     assert all(sorted(r.s) == list(range(5)) for r in got) and len({tuple(r.s) for r in got}) == 120
-    assert {len(r.p) for r in got} == {4, 5, 6} and all(0 <= r.x1 <= r.x2 <= 4 and 0 <= r.y1 <= r.y2 <= 3 for r in got)
+    # Added, taken out or moved: never the same, and a reactant and a product stay.
+    assert {sum(map(len, r.p)) for r in got} == {4, 5, 6} and all(list(map(list, r.p)) != [[0, 1], [2], [3, 4]] and r.p[0] and r.p[2] for r in got)
+    assert {tuple(map(len, r.p)) for r in got} == {(3, 1, 2), (2, 2, 2), (2, 1, 3), (1, 1, 2), (2, 0, 2), (2, 1, 1), (1, 2, 2), (1, 1, 3), (3, 0, 2), (2, 0, 3), (3, 1, 1), (2, 2, 1)}
+    least = rows.select(augment.perturbed(F.array(F.slice("a", 1, 1), F.slice("a", 1, 0), F.slice("a", 4, 1)), F.lit(9), 2, F.col("id")).alias("p")).collect()
+    assert all(sum(map(len, r.p)) == 3 for r in least)
+    assert all(0 <= r.x1 <= r.x2 <= 4 and 0 <= r.y1 <= r.y2 <= 3 for r in got)
     assert all(0 <= r.jx <= 1333 for r in got)
     flips = rows.select((augment.uniform(7, F.col("id")) < 0.5).cast("int").alias("f")).agg(F.avg("f")).first()[0]
     assert abs(flips - 0.5) < 0.05
