@@ -1,9 +1,10 @@
 import itertools
 import random
+import re
 
 import pytest
 
-from boxframe.llm.chat_format import GUESS, INSERT, MERGE, RELABEL, ROLES, START, borders, closing, format_chats, repair, role_number, transfer
+from boxframe.llm.chat_format import GUESS, INSERT, MERGE, RELABEL, ROLES, START, between, borders, closing, format_chats, product, repair, role_number, transfer
 
 
 def brute(roles):
@@ -76,3 +77,29 @@ def test_hard_rows(spark):
     assert [(r.part, r.n_turns) for r in same] == [(0, 3), (1, 1)] and {r.cost for r in same} == {2 * RELABEL}
     assert format_chats(df.limit(0)).count() == 0
     assert len(ROLES) == 3
+
+
+def test_crowded_ranges_and_blocks_give_the_same(spark):
+    """Turns without number, equal ones and many of one number, in order over many tasks; few parts in a block."""
+    rng = random.Random(9)
+    rows = [(None, None, rng.choice(ROLES), rng.choice("abc")) for _ in range(700)] + [(1, 5, rng.choice(ROLES), f"t{rng.randrange(40)}") for _ in range(500)]
+    rows += [(1, i, rng.choice([*ROLES, "?"]), str(i)) for i in range(60)] + [(2, i, "user", "x") for i in range(30)] + [(3, 7, "user", "same")] * 300
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(6)
+    key = lambda r: tuple((x is not None, x) for x in r)
+    plain = sorted(map(tuple, format_chats(df, part_turns=16).collect()), key=key)
+    split = sorted(map(tuple, format_chats(df, part_turns=16, crowd=20, block_parts=3).collect()), key=key)
+    assert len(plain) > 90
+    assert {(r[0], r[6]) for r in plain} == {(r[0], r[6]) for r in split}
+    assert [(r[0], r[1], r[2]) for r in plain] == [(r[0], r[1], r[2]) for r in split]
+    said = lambda r: re.sub(r"<[|]\w+[|]>", "", r[7]).split()
+    assert [said(r) for r in plain] == [said(r) for r in split]
+
+
+def test_products_of_parts():
+    rng = random.Random(2)
+    for _ in range(50):
+        roles = [rng.choice([-1, 0, 1, 2]) for _ in range(12)]
+        parts = [transfer(roles[i : i + 3]) for i in range(0, 12, 3)]
+        assert product(parts) == transfer(roles)
+        states, cost = borders(parts)
+        assert between(parts, states[0], states[-1])[0] == START and borders([product(parts)])[1] == cost
