@@ -42,31 +42,31 @@ class Index:
     def near(self, points: np.ndarray, ratio: float, floor: float = 0.0) -> np.ndarray:
         """Distances of lifted points to the centroids found within ``ratio`` of the nearest (or of ``floor``); infinite for others.
 
-        Best-first search in the graph, one step of all points at once: each
-        looks at the neighbours of its closest centroid not yet expanded,
+        Best-first search in the graph from 32 spread entries, one step of all
+        points at once: each looks at the neighbours of its closest centroid not yet expanded,
         until that is beyond the ratio and a few more.
         """
         n, k = len(points), len(self.centroids)
-        found, closed = np.full((n, k), np.inf), np.zeros((n, k), bool)
-        all_rows = np.arange(n)
-        found[:, 0] = ((points - self.centroids[0]) ** 2).sum(axis=1)
-        beyond = np.zeros(n, int)
-        active = all_rows
+        found, ahead = np.full((n, k), np.inf), np.full((n, k), np.inf)
+        entries = np.arange(0, k, -(-k // 32))
+        found[:, entries] = ahead[:, entries] = _distances(points, self.centroids[entries])
+        least, beyond, active = found[:, entries].min(axis=1), np.zeros(n, int), np.arange(n)
         while len(active):
-            open_ = np.where(closed[active], np.inf, found[active])
+            open_ = ahead[active]
             best = open_.argmin(axis=1)
             distance = open_[np.arange(len(active)), best]
-            far = distance > ratio**2 * np.maximum(found[active].min(axis=1), floor**2)
-            beyond[active] += far
+            beyond[active] += distance > ratio**2 * np.maximum(least[active], floor**2)
             on = np.isfinite(distance) & (beyond[active] <= 4)
             active, best = active[on], best[on]
-            if not len(active):
-                break
-            closed[active, best] = True
+            ahead[active, best] = np.inf
             beside = self.neighbours[best]
-            new = ((points[active, None] - self.centroids[beside]) ** 2).sum(axis=2)
-            found[active[:, None], beside] = new
-        found[found > ratio**2 * np.maximum(found.min(axis=1, keepdims=True), floor**2)] = np.inf
+            # Only centroids not looked at before.
+            at, which = np.nonzero(np.isinf(found[active[:, None], beside]))
+            row, own = active[at], beside[at, which]
+            new = ((points[row] - self.centroids[own]) ** 2).sum(axis=1)
+            found[row, own] = ahead[row, own] = new
+            np.minimum.at(least, row, new)
+        found[found > ratio**2 * np.maximum(least, floor**2)[:, None]] = np.inf
         return np.sqrt(found)
 
     def stored_in(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
