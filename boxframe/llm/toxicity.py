@@ -55,6 +55,11 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(odds, -30, 30))))
 
 
+def _sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of ``values`` by their number in ``rows``, ``n`` of them."""
+    return np.column_stack([np.bincount(rows, values[:, i], n) for i in range(values.shape[1])])
+
+
 def fit(examples: list[np.ndarray], labels: np.ndarray, ids: np.ndarray, rank: int = 8, epochs: int = 30, batch: int = 128, rate: float = 0.02, decay: float = 1e-2, seed: int = 42) -> FactorizationMachine:
     """Logistic loss by Adam over shuffled batches; ``examples`` are sorted places in ``ids``."""
     rng = np.random.default_rng(seed)
@@ -69,13 +74,13 @@ def fit(examples: list[np.ndarray], labels: np.ndarray, ids: np.ndarray, rank: i
             rows = np.repeat(np.arange(len(chosen)), [len(examples[j]) for j in chosen])
             at = np.concatenate([examples[j] for j in chosen]) if len(rows) else np.zeros(0, np.int64)
             b, w, v = theta
-            sums = np.zeros((len(chosen), rank))
-            np.add.at(sums, rows, v[at])
-            squares = np.bincount(rows, (v[at] ** 2).sum(axis=1), len(chosen))
+            held = v[at]
+            sums = _sums(rows, held, len(chosen))
+            squares = np.bincount(rows, (held**2).sum(axis=1), len(chosen))
             odds = b[0] + np.bincount(rows, w[at], len(chosen)) + 0.5 * ((sums**2).sum(axis=1) - squares)
             error = (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - labels[chosen]) / len(chosen)
             slopes = [np.array([error.sum()]), np.bincount(at, error[rows], k) + decay / batch * w, decay / batch * v]
-            np.add.at(slopes[2], at, error[rows, None] * (sums[rows] - v[at]))
+            slopes[2] += _sums(at, error[rows, None] * (sums[rows] - held), k)
             step += 1
             for t, m, s, g in zip(theta, first, second, slopes, strict=True):
                 m += 0.1 * (g - m)
@@ -89,7 +94,7 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 16_384, max_terms: int = 4_096, min_rows: int = 3, min_ratio: float = 10.0) -> FactorizationMachine:
+def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 16_384, max_terms: int = 4_096, min_rows: int = 3, min_ratio: float = 10.0, max_common: int = 256) -> FactorizationMachine:
     """A model fit on at most ``max_rows`` labelled rows that aren't held out.
 
     Rows are taken in the order of a hash of their id; of several texts with
@@ -97,8 +102,10 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     number is bounded), so texts aren't shuffled to find them. Terms are
     counted by Spark; the ``max_terms`` with the largest likelihood ratio, of
     those more common among labels 1, in at least ``min_rows`` of them and
-    with a log likelihood ratio of ``min_ratio`` or more, are the model's. What reaches the driver is bounded by the two parameters:
-    terms chosen and, for each row, which of them it holds.
+    with a log likelihood ratio of ``min_ratio`` or more, are the model's, and
+    of the others the ``max_common`` most common ones that half of the rows
+    lack, which matter in pairs only. What reaches the driver is bounded by
+    these parameters: terms chosen and, for each row, which of them it holds.
     """
     usable = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     chosen = usable.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
@@ -118,12 +125,15 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not 0 < all_bad < all_rows:
         return fit([none] * all_rows, np.full(all_rows, float(all_bad > 0)), none, epochs=0)
     counted = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").cast("double").alias("n"), F.sum("label").cast("double").alias("bad"))
-    counted = counted.filter((F.col("bad") >= min_rows) & (F.col("bad") * all_rows > 1.5 * F.col("n") * all_bad))
+    counted = checkpointed(counted.filter(F.col("n") >= min_rows))
     n, bad = F.col("n"), F.col("bad")
     part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
     rate = all_bad / all_rows
     ratio = part(bad, n * rate) + part(n - bad, n * (1 - rate)) + part(all_bad - bad, (all_rows - n) * rate) + part(all_rows - all_bad - n + bad, (all_rows - n) * (1 - rate))
-    top = counted.select("term", ratio.alias("ratio")).filter(F.col("ratio") >= min_ratio).orderBy(F.desc("ratio"), "term").limit(max_terms).collect()
+    leaning = (bad >= min_rows) & (bad * all_rows > 1.5 * n * all_bad) & (ratio >= min_ratio)
+    top = counted.filter(leaning).select("term", ratio.alias("ratio")).orderBy(F.desc("ratio"), "term").limit(max_terms).collect()
+    # Common terms say nothing by themselves, or that a text is clean; in pairs they may.
+    top += counted.filter(~leaning & (n <= all_rows / 2)).orderBy(F.desc("n"), "term").limit(max_common).select("term").collect()
     ids = np.sort(np.array([r.term for r in top], np.int64))
     empty = FactorizationMachine(ids, 0.0, np.zeros(len(ids)), np.zeros((len(ids), 1)))
 

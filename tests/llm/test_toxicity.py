@@ -52,3 +52,33 @@ def test_hard_rows(spark):
         assert got[0].score == got[1].score and got[2].score == got[3].score
     assert score(df.limit(0), train(df, labels)).count() == 0
     assert sorted(term_ids("Bad BAD")) == term_ids("bad") and df.columns == ["doc_id", "text", "score"] and F is not None
+
+
+def test_a_pair_of_common_terms_is_learned_from_texts(spark):
+    """Toxic where two words meet that are each as common in clean texts."""
+    rng = random.Random(3)
+    words = ["north", "south", "east", "west", "up", "down"]
+    rows = [(i, " ".join(rng.sample(words, rng.randrange(1, 4)))) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int("north" in t and "down" in t)) for i, t in rows], "doc_id long, toxic int")
+    got = score(docs.filter(held_out("doc_id")), train(docs, labels)).collect()
+    assert np.mean([r.predicted == ("north" in r.text and "down" in r.text) for r in got]) > 0.98
+
+
+def test_query_against_a_plain_scorer(spark, sf_dir):
+    """Every row of the query, by a loop over pairs with the trained model."""
+    from boxframe.llm.queries import op8_toxicity
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    place = {int(t): i for i, t in enumerate(model.ids)}
+    df = op8_toxicity(spark, sf_dir)
+    assert df.columns == ["doc_id", "held_out", "score", "predicted"] and [f.dataType.simpleString() for f in df.schema.fields[1:]] == ["boolean", "double", "int"]
+    got = {r.doc_id: r for r in df.collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert got.keys() == texts.keys()
+    for i, r in got.items():
+        at = sorted(place[t] for t in set(term_ids(texts[i])) if t in place)
+        odds = model.bias + sum(float(model.weights[a]) for a in at) + sum(float(model.factors[a] @ model.factors[b]) for n, a in enumerate(at) for b in at[:n])
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(odds, -30, 30)))) < 1e-9
+        assert r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
