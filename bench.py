@@ -25,6 +25,8 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    # The first query of a session also pays for starting and warming up the JVM: not part of any query's time.
+    registry.QUERIES[HEADLINE[0]](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}
     for name in HEADLINE:
         began = time.time()

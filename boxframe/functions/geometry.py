@@ -78,7 +78,8 @@ def iou(a: Box, b: Box, digits: int | None = None) -> Column:
     both = wide * high
     value = F.when((wide < 0) | (high < 0), F.lit(0.0)).otherwise(both / F.nullif(a.area + b.area - both, F.lit(0.0)))
     value = F.coalesce(value, F.lit(0.0))
-    return value if digits is None else F.round(value, digits)
+    # Not by round, which goes through decimals.
+    return value if digits is None else F.rint(value * 10.0**digits) / 10.0**digits
 
 
 def crop(box: Box, left: Column, top: Column, width: Column, height: Column) -> Box:

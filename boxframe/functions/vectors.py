@@ -37,7 +37,7 @@ def greedy(log_probs: Column, usable: int | None = None) -> Column:
 
 def top_k(values: Column, k: int) -> Column:
     """The ``k`` largest as (place, value), largest first, of equal ones the first."""
-    ranked = F.array_sort(F.transform(values, lambda x, i: F.struct((-x).alias("less"), i.cast("long").alias("place"))))
+    ranked = F.sort_array(F.transform(values, lambda x, i: F.struct((-x).alias("less"), i.cast("long").alias("place"))))
     return F.transform(F.slice(ranked, 1, k), lambda r: F.struct(r["place"].alias("place"), (-r["less"]).alias("value")))
 
 

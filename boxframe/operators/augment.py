@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxframe.functions import geometry as G
+from boxframe.operators.matching import let
 from boxframe.schemas import CATEGORIES
 
 #: Side of the square that pictures are put on.
@@ -30,7 +31,7 @@ def whole(seed: int, low: Column, high: Column, *keys: Column) -> Column:
 
 def shuffled(values: Column, seed: int, *keys: Column) -> Column:
     """An array in an order drawn for the key."""
-    ranked = F.array_sort(F.transform(values, lambda x, i: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), *(k.cast("string") for k in keys), i.cast("string"))).alias("at"), i.alias("i"))))
+    ranked = F.sort_array(F.transform(values, lambda x, i: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), *(k.cast("string") for k in keys), i.cast("string"))).alias("at"), i.alias("i"))))
     return F.transform(ranked, lambda r: F.get(values, r["i"]))
 
 
@@ -182,17 +183,24 @@ def perturbed(roles: Column, n_boxes: Column, seed: int, *keys: Column) -> Colum
     draw = lambda low, high, name: whole(seed, low, high, *keys, F.lit(name))
     least = F.array(F.lit(1), F.lit(0), F.lit(1))
     spare = F.filter(F.transform(roles, lambda a, r: F.when(F.size(a) > F.get(least, r), r.cast("long"))), lambda r: r.isNotNull())
-    kind = F.when(F.size(spare) == 0, F.lit(0)).otherwise(draw(F.lit(0), F.lit(2), "kind"))
-    added, new = draw(F.lit(0), F.lit(2), "role"), draw(F.lit(0), n_boxes - 1, "new")
-    gone = F.get(spare, draw(F.lit(0), F.size(spare) - 1, "gone").cast("int"))
-    place = draw(F.lit(0), F.size(F.get(roles, gone.cast("int"))) - 1, "place")
-    to, box = (gone + 1 + draw(F.lit(0), F.lit(1), "to")) % 3, F.get(F.get(roles, gone.cast("int")), place.cast("int"))
 
-    def role(a: Column, r: Column) -> Column:
-        put = F.when((kind == 0) & (r == added), F.concat(a, F.array(new))).when((kind > 0) & (r == gone), F.filter(a, lambda x, i: i != place))
-        return put.when((kind == 2) & (r == to), F.concat(a, F.array(box))).otherwise(a)
+    def first(spare: Column) -> Column:
+        kind = F.when(F.size(spare) == 0, F.lit(0).cast("long")).otherwise(draw(F.lit(0), F.lit(2), "kind"))
+        gone = F.get(spare, draw(F.lit(0), F.size(spare) - 1, "gone").cast("int"))
+        return let(F.struct(kind.alias("kind"), gone.alias("gone"), F.get(roles, gone.cast("int")).alias("own")), second)
 
-    return F.transform(roles, role)
+    def second(d: Column) -> Column:
+        place = draw(F.lit(0), F.size(d["own"]) - 1, "place")
+        added = F.when(d["kind"] == 0, draw(F.lit(0), F.lit(2), "role"))
+        to = F.when(d["kind"] == 2, (d["gone"] + 1 + draw(F.lit(0), F.lit(1), "to")) % 3)
+        return let(F.struct(F.when(d["kind"] > 0, d["gone"]).alias("gone"), F.when(d["kind"] > 0, place).alias("place"), added.alias("added"), to.alias("to"), d["own"].alias("own")), changed)
+
+    def changed(d: Column) -> Column:
+        new = draw(F.lit(0), n_boxes - 1, "new")
+        put = lambda a, r: F.when(r == d["added"], F.concat(a, F.array(new))).when(r == d["gone"], F.filter(a, lambda x, i: i != d["place"]))
+        return F.transform(roles, lambda a, r: put(a, r).when(r == d["to"], F.concat(a, F.array(F.get(d["own"], d["place"].cast("int"))))).otherwise(a))
+
+    return let(spare, first)
 
 
 def augmented(reactions: Column, boxes: Column, seed: int, *keys: Column, fresh: int = 20) -> Column:
@@ -210,7 +218,7 @@ def augmented(reactions: Column, boxes: Column, seed: int, *keys: Column, fresh:
 
     anew = F.array(drawn("r", 1), drawn("c", 0), drawn("p", 1))
     known = F.get(reactions, draw(F.lit(0), F.size(reactions) - 1, "pick").cast("int"))
-    old = F.transform(F.array(known), lambda k: perturbed(k, n, seed, *keys))[0]
+    old = let(known, lambda k: perturbed(k, n, seed, *keys))
     return F.when((F.size(reactions) == 0) | (draw(F.lit(0), F.lit(99), "fresh") < fresh), anew).otherwise(old)
 
 

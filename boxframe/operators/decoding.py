@@ -17,7 +17,7 @@ def beam_step(beams_df: DataFrame, length: int, beams: int) -> DataFrame:
     of a beam are sent.
     """
     scored = F.transform("logp", lambda x, i: F.struct((-(F.col("beam_logp") + x) / length).alias("less"), i.cast("long").alias("token")))
-    own = beams_df.select("batch", "beam", F.explode(F.slice(F.array_sort(scored), 1, beams)).alias("t"))
+    own = beams_df.select("batch", "beam", F.explode(F.slice(F.sort_array(scored), 1, beams)).alias("t"))
     order = Window.partitionBy("batch").orderBy("t.less", "beam", "t.token")
     ranked = own.withColumn("rank", (F.row_number().over(order) - 1).cast("long")).filter(F.col("rank") < beams)
     return ranked.select("batch", "rank", F.col("beam").alias("origin"), "t.token", (-F.col("t.less")).alias("score"))
@@ -50,7 +50,7 @@ def beam_search(steps: DataFrame, key: str, beams: int, n_best: int, eos: int, m
             p = lambda x, i: b["logp"] + F.when((i == eos) & (length < min_length), F.lit(FORCED)).otherwise(x)
             return F.transform(logp, lambda x, i: F.struct((-p(x, i) / length).alias("less"), p(x, i).alias("logp"), F.concat(b["tokens"], F.array(i.cast("long"))).alias("tokens")))
 
-        best = F.slice(F.array_sort(F.flatten(F.transform(s["open"], grown))), 1, beams)
+        best = F.slice(F.sort_array(F.flatten(F.transform(s["open"], grown))), 1, beams)
 
         def sorted_out(best: Column) -> Column:
             last = lambda b: F.element_at(b["tokens"], -1) == eos
@@ -62,5 +62,21 @@ def beam_search(steps: DataFrame, key: str, beams: int, n_best: int, eos: int, m
 
     done = runs.select(key, F.aggregate("all", start, step).alias("s"))
     ended = F.when(F.size("s.ended") > 0, F.col("s.ended")).otherwise(F.col("s.open"))
-    rows = done.select(key, F.explode(F.slice(F.array_sort(ended), 1, n_best)).alias("h"))
+    rows = done.select(key, F.explode(F.slice(F.sort_array(ended), 1, n_best)).alias("h"))
     return rows.select(key, "h.tokens", (-F.col("h.less")).alias("score"))
+
+
+def greedy_search(steps: DataFrame, key: str, eos: int, min_length: int, max_length: int) -> DataFrame:
+    """(key, tokens, score, finished): the best token of each step up to the first end token, and the last one's log probability.
+
+    ``steps`` is as for ``beam_search``. Ending is forbidden under
+    ``min_length`` tokens; a key is finished at its end token or at
+    ``max_length``, and later steps are left out.
+    """
+    pick = F.struct((F.array_position("logp", F.array_max("logp")) - 1).alias("token"), F.array_max("logp").alias("logp"))
+    early = F.transform("logp", lambda x, i: F.when(i == eos, F.lit(FORCED)).otherwise(x))
+    known = steps.filter(F.col("step") < max_length).withColumn("logp", F.when(F.col("step") + 1 < min_length, early).otherwise(F.col("logp")))
+    runs = known.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("step", pick.alias("p")))), lambda s: s["p"]).alias("all"))
+    end = F.array_position(F.transform("all", lambda p: p["token"]), F.lit(eos).cast("long"))
+    kept = runs.withColumn("n", F.when(end > 0, end).otherwise(F.size("all")).cast("int")).withColumn("ended", (end > 0) | (F.size("all") >= max_length))
+    return kept.select(key, F.transform(F.slice("all", F.lit(1), F.col("n")), lambda p: p["token"]).alias("tokens"), F.get("all", F.col("n") - 1)["logp"].alias("score"), F.col("ended").alias("finished"))

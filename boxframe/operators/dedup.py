@@ -25,7 +25,7 @@ def kept_boxes(boxes: Column, digits: int | None = None) -> Column:
         near = F.exists(stay, lambda k: overlap(k["b"], x["b"], digits=digits) > DUPLICATE_IOU)
         return F.when(is_empty(Box.of(x["b"])) | near, stay).otherwise(F.concat(stay, F.array(F.struct(x["i"].alias("i"), x["b"].alias("b")))))
 
-    return F.array_sort(F.transform(F.aggregate(F.array_sort(numbered), start, step), lambda k: k["i"]))
+    return F.sort_array(F.transform(F.aggregate(F.sort_array(numbered), start, step), lambda k: k["i"]))
 
 
 def all_earlier(boxes: Column, digits: int | None = None) -> Column:

@@ -69,7 +69,7 @@ def prepared(boxes: Column, mol_only: bool = False, merge_condition: bool = Fals
     """
     places = [role_places(boxes, r, mol_only, kept) for r in range(len(ROLES))]
     if merge_condition:
-        places = [F.array_sort(F.concat(places[REACTANT], places[CONDITION])), places[PRODUCT]]
+        places = [F.sort_array(F.concat(places[REACTANT], places[CONDITION])), places[PRODUCT]]
     return F.struct(boxes.alias("boxes"), F.array(*places).alias("places"), F.array(*(F.size(p) for p in places)).alias("sizes"))
 
 
@@ -82,7 +82,7 @@ def equal(left: Column, right: Column, digits: int | None = None) -> Column:
     def best(box: Column) -> Column:
         return let(F.transform(right["boxes"], lambda b: overlap(box, b, digits=digits)), lambda scores: let(F.array_max(scores), lambda most: F.when(most >= MATCH_IOU, F.array_position(scores, most) - 1).otherwise(F.lit(-1).cast("long"))))
 
-    found = F.transform(left["places"], lambda role: F.array_sort(F.transform(role, lambda k: best(F.get(left["boxes"], k.cast("int"))))))
+    found = F.transform(left["places"], lambda role: F.sort_array(F.transform(role, lambda k: best(F.get(left["boxes"], k.cast("int"))))))
     none = F.forall(left["sizes"], lambda n: n == 0)
     return F.when((left["sizes"] != right["sizes"]) | none, F.lit(False)).otherwise(found == right["places"])
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Values a meter's window holds.
 WINDOW = 20
@@ -15,10 +16,12 @@ def running(df: DataFrame, name: str, value: str, order: list[str], count: Colum
     The median is the lower of the two in the middle. ``count`` is how many
     values a row stands for; it weighs the global average only.
     """
+    if not isinstance(df.schema[value].dataType, T.NumericType):
+        raise TypeError(f"a meter's values are numbers, {value} is {df.schema[value].dataType.simpleString()}")
     n = F.lit(1) if count is None else count
     last = Window.partitionBy(name).orderBy(*order).rowsBetween(-(window - 1), 0)
     so_far = Window.partitionBy(name).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    held = F.array_sort(F.collect_list(value).over(last))
+    held = F.sort_array(F.collect_list(value).over(last))
     return df.withColumns(
         {
             "median": F.get(held, F.floor((F.size(held) - 1) / 2).cast("int")),

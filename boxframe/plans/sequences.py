@@ -176,6 +176,14 @@ def beam_search(spark, d):
     return done.select("run", _joined(F.col("tokens")).alias("tokens"), F.round("score", 6).alias("score"))
 
 
+def greedy_search(spark, d):
+    """The best tokens over runs of eight vectors as steps; tokens under six stand for the end token."""
+    ends = F.transform(F.col("logits"), lambda x, i: F.when(i == 0, F.array_max(F.slice("logits", 1, 6)) + 0.5).otherwise(x))
+    steps = _logits(spark, d).select(F.floor(F.col("vec_id") / 8).alias("run"), (F.col("vec_id") % 8).alias("step"), ends.alias("logits")).select("run", "step", vectors.log_softmax(F.col("logits")).alias("logp"))
+    done = decoding.greedy_search(steps, "run", eos=0, min_length=3, max_length=8)
+    return done.select("run", _joined(F.col("tokens")).alias("tokens"), F.round("score", 6).alias("score"), "finished")
+
+
 def _steps(spark, d):
     return P.read(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 301).alias("step"))
 
@@ -216,7 +224,7 @@ def frozen_norm(spark, d):
     return _logits(spark, d).select("vec_id", F.round(vectors.total(vectors.frozen_norm(F.col("logits"), 0.1, 0.5, 2.0, 0.3)), 6).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (tokenize_boxes, quantize_plain, tokenize_reactions, tokenize_images, truncate_labels, tokens_to_strings, detokenize_roundtrip, detokenize_boxes, fsm_trace, fsm_allowed, log_softmax, greedy_argmax, masked_argmax, topk_tokens, sampled_tokens, accuracy_at_k, cross_entropy, label_smoothing, criterion, eos_lengths, beam_step, beam_finish, beam_search, lr_schedule, cosine_schedule, training_steps, sine_position, sinusoid_position, window_grid, frozen_norm)}
+QUERIES = {f.__name__: f for f in (tokenize_boxes, quantize_plain, tokenize_reactions, tokenize_images, truncate_labels, tokens_to_strings, detokenize_roundtrip, detokenize_boxes, fsm_trace, fsm_allowed, log_softmax, greedy_argmax, masked_argmax, topk_tokens, sampled_tokens, accuracy_at_k, cross_entropy, label_smoothing, criterion, eos_lengths, beam_step, beam_finish, beam_search, greedy_search, lr_schedule, cosine_schedule, training_steps, sine_position, sinusoid_position, window_grid, frozen_norm)}
 
 _W = P.VIEWS
 _CAT = "CASE category_id WHEN 1 THEN 2011 WHEN 2 THEN 2012 WHEN 3 THEN 2010 WHEN 4 THEN 2013 ELSE 2014 END"
@@ -277,6 +285,12 @@ ORACLE_SQL = {
     "detokenize_boxes": f"{_W} SELECT image_id, box_idx AS place, category_id, round({_BIN('x1')} / 1999e0, 9) AS x1, round((5 * box_idx + 5) / 100e0, 6) AS score FROM gold_box",
     "fsm_trace": f"{_W}, {_RXN}, {_STATES} SELECT image_id, rxn_id, coalesce(states, '') AS states FROM said LEFT JOIN states USING (image_id, rxn_id)",
     "fsm_allowed": f"{_W.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_RXN}, {_FSM} SELECT image_id, rxn_id, string_agg(CASE WHEN ok THEN '1' ELSE '0' END, '' ORDER BY i) AS allowed FROM run WHERE i > 0 GROUP BY ALL",
+    "greedy_search": """WITH x AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS place, CAST(CASE WHEN generate_subscripts(embedding, 1) = 1 THEN CAST(list_max(embedding[1:6]) AS DOUBLE) + 0.5e0 ELSE CAST(unnest(embedding) AS DOUBLE) END AS DOUBLE) AS x FROM embeddings),
+n AS (SELECT vec_id, max(x) + ln(sum(exp(x - m))) AS n FROM (SELECT *, max(x) OVER (PARTITION BY vec_id) AS m FROM x) GROUP BY 1),
+p AS (SELECT x.vec_id // 8 AS run, x.vec_id % 8 AS step, place, x - n AS logp FROM x JOIN n USING (vec_id)),
+b AS (SELECT run, step, arg_max(place, (logp, -place)) AS token, max(logp) AS logp FROM p WHERE NOT (place = 0 AND step < 2) GROUP BY ALL),
+e AS (SELECT *, min(step) FILTER (WHERE token = 0) OVER (PARTITION BY run) AS stop, count(*) OVER (PARTITION BY run) AS steps FROM b)
+SELECT run, string_agg(CAST(token AS VARCHAR), ' ' ORDER BY step) AS tokens, round(arg_max(logp, step), 6) AS score, any_value(stop) IS NOT NULL OR any_value(steps) >= 8 AS finished FROM e WHERE stop IS NULL OR step <= stop GROUP BY run""",
     "beam_search": f"WITH RECURSIVE {_LOGP}, {_SEARCH}",
     "log_softmax": f"WITH {_LOGP} SELECT vec_id, place, round(logp, 9) AS logp FROM lp",
     "greedy_argmax": f"WITH {_LOGP} SELECT vec_id, place AS token, round(logp, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, place) AS k FROM lp WHERE place < 62) WHERE k = 1",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import struct
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +75,36 @@ def read_pictures(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content", "length")
 
 
+def picture_size(content: bytes | None) -> tuple[int, int] | None:
+    """(width, height) that a PNG's, JPEG's, GIF's or BMP's header says; None for anything else. Nothing is decoded."""
+    data = content or b""
+    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
+        return struct.unpack(">II", data[16:24])
+    if data[:6] in (b"GIF87a", b"GIF89a") and len(data) >= 10:
+        return struct.unpack("<HH", data[6:10])
+    if data[:2] == b"BM" and len(data) >= 26:
+        width, height = struct.unpack("<ii", data[18:26])
+        return width, abs(height)
+    at = 2
+    while data[:2] == b"\xff\xd8" and len(data) >= at + 9 and data[at] == 0xFF:
+        marker, size = data[at + 1], struct.unpack(">H", data[at + 2 : at + 4])[0]
+        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            height, width = struct.unpack(">HH", data[at + 5 : at + 9])
+            return width, height
+        at += 1 if marker == 0xFF else 2 + size
+    return None
+
+
+def with_sizes(pictures: DataFrame) -> DataFrame:
+    """``pictures`` (…, content) with width and height; null where the header isn't known."""
+
+    @F.pandas_udf("struct<width:int,height:int>")
+    def sizes(contents: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([picture_size(c) or (None, None) for c in contents], columns=["width", "height"]).astype("Int32")
+
+    return pictures.withColumn("__size", sizes("content")).withColumns({"width": F.col("__size.width"), "height": F.col("__size.height")}).drop("__size")
+
+
 def missing(names: DataFrame, pictures: DataFrame) -> DataFrame:
     """Names of pictures (file_name) that are not there."""
     return names.select("file_name").join(pictures.select(F.substring_index("path", "/", -1).alias("file_name")), "file_name", "left_anti")

@@ -1,6 +1,9 @@
 """Files in and out, model hooks and streaming."""
 
 import json
+import struct
+
+import pytest
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,3 +72,20 @@ def test_streaming(spark, tmp_path):
         query.awaitTermination(60)
         r = spark.table(name).first()
         assert (r.gold_hits, r.gold_total, r.precision) == (1, 3, 0.25)
+
+
+def test_picture_sizes(spark, tmp_path):
+    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 640, 480) + b"\x08\x02\0\0\0"
+    jpeg = b"\xff\xd8\xff\xe0" + struct.pack(">H", 16) + bytes(14) + b"\xff\xc2" + struct.pack(">HBHH", 17, 8, 300, 200) + bytes(12)
+    files = {"a.png": png, "b.jpg": jpeg, "c.gif": b"GIF89a" + struct.pack("<HH", 7, 9), "d.bmp": b"BM" + bytes(16) + struct.pack("<ii", 5, -6), "e.txt": b"text", "f.jpg": b"\xff\xd8"}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r.path.rsplit("/", 1)[1]: (r.width, r.height) for r in A.with_sizes(A.read_pictures(spark, str(tmp_path))).collect()}
+    assert got == {"a.png": (640, 480), "b.jpg": (200, 300), "c.gif": (7, 9), "d.bmp": (5, 6), "e.txt": (None, None), "f.jpg": (None, None)}
+
+
+def test_meters_take_numbers_only(spark):
+    from boxframe.operators import meters
+
+    with pytest.raises(TypeError):
+        meters.running(spark.createDataFrame([("a", "x", 1)], "name string, value string, i long"), "name", "value", ["i"])
