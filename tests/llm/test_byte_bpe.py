@@ -88,3 +88,14 @@ def test_hard_texts(spark, plain, vocabulary):
     tokens = [vocabulary.bytes.get(i, b"") for i in range(50256)]
     assert all(decode(encode(t, chunks, s), tokens) == (t or "").encode() for t in texts for s in (True, False))
     assert tokenize(df.withColumn("more", F.lit(1)), PATH, P.PATTERN, with_ids=False).columns == ["doc_id", "text", "ids", "more", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_registered_query_against_the_library(spark, sf_dir, plain):
+    from boxframe.llm.queries import op5_byte_bpe
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = op5_byte_bpe(spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = plain.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), digest(ids), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())

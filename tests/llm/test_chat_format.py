@@ -103,3 +103,17 @@ def test_products_of_parts():
         assert product(parts) == transfer(roles)
         states, cost = borders(parts)
         assert between(parts, states[0], states[-1])[0] == START and borders([product(parts)])[1] == cost
+
+
+def test_registered_query(spark, sf_dir):
+    from boxframe.llm.queries import op2_chat_role_repair
+
+    table = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    got = {(r.conv_id, r.part): r for r in op2_chat_role_repair(spark, sf_dir).collect()}
+    by = {}
+    for r in table.collect():
+        by.setdefault(r.conv_id, []).append((r.turn, r.role, r.text))
+    assert {c for c, _ in got} == by.keys() and sum(r.n_turns for r in got.values()) == table.count()
+    for c, turns in by.items():
+        if len(turns) <= 7:
+            assert got[c, 0].cost == brute([role_number(role) for _, role, _ in sorted(turns)])

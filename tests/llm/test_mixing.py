@@ -94,3 +94,25 @@ def test_query_against_plain_ranking(spark, sf_dir):
         assert r.taken in (0, r.size, 2 * r.size)
         taken[source[r.doc_id]] += r.taken
     assert sum(abs(taken[s] - t) for s, t in wanted.items()) < 0.02 * sum(wanted.values())
+
+
+def test_any_column_names(spark):
+    rows = [(i, "w " * (i % 50 + 1), "ab"[i % 2], "x", "y", "z") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __size string, u string, favour string")
+    mixed = mix(df)
+    assert mixed.columns == [*df.columns, "size", "source_size", "target", "copies"] and {(r["__size"], r.u, r.favour) for r in mixed.collect()} == {("x", "y", "z")}
+    narrow = {r.doc_id: (r.size, r.target, r.copies) for r in mix(df, keep=["doc_id"]).collect()}
+    assert narrow == {r.doc_id: (r.size, r.target, r.copies) for r in mixed.collect()}
+
+
+def test_gap_left_is_bounded(spark):
+    """At most half the smallest later document that isn't taken, with few large and no small ones."""
+    rng = random.Random(11)
+    rows = [(i, "w " * rng.randrange(40, 400), "abc"[i % 3]) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mix(df, favour=lambda size: size, buckets=4).collect()
+    for s in "abc":
+        own = [r for r in mixed if r.source == s]
+        low = min(r.copies for r in own)
+        rest = [r.size for r in own if r.copies == low]
+        assert abs(sum(r.size * r.copies for r in own) - own[0].target) <= max(rest, default=0) / 2

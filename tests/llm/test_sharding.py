@@ -73,3 +73,5 @@ def test_query(spark, sf_dir):
         assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(data) + 1, zlib.crc32(data), "rows", None)
     counts = Counter(r.shard for r in rows)
     assert max(counts.values()) - min(counts.values()) <= 1 and set(counts) == set(range(8))
+    for shard in range(8):
+        assert sorted(r.slot for r in rows if r.shard == shard) == list(range(counts[shard]))

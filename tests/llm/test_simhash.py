@@ -96,3 +96,21 @@ def test_hard_rows(spark):
     twice = spark.createDataFrame([(3, "alpha beta gamma delta"), (5, "alpha beta gamma delta"), (5, "quite another text here"), (5, "quite another text here")], "doc_id long, text string")
     assert sorted((r.doc_id, r.text[:5]) for r in near_dedup(twice).collect()) == [(3, "alpha"), (5, "quite")]
     assert simhash_components(df.limit(0)).count() == 0
+
+
+def test_registered_query_against_all_pairs(spark, sf_dir):
+    from boxframe.llm.queries import op3_simhash_near_dedup
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    prints = {r.doc_id: fingerprint(r.text) for r in docs}
+    wanted = brute(prints)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in op3_simhash_near_dedup(spark, sf_dir).collect()}
+    assert got == {n: (f"{prints[n]:016x}", wanted[n]) for n in prints}
+
+
+def test_any_column_names(spark):
+    rows = [(i, f"text number {i // 2} and more of it", "a", "b", "c") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id string, __print string, gone string")
+    kept = near_dedup(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == list(range(0, 40, 2))
+    assert near_dedup(df.limit(0)).count() == 0
