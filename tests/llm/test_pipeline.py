@@ -1,5 +1,7 @@
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from boxframe.llm.common import checkpointed
 from boxframe.llm.mixing import mix
@@ -31,3 +33,15 @@ def test_stages_and_run(spark, sf_dir):
     assert all(len(x) == 1 for x in by.values())
     again = corpus_pipeline.run(spark, sf_dir).select("doc_id", "ids_sha256").collect()
     assert Counter(again) == Counter((r.doc_id, r.ids_sha256) for r in done)
+
+
+def test_extra_columns_and_empty_tables(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    more = ["score", "predicted", "size", "copies", "target", "__id", "fp", "component_id"]
+    wide = docs.select("*", *(F.lit(f"own {c}").alias(c) for c in more))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, wide, sf_dir)
+        assert got.columns == wide.columns, name
+        assert all(r[c] == f"own {c}" for r in got.select(*more).collect() for c in more), name
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, wide.limit(0), sf_dir).count() == 0, name
