@@ -14,15 +14,23 @@ from boxframe.llm.mixing import mix, take
 from boxframe.llm.simhash import near_dedup
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns named by their place, so that none has a name that an operator adds; and these names."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model doesn't predict to be toxic.
 
     Defined cases: null and empty texts get the score of the model's bias;
     repeated rows are judged alike; without labels of both kinds nothing is
-    dropped; an empty table gives an empty result; extra columns are kept.
+    dropped; an empty table gives an empty result; extra columns are kept,
+    whatever their names.
     """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter("predicted = 0").select(docs.columns)
+    rows, at = _numbered(docs)
+    return toxicity.score(rows, model, at["text"]).filter("predicted = 0").select(rows.columns).toDF(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +52,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text are taken alike; an empty table gives an empty result; extra columns
     are kept, whatever their names.
     """
-    return take(mix(docs), docs.columns)
+    rows, at = _numbered(docs)
+    return take(mix(rows, at["doc_id"], at["text"], at["source"]), rows.columns).toDF(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
