@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,3 +82,31 @@ def greedy_search(steps: DataFrame, key: str, eos: int, min_length: int, max_len
     end = F.array_position(F.transform("all", lambda p: p["token"]), F.lit(eos).cast("long"))
     kept = runs.withColumn("n", F.when(end > 0, end).otherwise(F.size("all")).cast("int")).withColumn("ended", (end > 0) | (F.size("all") >= max_length))
     return kept.select(key, F.transform(F.slice("all", F.lit(1), F.col("n")), lambda p: p["token"]).alias("tokens"), F.get("all", F.col("n") - 1)["logp"].alias("score"), F.col("ended").alias("finished"))
+
+
+def model_search(keys: DataFrame, key: str, model: Callable[[DataFrame], DataFrame], beams: int, n_best: int, eos: int, min_length: int, max_length: int, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """(key, tokens, score) of the ``n_best`` sequences, with a model that looks at what was said before.
+
+    ``model`` gets a row for each hypothesis (key, tokens, …) and adds
+    ``next``, the log probabilities of the token after it; it may be a join or
+    a ``mapInPandas``. The rules of ending are those of ``beam_search``. Each
+    step is one call of the model and one window by key; a hypothesis that
+    ended goes along as a row of its own. For many steps ``cut`` should write
+    each step's table (a checkpoint), since plans grow with the steps.
+    """
+    own = "struct<less:double,logp:double,tokens:array<bigint>,ended:boolean>"
+    state = keys.select(key, F.expr(f"cast(named_struct('less', 0D, 'logp', 0D, 'tokens', cast(array() as array<bigint>), 'ended', false) as {own})").alias("h"), F.lit(False).alias("over"))
+    for n in range(max_length):
+        seen = model(state.select(key, F.col("h.tokens").alias("tokens"), "h", "over"))
+        p = F.transform("next", lambda x, i: F.col("h.logp") + (F.when(i == eos, F.lit(FORCED)).otherwise(x) if n + 1 < min_length else x))  # noqa: B023
+        grown = F.transform(p, lambda x, i: F.struct((-x / (n + 1)).alias("less"), x.alias("logp"), F.concat("tokens", F.array(i.cast("long"))).alias("tokens"), ((i == eos) | (n + 1 >= max_length)).alias("ended")))  # noqa: B023
+        best = F.slice(F.sort_array(grown), 1, beams)
+        rows = seen.select(key, "over", F.col("h.ended").alias("was"), F.explode(F.when(F.col("h.ended"), F.array("h")).otherwise(best)).alias("h"))
+        ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy(key, "was").orderBy("h.less", "h.logp", "h.tokens"))).filter(F.col("was") | (F.col("k") <= beams))
+        every = Window.partitionBy(key)
+        first = F.max(F.when(~F.col("was") & (F.col("k") == 1), F.col("h.ended"))).over(every)
+        over = F.col("over") | (F.coalesce(first, F.lit(False)) & (F.count_if("h.ended").over(every) >= n_best))
+        state = cut(ranked.withColumn("over", over).filter(F.col("h.ended") | ~F.col("over")).select(key, "h", "over"))
+    order = Window.partitionBy(key).orderBy("h.less", "h.logp", "h.tokens")
+    done = state.filter("h.ended").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= n_best)
+    return done.select(key, "h.tokens", (-F.col("h.less")).alias("score"))

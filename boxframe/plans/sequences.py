@@ -184,6 +184,21 @@ def greedy_search(spark, d):
     return done.select("run", _joined(F.col("tokens")).alias("tokens"), F.round("score", 6).alias("score"), "finished")
 
 
+def prefix_search(spark, d):
+    """Three beams for each run of eight vectors; what comes next is said by the vector that run, step and last token lead to."""
+    logits = _logits(spark, d)
+    n = logits.count()
+    table = logits.select(F.col("vec_id").alias("__at"), F.transform(vectors.log_softmax(F.col("logits")), lambda x: F.round(x, 9)).alias("next"))
+
+    def model(rows):
+        at = (F.col("run") * 7 + F.coalesce(F.try_element_at("tokens", F.lit(-1)), F.lit(0)) + F.size("tokens")) % n
+        return rows.withColumn("__at", at).join(table, "__at").drop("__at")
+
+    runs = logits.select(F.floor(F.col("vec_id") / 8).alias("run")).distinct()
+    done = decoding.model_search(runs, "run", model, beams=3, n_best=1, eos=0, min_length=2, max_length=4)
+    return done.select("run", _joined(F.col("tokens")).alias("tokens"), F.round("score", 6).alias("score"))
+
+
 def _steps(spark, d):
     return P.read(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 301).alias("step"))
 
@@ -224,7 +239,7 @@ def frozen_norm(spark, d):
     return _logits(spark, d).select("vec_id", F.round(vectors.total(vectors.frozen_norm(F.col("logits"), 0.1, 0.5, 2.0, 0.3)), 6).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (tokenize_boxes, quantize_plain, tokenize_reactions, tokenize_images, truncate_labels, tokens_to_strings, detokenize_roundtrip, detokenize_boxes, fsm_trace, fsm_allowed, log_softmax, greedy_argmax, masked_argmax, topk_tokens, sampled_tokens, accuracy_at_k, cross_entropy, label_smoothing, criterion, eos_lengths, beam_step, beam_finish, beam_search, greedy_search, lr_schedule, cosine_schedule, training_steps, sine_position, sinusoid_position, window_grid, frozen_norm)}
+QUERIES = {f.__name__: f for f in (tokenize_boxes, quantize_plain, tokenize_reactions, tokenize_images, truncate_labels, tokens_to_strings, detokenize_roundtrip, detokenize_boxes, fsm_trace, fsm_allowed, log_softmax, greedy_argmax, masked_argmax, topk_tokens, sampled_tokens, accuracy_at_k, cross_entropy, label_smoothing, criterion, eos_lengths, beam_step, beam_finish, beam_search, greedy_search, prefix_search, lr_schedule, cosine_schedule, training_steps, sine_position, sinusoid_position, window_grid, frozen_norm)}
 
 _W = P.VIEWS
 _CAT = "CASE category_id WHEN 1 THEN 2011 WHEN 2 THEN 2012 WHEN 3 THEN 2010 WHEN 4 THEN 2013 ELSE 2014 END"
@@ -291,6 +306,15 @@ p AS (SELECT x.vec_id // 8 AS run, x.vec_id % 8 AS step, place, x - n AS logp FR
 b AS (SELECT run, step, arg_max(place, (logp, -place)) AS token, max(logp) AS logp FROM p WHERE NOT (place = 0 AND step < 2) GROUP BY ALL),
 e AS (SELECT *, min(step) FILTER (WHERE token = 0) OVER (PARTITION BY run) AS stop, count(*) OVER (PARTITION BY run) AS steps FROM b)
 SELECT run, string_agg(CAST(token AS VARCHAR), ' ' ORDER BY step) AS tokens, round(arg_max(logp, step), 6) AS score, any_value(stop) IS NOT NULL OR any_value(steps) >= 8 AS finished FROM e WHERE stop IS NULL OR step <= stop GROUP BY run""",
+    "prefix_search": f"""WITH RECURSIVE {_LOGP}, st AS MATERIALIZED (SELECT vec_id, place, round(logp, 9) AS logp FROM lp), size AS (SELECT count(*) AS size FROM embeddings),
+b AS (SELECT DISTINCT vec_id // 8 AS run, CAST(0 AS BIGINT) AS n, 0e0 AS logp, CAST([] AS BIGINT[]) AS tokens, 0e0 AS less, false AS done, false AS over FROM embeddings
+  UNION ALL SELECT run, n, logp, tokens, less, done, over FROM (
+    SELECT *, first_value(done) OVER w AS over, row_number() OVER w AS k FROM (
+      SELECT b.run, b.n + 1 AS n, b.logp + x.p AS logp, list_append(b.tokens, x.place) AS tokens, -(b.logp + x.p) / (b.n + 1) AS less, x.place = 0 OR b.n + 1 >= 4 AS done
+      FROM (SELECT b.*, (b.run * 7 + coalesce(b.tokens[-1], 0) + b.n) % size AS vec FROM b, size) b JOIN (SELECT vec_id, place, logp AS p FROM st) x ON x.vec_id = b.vec WHERE NOT b.done AND NOT b.over AND NOT (x.place = 0 AND b.n < 1))
+    WINDOW w AS (PARTITION BY run ORDER BY less, logp, tokens)) WHERE k <= 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY less, logp, tokens) AS k FROM b WHERE done)
+SELECT run, array_to_string(tokens, ' ') AS tokens, round(-less, 6) AS score FROM r WHERE k = 1""",
     "beam_search": f"WITH RECURSIVE {_LOGP}, {_SEARCH}",
     "log_softmax": f"WITH {_LOGP} SELECT vec_id, place, round(logp, 9) AS logp FROM lp",
     "greedy_argmax": f"WITH {_LOGP} SELECT vec_id, place AS token, round(logp, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, place) AS k FROM lp WHERE place < 62) WHERE k = 1",
