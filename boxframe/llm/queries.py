@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxframe.llm import toxicity
+from boxframe.llm import merge_bpe, toxicity
+from boxframe.llm.align import align
 from boxframe.llm.ann import nearest
 from boxframe.llm.byte_bpe import tokenize
 from boxframe.llm.chat_format import format_chats
@@ -15,6 +16,7 @@ from boxframe.llm.common import table
 from boxframe.llm.html_extract import extract_main_text
 from boxframe.llm.media_jpeg import media_columns
 from boxframe.llm.mixing import mix
+from boxframe.llm.phrases import collocations
 from boxframe.llm.sharding import shuffle_to_shards
 from boxframe.llm.simhash import simhash_components
 from boxframe.llm.url_rules import judge, rule_labels
@@ -81,6 +83,23 @@ def op10_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align(table(spark, sf_dir, "documents"), *paths, keep=["doc_id"], with_groups=False)
+
+
+def op12_merge_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return merge_bpe.tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"], with_ids=False)
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_chat_role_repair": op2_chat_role_repair,
@@ -92,6 +111,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_jpeg_media": op9_jpeg_media,
     "op10_pareto_mixing": op10_pareto_mixing,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_merge_bpe": op12_merge_bpe,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 #: The mix by plain windows over whole sources.
@@ -128,4 +150,23 @@ SELECT doc_id, k.size, source_size, target, CAST(k.size * (whole + CASE WHEN par
 FROM k LEFT JOIN c ON k.source IS NOT DISTINCT FROM c.source LEFT JOIN more ON k.source IS NOT DISTINCT FROM more.source AND k.size = more.size
 """
 
-ORACLE_SQL: dict[str, str] = {"op10_pareto_mixing": _MIX}
+#: All phrases counted at once; products in 128 bits.
+_PHRASES = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, 1 AS words, unnest(w) AS phrase FROM w
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w WHERE len(w) > 1
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w WHERE len(w) > 2),
+f AS MATERIALIZED (SELECT lang, words, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE words = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE words > 1 AND f >= 10),
+k AS (SELECT *, unnest(range(1, words)) AS k FROM c),
+s AS (SELECT k.lang, k.words, k.phrase, k.a, k.k, x.f AS l, y.f AS r, CAST(CAST(1000000 AS HUGEINT) * k.a * k.a // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(w[1:k.k], ' ') JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(w[k.k + 1:k.words], ' ')),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, inner_, max(a) AS a FROM (SELECT lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS inner_, a FROM c WHERE words = 3) GROUP BY ALL),
+z AS (SELECT m.* FROM m LEFT JOIN i ON i.lang = m.lang AND i.inner_ = m.phrase WHERE i.a IS NULL OR 100 * i.a < 50 * m.a)
+SELECT z.lang, row_number() OVER (PARTITION BY z.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM z JOIN n ON n.lang = z.lang QUALIFY rank <= 2000
+"""
+
+ORACLE_SQL: dict[str, str] = {"op10_pareto_mixing": _MIX, "op13_phrase_collocations": _PHRASES}
