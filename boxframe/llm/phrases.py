@@ -21,9 +21,12 @@ BLOCK_WORDS, BLOCK_VOCABULARY = 4_000_000, 1 << 20
 SET_BITS = 27
 #: Parts of such a set, by which sets of tasks are united.
 SET_PARTS = 64
+#: Rows that go from Python to Spark, or are looked up, at once.
+SLICE = 1 << 16
 #: Lower case for A-Z, a line feed for what ends a piece, a space for a tab.
 _BYTES = bytes.maketrans((UPPER + ".,;:!?\x0b\x0c\r\t").encode(), (LOWER + "\n" * 9 + " ").encode())
-_ROWS = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
+#: A phrase, a line feed and its language are one key, since no word has a line feed.
+_ROWS = pa.schema([("key", pa.string()), ("f", pa.int64())])
 
 
 class _Ids(dict):
@@ -54,8 +57,11 @@ def _slots(known: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _holds(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether a set of bits has the phrases of these hashes; it may say yes of a few others."""
     has = lambda at: (known[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-    one, two = _slots(known, hashes)
-    return (has(one) & has(two)).astype(bool)
+    found = np.empty(len(hashes), bool)
+    for i in range(0, len(hashes), SLICE):
+        one, two = _slots(known, hashes[i : i + SLICE])
+        found[i : i + SLICE] = has(one) & has(two)
+    return found
 
 
 def _put(known: np.ndarray, hashes: np.ndarray) -> None:
@@ -63,11 +69,13 @@ def _put(known: np.ndarray, hashes: np.ndarray) -> None:
         np.bitwise_or.at(known, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
 
 
-def _rows(lang: str, n: int, parts: list[np.ndarray], counts: np.ndarray, words: pa.Array) -> pa.RecordBatch:
-    """Phrases of n words, whose numbers are ``parts``, and their counts."""
-    own = [words.take(pa.array(p - 1)) for p in parts]
-    phrase = own[0] if n == 1 else pc.binary_join_element_wise(*own, " ")
-    return pa.RecordBatch.from_arrays([pa.repeat(lang, len(counts)), pa.array(np.full(len(counts), n, np.int32)), phrase, pa.array(counts.astype(np.int64))], schema=_ROWS)
+def _rows(lang: str, n: int, keys: np.ndarray, bits: int, counts: np.ndarray, words: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Phrases of n words, whose numbers are ``bits`` of a key each, and their counts."""
+    for i in range(0, len(keys), SLICE):
+        some = keys[i : i + SLICE]
+        own = [words.take(pa.array(((some >> (bits * k)) & ((1 << bits) - 1)) - 1)) for k in range(n - 1, -1, -1)]
+        phrase = own[0] if n == 1 else pc.binary_join_element_wise(*own, " ")
+        yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(phrase, lang, "\n"), pa.array(counts[i : i + SLICE].astype(np.int64))], schema=_ROWS)
 
 
 def _counted(lang: str, ids: _Ids, numbers: np.ndarray, longest: int, every: int, known: np.ndarray | None, before: np.ndarray | None) -> Iterator[pa.RecordBatch]:
@@ -80,8 +88,8 @@ def _counted(lang: str, ids: _Ids, numbers: np.ndarray, longest: int, every: int
     vocabulary = pa.array(list(ids), pa.binary()).cast(pa.string())
     if every:
         counts = np.bincount(numbers, minlength=len(ids) + 1)[1:]
-        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0], pa.int32()), pa.array([""]), pa.array([int(counts.sum())])], schema=_ROWS)
-        yield _rows(lang, 1, [np.arange(1, len(ids) + 1)], counts, vocabulary)
+        yield pa.RecordBatch.from_arrays([pa.array(["\n" + lang]), pa.array([int(counts.sum())])], schema=_ROWS)
+        yield from _rows(lang, 1, np.arange(1, len(ids) + 1), 63, counts, vocabulary)
     own = np.append(np.uint64(0), _word_hashes(lang, list(ids)))
     hashes = own[numbers]
     #: For each place: whether a phrase of this many words starts there, its hash, and whether the sets have it.
@@ -95,10 +103,12 @@ def _counted(lang: str, ids: _Ids, numbers: np.ndarray, longest: int, every: int
             chosen = chosen & both[0] & ~both[1] if len(both) > 1 else chosen & both[0]
         at = np.flatnonzero(chosen)
         bits = 63 // longest
-        key = reduce(lambda k, i: (k << bits) | numbers[at + i], range(1, n), numbers[at])
+        key = numbers[at].astype(np.int64)
+        for i in range(1, n):
+            key = (key << bits) | numbers[at + i]
         keys, counts = np.unique(key, return_counts=True)
-        if len(keys):
-            yield _rows(lang, n, [(keys >> (bits * (n - 1 - i))) & ((1 << bits) - 1) for i in range(n)], counts, vocabulary)
+        del key
+        yield from _rows(lang, n, keys, bits, counts, vocabulary)
         if n < longest:
             hashes = _joined(hashes[:-1], own[numbers[n - 1 :]])
 
@@ -111,10 +121,9 @@ def _passed(df: DataFrame, longest: int, every: int, block_words: int, known=Non
         ids, numbers, held = defaultdict(_Ids), defaultdict(list), 0
 
         def put() -> Iterator[pa.RecordBatch]:
-            for lang, lists in numbers.items():
-                yield from _counted(lang, ids[lang], np.concatenate(lists), longest, every, *sets)
-            ids.clear()
-            numbers.clear()
+            while numbers:
+                lang, lists = numbers.popitem()
+                yield from _counted(lang, ids.pop(lang), np.concatenate(lists), longest, every, *sets)
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -123,14 +132,17 @@ def _passed(df: DataFrame, longest: int, every: int, block_words: int, known=Non
                 for piece in text.as_py().translate(_BYTES).split(b"\n"):
                     found.extend(map(own.__getitem__, piece.split()))
                     found.append(0)
-                numbers[lang].append(np.array(found, np.int64))
+                numbers[lang].append(np.array(found, np.int32))
                 held += len(found)
                 if held >= block_words or len(own) >= BLOCK_VOCABULARY:
                     yield from put()
                     held = 0
         yield from put()
 
-    return df.mapInArrow(run, "lang string, words int, phrase string, f long").groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
+    # A block has each phrase once, so there is nothing to sum before rows with a key meet.
+    summed = df.mapInArrow(run, "key string, f long").repartition("key").groupBy("key").agg(F.sum("f").alias("f"))
+    phrase, lang = F.substring_index("key", "\n", 1), F.expr("substring(key, locate('\n', key) + 1)")
+    return summed.select(lang.alias("lang"), F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, " "))).alias("words"), phrase.alias("phrase"), "f")
 
 
 def _hashes(lang: pa.Array, phrase: pa.Array) -> np.ndarray:
@@ -188,7 +200,7 @@ def _failed(frequent: DataFrame, known) -> DataFrame:
     return frequent.select("lang", "phrase").mapInArrow(run, "lang string, phrase string")
 
 
-def frequent_phrases(df: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = 10, longest: int = 3, sample: float = 0.3, slack: float = 0.75, block_words: int = BLOCK_WORDS, bits: int = SET_BITS, passes: list | None = None) -> DataFrame:
+def frequent_phrases(df: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = 10, longest: int = 3, sample: float = 0.3, slack: float = 1.0, block_words: int = BLOCK_WORDS, bits: int = SET_BITS, passes: list | None = None) -> DataFrame:
     """(lang, words, phrase, f): all phrases of 1 to ``longest`` words that occur ``least`` times or more, with exact counts; rows of 0 words have a language's words.
 
     Toivonen's way: phrases of a sample of the documents (a share, by a hash
