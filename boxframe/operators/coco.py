@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,41 +10,69 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from boxframe.operators.scan import scan, segments
+from boxframe.storage import written
+
 # Fixed values of the definition: thresholds, recall points, areas of boxes (pixels), detections by image.
 IOUS = [round(0.5 + 0.05 * i, 2) for i in range(10)]
+LEAST = [min(t, 1 - 1e-10) for t in IOUS]
 RECALLS = [i / 100 for i in range(101)]
 AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
 MOST = 100
 
 
-def _ious(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
-    both = np.clip(high - low, 0, None).prod(axis=2)
-    size = lambda x: (x[:, 2:] - x[:, :2]).prod(axis=1)
-    return both / np.maximum(size(a)[:, None] + size(b)[None] - both, 1e-12)
+#: Pairs up to which overlaps are computed one by one.
+FEW = 64
+
+
+def _ious(a: list[tuple], b: list[tuple], size_a: list[float], size_b: list[float]) -> list[list[float]]:
+    """Overlaps of each box of a with each of b."""
+    if len(a) * len(b) > FEW:
+        p, q = np.array(a), np.array(b)
+        low, high = np.maximum(p[:, None, :2], q[None, :, :2]), np.minimum(p[:, None, 2:], q[None, :, 2:])
+        both = np.clip(high - low, 0, None).prod(axis=2)
+        return (both / np.maximum(np.array(size_a)[:, None] + np.array(size_b)[None] - both, 1e-12)).tolist()
+    out = []
+    for (x1, y1, x2, y2), m in zip(a, size_a, strict=True):
+        row = []
+        for (u1, v1, u2, v2), n in zip(b, size_b, strict=True):
+            w, h = min(x2, u2) - max(x1, u1), min(y2, v2) - max(y1, v1)
+            both = w * h if w > 0 and h > 0 else 0.0
+            row.append(both / max(m + n - both, 1e-12))
+        out.append(row)
+    return out
 
 
-def _image(boxes: list[dict]) -> Iterator[tuple[str, int | None, float | None, int, int, int]]:
-    """Greedy matching in one image and category: (area, rank, score, hits, outs, gold).
+def _image(boxes: list[dict]) -> Iterator[tuple[str, int, float, int, int]]:
+    """Greedy matching in one image and category: (area, rank, score, hits, outs).
 
     Bit i of hits says that a detection is a hit at threshold i, of outs that
-    it doesn't count there. A row without rank has the number of gold boxes.
+    it doesn't count there.
     """
     corners = lambda b: (b["x1"], b["y1"], b["x2"], b["y2"])
     pred = sorted((b for b in boxes if b["side"] == "pred"), key=lambda b: (-b["score"], b["box"]))[:MOST]
-    g = np.array([corners(b) for b in boxes if b["side"] == "gold"]).reshape(-1, 4)
-    p = np.array([corners(b) for b in pred]).reshape(-1, 4)
-    size = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
-    ious, gold_size, pred_size = _ious(p, g).tolist(), size(g), size(p).tolist()
+    if not pred:
+        return
+    gold, pred_at = [corners(b) for b in boxes if b["side"] == "gold"], [corners(b) for b in pred]
+    size = lambda c: (c[2] - c[0]) * (c[3] - c[1])
+    gold_size, pred_size = list(map(size, gold)), list(map(size, pred_at))
+    ious = _ious(pred_at, gold, pred_size, gold_size)
+    pairs = [(rank, j) for rank, own in enumerate(ious) for j, x in enumerate(own) if x >= IOUS[0]]
+    #: No box of either side has a choice: then a pair is a match at each threshold that it reaches.
+    alone = len({r for r, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
+    highest = max((ious[r][j] for r, j in pairs), default=0.0)
+    reached = [] if alone else [i for i, t in enumerate(LEAST) if highest >= t]
     for area, (least, most) in AREAS.items():
-        aside = (gold_size < least) | (gold_size > most)
-        order, aside = np.argsort(aside, kind="stable").tolist(), aside.tolist()
-        yield area, None, None, 0, 0, len(aside) - sum(aside)
-        hits, outs = [0] * len(pred), [0] * len(pred)
-        for bit, t in enumerate(IOUS):
+        aside = [not least <= s <= most for s in gold_size]
+        order = sorted(range(len(aside)), key=aside.__getitem__)
+        hits, outs = [0] * len(pred), [0 if least <= s <= most else (1 << len(IOUS)) - 1 for s in pred_size]
+        for rank, j in pairs if alone else ():
+            hits[rank] = mask = (1 << bisect_right(LEAST, ious[rank][j])) - 1
+            outs[rank] = outs[rank] & ~mask | (mask if aside[j] else 0)
+        for bit in reached:
             taken = [False] * len(aside)
             for rank, own in enumerate(ious):
-                best, at = min(t, 1 - 1e-10), -1
+                best, at = LEAST[bit], -1
                 for j in order:
                     if taken[j] or own[j] < best:
                         continue
@@ -52,68 +81,64 @@ def _image(boxes: list[dict]) -> Iterator[tuple[str, int | None, float | None, i
                     best, at = own[j], j
                 if at >= 0:
                     taken[at] = True
-                hits[rank] |= (at >= 0) << bit
-                outs[rank] |= (aside[at] if at >= 0 else not least <= pred_size[rank] <= most) << bit
+                    hits[rank] |= 1 << bit
+                    outs[rank] = outs[rank] & ~(1 << bit) | aside[at] << bit
         for rank, b in enumerate(pred):
-            yield area, rank, b["score"], hits[rank], outs[rank], 0
+            yield area, rank, b["score"], hits[rank], outs[rank]
 
 
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [(r["image_id"], r["category_id"], *x) for r in batch.to_pylist() for x in _image(r["boxes"])]
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
         columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["image_id", "category_id", "area", "rank", "score", "hits", "outs", "gold"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["image_id", "category_id", "area", "rank", "score", "hits", "outs"])
 
 
-def evaluate(gold: DataFrame, pred: DataFrame, ranges: int = 1024) -> DataFrame:
+def evaluate(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """One row of twelve numbers: ap, ap50, ap75, aps, apm, apl, ar1, ar10, ar100, ars, arm, arl.
 
     ``gold`` is (image_id, category_id, box, corners in pixels), ``pred`` has
     score as well. Images without predictions don't count at all. Matching is
     greedy by score within an image and category, the one step that is not a
-    plain aggregate. A curve (of a category, area and threshold) is cut into
-    ``ranges`` of scores: detections are ranked within their range, and small
-    tables carry counts, hits and the best precision from range to range, so
-    no task holds a whole curve. Without detections all are 0; areas without
-    gold boxes are -1.
+    plain aggregate; its rows are written once. Detections of a category and
+    area are then scanned in order of their scores, in segments (see
+    ``scan``), so equal scores or one large category don't meet in a task:
+    ten running numbers of hits and of detections that count, one a
+    threshold. A curve's precision is best where it reaches a hit, and only
+    the best between two recall points counts, so curves are aggregates.
+    Without detections all are 0; areas without gold boxes are -1.
     """
     columns = ("image_id", "category_id", "box", "x1", "y1", "x2", "y2")
     known = gold.join(pred.select("image_id").distinct(), "image_id", "left_semi").select(*columns, F.lit(0.0).alias("score"), F.lit("gold").alias("side"))
     both = known.unionByName(pred.select(*columns, "score", F.lit("pred").alias("side")))
     box = F.struct("side", "score", "box", "x1", "y1", "x2", "y2")
     each = both.groupBy("image_id", "category_id").agg(F.sort_array(F.collect_list(box)).alias("boxes"))
-    found = each.mapInArrow(_matched, "image_id long, category_id long, area string, rank long, score double, hits long, outs long, gold long").filter("rank is not null")
+    found = written(each.mapInArrow(_matched, "image_id long, category_id long, area string, rank long, score double, hits long, outs long"), "matches")
     size = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     areas = F.explode(F.array_compact(F.array(*(F.when((size >= least) & (size <= most), F.lit(name)) for name, (least, most) in AREAS.items())))).alias("area")
     total = known.select("category_id", areas).groupBy("category_id", "area").agg(F.count("*").alias("total"))
-    bit = F.posexplode(F.array(*map(F.lit, IOUS))).alias("bit", "iou")
-    is_set = lambda c: F.expr(f"(shiftright({c}, bit) & 1) = 1")
-    cell = ["category_id", "area", "iou"]
-    scored = found.select("*", bit).filter(~is_set("outs")).withColumn("hit", is_set("hits").cast("double")).withColumn("range", -F.floor(F.col("score") * ranges))
-    scored = scored.join(F.broadcast(total), ["category_id", "area"]).select("image_id", *cell, "rank", "score", "hit", "range", "total")
-    # Within a range.
-    inside = Window.partitionBy(*cell, "range").orderBy(F.desc("score"), "image_id", "rank")
-    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
-    # Across ranges: a table of cells and ranges.
-    counts = scored.groupBy(*cell, "range").agg(F.count("*").alias("n"), F.sum("hit").alias("h"))
-    across = Window.partitionBy(*cell).orderBy("range")
-    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*cell, "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"), F.coalesce(F.sum("h").over(earlier), F.lit(0.0)).alias("h0"))
-    points = scored.join(counts, [*cell, "range"]).withColumn("hits", F.col("h0") + F.sum("hit").over(so_far)).withColumn("precision", F.col("hits") / (F.col("n0") + F.row_number().over(inside)))
-    points = points.withColumn("recall", F.col("hits") / F.col("total"))
-    # A curve's envelope falls with recall: at each recall point the best precision from the first detection at or over it counts.
-    by_recall = points.groupBy(*cell, "range", "recall").agg(F.max("precision").alias("best"), *(F.sum(F.when(F.col("rank") < k, F.col("hit")).otherwise(0.0)).alias(f"hits{k}") for k in (1, 10, 100)))
-    own = Window.partitionBy(*cell, "range").orderBy("recall")
-    by_recall = by_recall.withColumn("best", F.max("best").over(own.rowsBetween(0, Window.unboundedFollowing)))
-    ends = by_recall.groupBy(*cell, "range").agg(F.max("best").alias("most"), F.max("recall").alias("till"))
-    later, last = across.rowsBetween(1, Window.unboundedFollowing), across.rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select(*cell, "range", F.coalesce(F.max("most").over(later), F.lit(0.0)).alias("after"), F.coalesce(F.max("till").over(last), F.lit(-1.0)).alias("since"))
-    placed = by_recall.withColumn("before", F.lag("recall").over(own)).join(ends, [*cell, "range"])
-    before, best = F.coalesce("before", "since"), F.greatest("best", "after")
-    reached = F.size(F.filter(F.array(*map(F.lit, RECALLS)), lambda r: (r <= F.col("recall") + 1e-12) & (r > before + 1e-12)))
-    curves = placed.groupBy(*cell).agg((F.sum(best * reached) / len(RECALLS)).alias("ap"), *(F.sum(f"hits{k}").alias(f"hits{k}") for k in (1, 10, 100)))
-    table = total.withColumn("iou", F.explode(F.array(*map(F.lit, IOUS)))).join(curves, cell, "left")
+    bits = range(len(IOUS))
+    is_set = lambda c, i: F.expr(f"(shiftright({c}, {i}) & 1)")
+    hit = lambda i: is_set("hits", i) * (1 - is_set("outs", i))
+    order = [F.desc("score"), F.asc("image_id"), F.asc("rank")]
+    curve = ["category_id", "area"]
+    rows = segments(found.join(total, curve), curve, order)
+    placed = scan(rows, curve, order, {f"h{i}": hit(i) for i in bits} | {f"n{i}": 1 - is_set("outs", i) for i in bits})
+    # Detections that are hits, by threshold: how many hits and detections there are up to them.
+    reached = F.explode(F.array_compact(F.array(*(F.when(hit(i) == 1, F.struct(F.lit(t).alias("iou"), F.col(f"h{i}").alias("h"), F.col(f"n{i}").alias("n"))) for i, t in enumerate(IOUS))))).alias("x")
+    points = placed.select(*curve, "total", reached).select(*curve, "total", "x.*").withColumn("recall", F.col("h") / F.col("total") + 1e-12)
+    k = F.floor(F.col("recall") * 100)
+    place = F.least(F.when((k + 1) / 100.0 <= F.col("recall"), k + 1).when(k / 100.0 > F.col("recall"), k - 1).otherwise(k), F.lit(100))
+    best = points.groupBy(*curve, "iou", place.alias("place")).agg(F.max(F.col("h") / F.col("n")).alias("best"))
+    # Each recall point takes the best precision at it or later: a hundred and one rows a curve.
+    own = Window.partitionBy(*curve, "iou").orderBy("place")
+    best = best.withColumn("best", F.max("best").over(own.rowsBetween(0, Window.unboundedFollowing))).withColumn("since", F.coalesce(F.lag("place").over(own), F.lit(-1)))
+    aps = best.groupBy(*curve, "iou").agg((F.sum(F.col("best") * (F.col("place") - F.col("since"))) / len(RECALLS)).alias("ap"))
+    counts = found.groupBy(*curve).agg(*(F.sum(F.when(F.col("rank") < most, hit(i)).otherwise(0)).alias(f"h{most}_{i}") for most in (1, 10, 100) for i in bits))
+    counts = counts.select(*curve, F.explode(F.array(*(F.struct(F.lit(t).alias("iou"), *(F.col(f"h{most}_{i}").alias(f"hits{most}") for most in (1, 10, 100))) for i, t in enumerate(IOUS)))).alias("x")).select(*curve, "x.*")
+    cell = [*curve, "iou"]
+    table = total.withColumn("iou", F.explode(F.array(*map(F.lit, IOUS)))).join(aps, cell, "left").join(counts, cell, "left")
     mean = lambda c, when: F.coalesce(F.avg(F.when(when, F.coalesce(c, F.lit(0.0)))), F.lit(-1.0))
     area = lambda a: F.col("area") == a
     numbers = [mean(F.col("ap"), area("all")).alias("ap"), *(mean(F.col("ap"), area("all") & (F.col("iou") == t)).alias(n) for n, t in (("ap50", 0.5), ("ap75", 0.75)))]
