@@ -205,8 +205,28 @@ def threshold(values: np.ndarray) -> float:
     return float(np.expm1((low + high) / 2))
 
 
-def _scope(parser: Lines, over: np.ndarray) -> tuple[int, int]:
-    """The run of lines that is the content, by the lines ``over`` the threshold: the first, and the one after the last."""
+def _landmarks(parser: Lines, over: np.ndarray) -> list[tuple[int, int]]:
+    """The page's articles and main parts, none inside another: for each the first line, and the one after the last.
+
+    Where one has most of its text in lines ``over`` the threshold, those with less than that and most of it in links are none.
+    """
+    lines, found = parser.lines, []
+    for a, z, tag in sorted(parser.spans, key=lambda x: (x[0], -x[1])):
+        if tag in ("article", "main") and not (found and z <= found[-1][1]) and any(not line.aside for line in lines[a:z]):
+            found.append((a, z))
+
+    def half(a: int, z: int, share) -> bool:
+        own = [(len(lines[i].text), share(i)) for i in range(a, z) if not lines[i].aside]
+        return sum(n * x for n, x in own) >= sum(n for n, _ in own) / 2
+
+    upper = [half(a, z, lambda i: over[i]) for a, z in found]
+    return [x for x, high in zip(found, upper, strict=True) if high or not any(upper) or not half(*x, lambda i: lines[i].linked)]
+
+
+def _scope(parser: Lines, over: np.ndarray) -> list[tuple[int, int]]:
+    """The runs of lines that are the content, by the lines ``over`` the threshold: for each the first, and the one after the last."""
+    if marked := _landmarks(parser, over):
+        return marked
     lines = parser.lines
     own = np.array([not line.aside for line in lines])
     length = np.array([len(line.text) for line in lines]) * own
@@ -218,10 +238,9 @@ def _scope(parser: Lines, over: np.ndarray) -> tuple[int, int]:
     best = max((x for x in holding if x[2] in HOLDERS), key=lambda x: (gain(x), x[1] - x[0]))
     near = [x for x in holding if x[2] in HOLDERS - {"html", "body"} and x[0] <= best[0] and best[1] <= x[1] and gain(x) >= (1 - MARGIN) * gain(best)]
     start, end, _ = max([best, *near], key=lambda x: x[1] - x[0])
-    # The page's heading; and all its articles, where the container is in one.
-    marks = [x for x in holding if x[2] in ("article", "main")]
-    marks = [x for x in holding if x[2] == "h1"] + (marks if any(a <= start and end <= z for a, z, _ in marks) else [])
-    return min([start, *(a for a, _, _ in marks)]), max([end, *(z for _, z, _ in marks)])
+    # With the page's heading.
+    heads = [x for x in holding if x[2] == "h1"]
+    return [(min([start, *(a for a, _, _ in heads)]), max([end, *(z for _, z, _ in heads)]))]
 
 
 def main_text(html: str | None, sigma: float = 1.5) -> str:
@@ -232,19 +251,21 @@ def main_text(html: str | None, sigma: float = 1.5) -> str:
     comments and the like, told by element, class, id and role, are never
     kept and have ratio 0; that is all such lists decide. Each line has its
     ratio of text (outside links) to tags; the ratios of the page are smoothed
-    and parted in two clusters. A container gains the length of each of its
+    and parted in two clusters. Where a page has articles or a main part with
+    text, they are the content, and nothing outside them; of several, those
+    that are lists of links are left out if another is in the upper
+    cluster. On other pages a container gains the length of each of its
     lines in the upper cluster and loses for those in the lower one, links most;
     the container that gains most is the content, or the largest one around it
-    below the body that gains almost as much; with the page's articles if it's
-    in one, and with first-level headings. All lines of that run are kept,
-    short ones as well.
+    below the body that gains almost as much, with first-level headings. All
+    lines of a run are kept, short ones as well.
     """
     lines = (parser := read(html or "")).lines
     if all(line.aside for line in lines):
         return ""
     ratios = smooth(np.array([line.ratio for line in lines]), sigma)
-    start, end = _scope(parser, ratios >= threshold(ratios))
-    return " ".join(line.text for line in lines[start:end] if not line.aside)
+    runs = _scope(parser, ratios >= threshold(ratios))
+    return " ".join(line.text for start, end in runs for line in lines[start:end] if not line.aside)
 
 
 def extract_main_text(df: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:

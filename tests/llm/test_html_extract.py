@@ -87,6 +87,20 @@ def test_ratios_choose_between_unmarked_regions(inner):
     assert main_text(PAGE % inner) == REGIONS[inner]
 
 
+@pytest.mark.parametrize("n", [1, 3, 10, 40])
+def test_nothing_outside_an_article_is_kept(n):
+    article, around = f"<article>{f'<p>{LONG * 2}</p>' * n}</article>", "word " * 44
+    for outside in (f"<div><p>{around}</p></div>", f"<div><p>{around * 9}</p></div>", f"<section>{f'<p>{LONG}</p>' * 30}</section>"):
+        for page in (article + outside, outside + article, f"<div id=wrap>{outside}{article}{outside}</div>"):
+            assert main_text(PAGE % page) == " ".join([LONG * 2] * n)
+            assert main_text(PAGE % page.replace("article>", "main>")) == " ".join([LONG * 2] * n)
+
+
+def test_short_articles_win_over_what_is_between():
+    assert main_text(PAGE % f"<article>One</article><div><p>{LONG}</p><p>{LONG}</p></div><article>Two</article>") == "One Two"
+    assert main_text(PAGE % f"<article><ul>{LINKS}</ul></article><article><p>{LONG}</p></article>") == LONG
+
+
 def test_noise_for_ratios_changes_unmarked_pages(monkeypatch):
     rng = np.random.default_rng(4)
     pages = []
