@@ -119,6 +119,31 @@ def _filling(later: DataFrame) -> DataFrame:
     return filled.select("source", F.explode(put).alias("x")).groupBy("source", "x.size").agg(F.sum("x.rest").alias("rest"))
 
 
+def _level(levels: DataFrame, plan: DataFrame) -> DataFrame:
+    """(source, level): what favour is multiplied by, so that inclusion probabilities of one at most add up to ``rest`` words.
+
+    ``levels`` is (source, favour, words), summed. Rows whose favour times the
+    level reaches one are certain, and what they leave is shared anew by the
+    others; so the level rises, and more may become certain, until none does.
+    """
+    rows = checkpointed(_beside(levels, plan.filter("part > 0 and rest > 0").select("source", "rest"), ["source"], "inner"))
+    state = rows.groupBy("source").agg((F.first("rest") / F.nullif(F.sum(F.col("words") * F.col("favour")), F.lit(0.0))).alias("level"))
+    while True:
+        certain = F.col("favour") * F.col("level") >= 1
+        shared = _beside(rows, checkpointed(state), ["source"]).groupBy("source").agg(
+            F.first("level").alias("last"),
+            F.first("rest").alias("rest"),
+            F.coalesce(F.sum(F.when(certain, F.col("words"))), F.lit(0)).alias("taken"),
+            F.sum(F.when(certain, 0.0).otherwise(F.col("words") * F.col("favour"))).alias("favoured"),
+            F.max(F.when(~certain, F.col("favour"))).alias("most"),
+        )
+        state = shared.withColumn("level", F.coalesce((F.col("rest") - F.col("taken")) / F.nullif(F.col("favoured"), F.lit(0.0)), F.col("last")))
+        state = checkpointed(state.select("source", "level", (F.col("most") * F.col("level") >= 1).alias("more")))
+        if not state.filter("more").limit(1).count():
+            return state.drop("more")
+        state = state.drop("more")
+
+
 def mix(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -136,9 +161,11 @@ def mix(
 
     A source whose target is f times its size takes every row floor(f) times;
     those copies are certain. For the rest, a row's inclusion probability p is
-    the fraction left over times ``favour`` relative to its mean by size (a
-    column of ``df``, or a function of the size; equal for all, if None), and
-    rows are ranked by the Pareto order: random odds u / (1 - u) divided by
+    in proportion to ``favour`` (a column of ``df``, or a function of the
+    size; equal for all, if None), one at most, and the words expected are
+    those left of the target: rows that would pass one are certain, and the
+    others share what is left anew. Certain rows come first, the others are
+    ranked by the Pareto order: random odds u / (1 - u) divided by
     inclusion odds p / (1 - p). The first rows in that order are taken as long
     as their words fit what is left of the target; later rows then fill the
     gap, the largest that fit first. What is left of the gap, or passed, is at
@@ -171,16 +198,17 @@ def mix(
         slim = checkpointed(rows.select(*own))
     else:
         rows = slim = checkpointed(rows)
-    sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("favour")).alias("favoured"))
-    plan = targets(sizes.select("source", "source_size"), weights, share, cap).join(sizes.select(F.col("source").alias("s"), "favoured"), F.expr("source <=> s")).drop("s")
+    levels = checkpointed(slim.groupBy("source", "favour").agg(F.sum("size").alias("words")))
+    plan = targets(levels.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap)
     f = F.coalesce(F.col("target") / F.nullif(F.col("source_size").cast("double"), F.lit(0.0)), F.lit(0.0))
-    plan = plan.withColumn("whole", F.floor(f)).withColumn("part", f - F.col("whole")).withColumn("mean_favour", F.col("favoured") / F.nullif(F.col("source_size").cast("double"), F.lit(0.0)))
-    plan = checkpointed(plan.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).drop("favoured"))
-    p = F.least(F.greatest(F.col("part") * F.coalesce(F.col("favour") / F.nullif(F.col("mean_favour"), F.lit(0.0)), F.lit(0.0)), F.lit(1e-12)), F.lit(1 - 1e-12))
+    plan = plan.withColumn("whole", F.floor(f)).withColumn("part", f - F.col("whole"))
+    plan = checkpointed(plan.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
+    plan = checkpointed(_beside(plan, _level(levels, plan), ["source"]))
+    p = F.least(F.greatest(F.coalesce(F.col("favour") * F.col("level"), F.lit(0.0)), F.lit(1e-12)), F.lit(1 - 1e-12))
     odds = F.col("u") / (1 - F.col("u")) / (p / (1 - p))
     #: The Pareto order as a whole number, so that ranges of it are cut exactly.
     at = F.floor(odds / (1 + odds) * float(1 << PLACES)).cast("long")
-    ranked = _beside(slim, plan.select("source", "part", "rest", "mean_favour"), ["source"]).filter("part > 0 and rest > 0").select("source", "size", "rest", at.alias("at"))
+    ranked = _beside(slim, plan.select("source", "part", "rest", "level"), ["source"]).filter("part > 0 and rest > 0").select("source", "size", "rest", at.alias("at"))
     cuts = checkpointed(_crossing(ranked, ["source"], buckets))
     later = _beside(ranked, cuts, ["source"], "inner").filter("at > cut").select("source", "size", "at", (F.col("rest") - F.col("till")).alias("gap"))
     filling = checkpointed(_filling(later))

@@ -121,17 +121,21 @@ _MIX = r"""
 WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
     (CAST('0x' || substr(md5(concat_ws(':', '42', coalesce(CAST(doc_id AS VARCHAR), ''), md5(coalesce(text, '')))), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496e0 AS u FROM documents),
 e AS (SELECT *, CAST(least(greatest(size, 20), 2000) AS DOUBLE) AS favour FROM d),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, sum(size * favour) AS favoured FROM e GROUP BY source),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM e GROUP BY source),
 w AS (SELECT *, [3e0, 1e0, 2e0][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS w, 2e0 * source_size AS most FROM s),
 l AS (SELECT *, most / w AS level, 1.5e0 * CAST(sum(source_size) OVER () AS BIGINT) AS total, sum(w) OVER () AS all_w FROM w),
 f AS (SELECT *, sum(most) OVER o + level * (all_w - sum(w) OVER o) <= total AS is_full FROM l
   WINDOW o AS (ORDER BY level, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-t AS (SELECT source, source_size, favoured / nullif(CAST(source_size AS DOUBLE), 0e0) AS mean_favour, CASE WHEN is_full THEN most ELSE
+t AS (SELECT source, source_size, CASE WHEN is_full THEN most ELSE
   (total - sum(CASE WHEN is_full THEN most ELSE 0e0 END) OVER ()) / nullif(sum(CASE WHEN is_full THEN 0e0 ELSE w END) OVER (), 0e0) * w END AS target FROM f),
 p AS (SELECT *, coalesce(target / nullif(CAST(source_size AS DOUBLE), 0e0), 0e0) AS f FROM t),
+v AS (SELECT e.source, favour, any_value(target - floor(f) * source_size) AS rest, CAST(sum(size) AS BIGINT) AS words FROM e JOIN p ON e.source IS NOT DISTINCT FROM p.source GROUP BY e.source, favour),
+vv AS (SELECT *, (rest - coalesce(sum(words) OVER (PARTITION BY source ORDER BY favour DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / nullif(sum(words * favour) OVER (PARTITION BY source ORDER BY favour DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0e0) AS level FROM v),
+lv AS (SELECT source, coalesce(arg_max(level, favour) FILTER (WHERE level * favour < 1), 1e300) AS level FROM vv GROUP BY source),
 q AS (SELECT e.*, p.source_size, p.target, floor(f) AS whole, f - floor(f) AS part, target - floor(f) * source_size AS rest,
-    least(greatest((f - floor(f)) * coalesce(favour / nullif(mean_favour, 0e0), 0e0), 1e-12), 1 - 1e-12) AS p
-  FROM e JOIN p ON e.source IS NOT DISTINCT FROM p.source),
+    least(greatest(coalesce(favour * level, 0e0), 1e-12), 1 - 1e-12) AS p
+  FROM e JOIN p ON e.source IS NOT DISTINCT FROM p.source JOIN lv ON e.source IS NOT DISTINCT FROM lv.source),
 r AS (SELECT *, u / (1 - u) / (p / (1 - p)) AS odds FROM q),
 g AS (SELECT *, CAST(floor(odds / (1 + odds) * 4503599627370496e0) AS BIGINT) AS place FROM r),
 k AS MATERIALIZED (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS till FROM g),

@@ -68,6 +68,33 @@ def test_inclusion_follows_favour(spark):
             assert got[s, 0] == pytest.approx(1.5 * p, abs=0.05) and got[s, 1] == pytest.approx(0.5 * p, abs=0.05)
 
 
+def test_no_odds_above_one(spark):
+    """Rows that would pass one are certain; the others share the rest, and are included as often as that says."""
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.choice([20, 60, 200, 2000]), "abc"[i % 3]) for i in range(4500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8)
+    for favour, own in ((F.when(F.col("doc_id") % 2 == 0, 1.9).otherwise(0.1), lambda r: 1.9 if r.doc_id % 2 == 0 else 0.1), (lambda size: size, lambda r: r.size)):
+        groups = defaultdict(list)
+        for r in mix(df, favour=favour, keep=["doc_id", "source"]).collect():
+            groups[r.source].append(r)
+        for rows_ in groups.values():
+            whole = int(rows_[0].target // rows_[0].source_size)
+            rest = rows_[0].target - whole * rows_[0].source_size
+            if not rest:
+                continue
+            low, high = 0.0, 1e9
+            for _ in range(200):
+                level = (low + high) / 2
+                low, high = (low, level) if sum(r.size * min(1, level * own(r)) for r in rows_) > rest else (level, high)
+            by = defaultdict(list)
+            for r in rows_:
+                by[round(min(1, level * own(r)), 6)].append(r.copies - whole)
+            assert sum(r.size * min(1, level * own(r)) for r in rows_) == pytest.approx(rest, rel=0.01)
+            for p, taken in by.items():
+                assert sum(taken) / len(taken) == pytest.approx(p, abs=0.08), (p, len(taken))
+                assert p < 1 or min(taken) == 1
+
+
 def test_hard_rows(spark):
     rows = [(1, None, "a", 1), (2, "", None, 2), (None, "x y", None, 3), (None, "x y z", "b", 4), (5, "w " * 9000, "b", 5), (5, "w " * 9000, "b", 5), (7, "", "z", 6)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, target int").withColumn("cut", F.lit("own")).withColumn("whole", F.lit("own"))
