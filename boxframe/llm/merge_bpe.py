@@ -6,6 +6,7 @@ import hashlib
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,9 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from boxframe.llm.byte_bpe import REMEMBERED, Chunks, decode
+from boxframe.llm.byte_bpe import Chunks, decode
 from boxframe.llm.byte_bpe import encode as in_chunks
 
+#: Pieces, and words with what clings to them, whose ids a worker remembers before it starts anew; bounds its memory.
+REMEMBERED = 400_000
 #: Fixed value: how byte-level vocabularies cut a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -113,7 +116,7 @@ class Merged(dict):
         self.merges = merges
 
     def __missing__(self, piece: str) -> bytes:
-        packed = b"".join([i.to_bytes(4, "little") for i in self.merges.merge(piece.encode())])
+        packed = array("I", self.merges.merge(piece.encode())).tobytes()
         if len(piece) < 64:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -121,6 +124,18 @@ class Merged(dict):
         return packed
 
 
+class MergedChunks(Chunks):
+    """Ids of a space and the word behind it; remembers a bounded number."""
+
+    def __missing__(self, chunk: str) -> bytes:
+        packed = self.encode(" " + chunk)
+        if len(chunk) < 64:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[chunk] = packed
+        return packed
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> Merges:
     return Merges(path)
@@ -128,7 +143,7 @@ def load(path: str) -> Merges:
 
 @lru_cache(maxsize=2)
 def chunks_of(path: str) -> Chunks:
-    return Chunks(Merged(load(path)), PATTERN)
+    return MergedChunks(Merged(load(path)), PATTERN)
 
 
 def encode(text: str | None, merges: Merges, chunks: Chunks) -> bytes:
