@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,47 +18,45 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from boxframe.llm import merge_bpe
-from boxframe.llm.byte_bpe import REMEMBERED, Chunks
 from boxframe.llm.common import written
 
 #: Bytes of text of the documents that are aligned, and look up their pairs' counts, together; a longer document is by itself.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 #: Places next to the middle that are tried before an interval's other ends are.
 NEAR = 3
 #: Links of a group from which its distinct ids are multiplied instead of its tokens.
 WIDE = 1 << 16
-#: Characters of a piece from which the library's own merging isn't used.
-LONG = 256
-#: A space next to white space of any kind.
-_LOOSE_SPACE = re.compile(r" \s|\s ")
+#: Characters of a run from which the library's compiled encoder isn't used.
+LONG = 4096
+#: Words whose ids a worker remembers before it starts anew; bounds its memory.
+REMEMBERED = 400_000
 _ADDED = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
-class Pieces(dict):
-    """Ids of pieces of text in a byte-level vocabulary, packed; remembers a bounded number."""
+class Bytes:
+    """Ids of a space and a text in a byte-level vocabulary."""
 
-    def __init__(self, merges: merge_bpe.Merges):
-        super().__init__()
-        self.merges = merges
-        ranks = {merges.bytes[i]: i for i in {*merges.start, *merges.makes}}
-        #: Ids rank tokens in the order of their merges, so the library merges in that order as well.
-        self.short = tiktoken.Encoding("own", pat_str=merge_bpe.PATTERN, mergeable_ranks=ranks, special_tokens={}) if merges.makes == sorted(merges.makes) else None
+    def __init__(self, path: str):
+        self.merges, self.path = merge_bpe.load(path), path
+        if min(self.merges.start) < 0:
+            raise ValueError(f"{path} lacks single bytes")
+        ranks = {self.merges.bytes[i]: i for i in {*self.merges.start, *self.merges.makes}}
+        #: Where ids rank tokens in the order of their merges, the library's compiled encoder merges in that order as well.
+        self.quick = tiktoken.Encoding("own", pat_str=merge_bpe.PATTERN, mergeable_ranks=ranks, special_tokens={}) if self.merges.makes == sorted(self.merges.makes) else None
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.short.encode_ordinary(piece) if self.short and len(piece) < LONG else self.merges.merge(piece.encode())
-        packed = np.array(ids, "<u4").tobytes()
-        if len(piece) < LONG:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = packed
-        return packed
+    def encode(self, text: str, words: list[str]) -> bytes:
+        """``words`` are the text cut at spaces. Very long runs, of which compiled patterns can run out of stack, are merged here."""
+        if self.quick and (len(text) < LONG or max(map(len, words)) < LONG and len(text.split()) > len(words) - LONG):
+            return self.quick.encode_to_numpy(" " + text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        return merge_bpe.chunks_of(self.path).encode(" " + text)
 
 
 class Words:
     """Ids in a sentence-piece vocabulary whose pieces have a space at their start only, or are spaces.
 
     Then no merge joins a character and a space behind it, so the words of a
-    text without spaces side by side are encoded by themselves, and remembered.
+    text without spaces side by side are encoded by themselves, and a bounded
+    number is remembered.
     """
 
     def __init__(self, model: sentencepiece.SentencePieceProcessor):
@@ -67,39 +65,28 @@ class Words:
         self.apart = not any("▁" in p[1:] and p.strip("▁") for p in pieces)
         self.bytes = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
 
-    def encode(self, text: str) -> bytes:
-        known = self.known
-        if not self.apart or "  " in text or text[0] == " " or text[-1] == " ":
-            return np.array(self.model.encode(text), "<u4").tobytes()
-        parts = []
-        for word in text.split(" "):
-            packed = known.get(word)
-            if packed is None:
-                packed = np.array(self.model.encode(word), "<u4").tobytes()
-                if len(word) < LONG:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[word] = packed
-            parts.append(packed)
-        return b"".join(parts)
+    def learn(self, texts: list[list[str]]) -> None:
+        """Encode what isn't known of the words of some texts, in one call."""
+        words = set().union(*texts)
+        if len(self.known) + len(words) > REMEMBERED:
+            self.known.clear()
+        new = [w for w in words if w not in self.known]
+        for word, ids in zip(new, self.model.encode(new, num_threads=1), strict=True):
+            self.known[word] = array("I", ids).tobytes()
 
-
-@lru_cache(maxsize=2)
-def _sides(path_a: str, path_b: str) -> tuple[Chunks, Words, np.ndarray, np.ndarray, list[bytes]]:
-    """Encoders of both sides, bytes of each token, and the strings of which a digest is made."""
-    merges = merge_bpe.load(path_a)
-    if min(merges.start) < 0:
-        raise ValueError(f"{path_a} lacks single bytes")
-    words = Words(sentencepiece.SentencePieceProcessor(model_file=path_b))
-    said = [f"{i}{end}".encode() for known, ends in ((merges.bytes, ",|"), (words.bytes, ",;")) for end in ends for i in range(len(known))]
-    return Chunks(Pieces(merges), merge_bpe.PATTERN), words, *(np.array([len(t) for t in x], np.int64) for x in (merges.bytes, words.bytes)), said
+    def encode(self, text: str, words: list[str]) -> bytes:
+        if not self.apart or "" in words:
+            return array("I", self.model.encode(text)).tobytes()
+        return b"".join(map(self.known.__getitem__, words))
 
 
-def _after_space(text: str, chunks: Chunks) -> bytes:
-    """Ids of a space and the text; cut at spaces that are by themselves, since there a piece begins."""
-    if text[0].isspace() or text[-1] == " " or _LOOSE_SPACE.search(text):
-        return chunks.encode(" " + text)
-    return b"".join(map(chunks.__getitem__, text.split(" ")))
+@lru_cache(maxsize=2)
+def _sides(path_a: str, path_b: str) -> tuple[Bytes, Words, np.ndarray, np.ndarray, list[bytes]]:
+    """Encoders of both sides, how many bytes each token has, and the strings of which a digest is made."""
+    one, two = Bytes(path_a), Words(sentencepiece.SentencePieceProcessor(model_file=path_b))
+    spelled = one.merges.bytes, two.bytes
+    said = [f"{i}{end}".encode() for known, ends in zip(spelled, (",|", ",;"), strict=True) for end in ends for i in range(len(known))]
+    return one, two, *(np.array([len(t) for t in x], np.int64) for x in spelled), said
 
 
 def shared_ends(ends_a: np.ndarray, ends_b: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,14 +181,16 @@ def _aligned(texts: list[str | None], path_a: str, path_b: str, with_groups: boo
     An entry is a pair that a document has linked: the document's number times
     the number of pairs, plus the pair's place; and how many links it is.
     """
-    encode_a, encode_b, size_a, size_b, said = _sides(path_a, path_b)
-    packed_a, packed_b, known_b = [], [], encode_b.bytes
-    for text in texts:
+    side_a, side_b, size_a, size_b, said = _sides(path_a, path_b)
+    packed_a, packed_b, spelled_b = [], [], side_b.bytes
+    split = [text.split(" ") if text else [] for text in texts]
+    side_b.learn(split)
+    for text, words in zip(texts, split, strict=True):
         ids_a = ids_b = b""
         if text:
-            ids_b = encode_b.encode(text)
-            if b"".join(map(known_b.__getitem__, memoryview(ids_b).cast("I"))) == b" " + text.encode():
-                ids_a = _after_space(text, encode_a)
+            ids_b = side_b.encode(text, words)
+            if b"".join(map(spelled_b.__getitem__, memoryview(ids_b).cast("I"))) == b" " + text.encode():
+                ids_a = side_a.encode(text, words)
             else:
                 ids_b = b""
         packed_a.append(ids_a)
