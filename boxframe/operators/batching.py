@@ -27,3 +27,35 @@ def padding_mask(df: DataFrame, batch: str, width: str, height: str) -> DataFram
     w = Window.partitionBy(batch)
     rows = df.withColumn("batch_width", F.max(width).over(w)).withColumn("batch_height", F.max(height).over(w))
     return rows.withColumn("masked", F.col("batch_width") * F.col("batch_height") - F.col(width) * F.col(height))
+
+
+def batch_sides(df: DataFrame, batch: str, width: str, height: str) -> DataFrame:
+    """``df`` with its batch's largest sides, found by an aggregate of narrow rows and joined back."""
+    most = df.groupBy(batch).agg(F.max(width).alias("batch_width"), F.max(height).alias("batch_height"))
+    return df.join(most, batch)
+
+
+def mask_bands(width: Column, height: Column, batch_width: Column, batch_height: Column) -> Column:
+    """The mask of a picture in its batch by runs: bands of equal rows, from the top, each with how many pixels are kept and how many then are padding.
+
+    A mask has as many bits as the batch's largest picture has pixels, but one
+    band if the picture is as high as the batch, else two; bands without rows
+    are left out.
+    """
+    band = lambda first, rows, kept: F.struct(*(c.cast("long").alias(n) for n, c in (("first", first), ("rows", rows), ("kept", kept), ("padded", batch_width - kept))))
+    return F.filter(F.array(band(F.lit(0), height, width), band(height, batch_height - height, F.lit(0))), lambda b: b["rows"] > 0)
+
+
+def mask_bits(bands: Column) -> Column:
+    """The bits of ``bands``, row by row, as text: 1 is padding."""
+    row = lambda b: F.concat(F.repeat(F.lit("0"), b["kept"].cast("int")), F.repeat(F.lit("1"), b["padded"].cast("int")))
+    return F.array_join(F.transform(bands, lambda b: F.repeat(row(b), b["rows"].cast("int"))), "")
+
+
+def cells_kept(kept: Column, side: Column, cells: Column) -> Column:
+    """How many of ``cells`` along a side of a mask are kept, where each takes the bit of its first pixel, floor(cell * side / cells).
+
+    So a mask at a model's resolution is one of runs again, and the mask of
+    pixels is never expanded.
+    """
+    return F.floor((kept * cells + side - 1) / side).cast("long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from boxframe.functions import pixels as X
-from boxframe.operators import pictures
+from boxframe.operators import batching, pictures
 from boxframe.operators.augment import uniform
 from boxframe.plans import proxies as P
 
@@ -42,6 +42,16 @@ def cropped_pixels(spark, d):
     return _digest(pictures.pictures(files(spark, d), (X.crop, region), (X.pad, [F.lit(3), (F.col("image_id") % 3).cast("int"), F.lit(255)]), keys=["image_id"]))
 
 
+def batched_pixels(spark, d):
+    """Pictures of several sizes by batches of eight, each filled with zeros up to its batch's largest sides."""
+    sides = {"w": F.lit(10) + F.col("image_id") % 15, "h": F.lit(8) + F.col("image_id") % 11}
+    ids = P.gold_box(spark, d).select("image_id").distinct()
+    batches = batching.batch_sides(ids.select("image_id", batching.batch_number(F.col("image_id"), 8).alias("batch"), *(c.cast("int").alias(n) for n, c in sides.items())), "batch", "w", "h")
+    cut = [F.lit(0), F.lit(0), F.col("w"), F.col("h")]
+    fill = [F.col("batch_width") - F.col("w"), F.col("batch_height") - F.col("h"), F.lit(0)]
+    return _digest(pictures.pictures(files(spark, d).join(batches, "image_id"), (X.crop, cut), (X.pad, fill), keys=["image_id"]))
+
+
 def erased_pixels(spark, d):
     return _digest(pictures.pictures(files(spark, d), (X.erase, [pictures.erasing(F.lit(WIDTH), F.lit(HEIGHT), 53, F.col("image_id"))]), keys=["image_id"]))
 
@@ -52,7 +62,7 @@ def distorted_pixels(spark, d):
     return _digest(pictures.pictures(files(spark, d), (X.distort, [factors]), keys=["image_id"]))
 
 
-QUERIES = {f.__name__: f for f in (picture_pixels, turned_pixels, cropped_pixels, erased_pixels, distorted_pixels)}
+QUERIES = {f.__name__: f for f in (picture_pixels, turned_pixels, cropped_pixels, batched_pixels, erased_pixels, distorted_pixels)}
 
 _RGB = lambda k: "[" + ", ".join(str(c[k]) for c in COLOURS) + "][coalesce(h.c, 0) + 1]"
 _CELLS = f"""{P.VIEWS}, k AS (SELECT image_id, box_idx, category_id, CAST(floor(x / {SCALE}) AS BIGINT) AS x0, CAST(floor(y / {SCALE}) AS BIGINT) AS y0, least(CAST(ceil((x + w) / {SCALE}) AS BIGINT), {WIDTH}) AS x1, least(CAST(ceil((y + h) / {SCALE}) AS BIGINT), {HEIGHT}) AS y1 FROM gold_px),
@@ -98,6 +108,10 @@ u AS (SELECT image_id, flipped, CASE WHEN turned THEN {HEIGHT} ELSE {WIDTH} END
 z AS (SELECT image_id, p % 15 AS x, p // 15 AS y, p % 15 < 12 AND p // 15 < 9 AS inside FROM w)
 {_PUT} (SELECT z.image_id, z.x, z.y, CASE WHEN inside THEN coalesce(r, 0) ELSE 255 END AS r, CASE WHEN inside THEN coalesce(g, 0) ELSE 255 END AS g, CASE WHEN inside THEN coalesce(b, 0) ELSE 255 END AS b
   FROM z LEFT JOIN cell c ON c.image_id = z.image_id AND c.x = z.x + z.image_id % 15 AND c.y = z.y + 4) GROUP BY 1""",
+    "batched_pixels": f"""{_CELLS}, sized AS (SELECT DISTINCT image_id, image_id // 8 AS batch, 10 + image_id % 15 AS w, 8 + image_id % 11 AS h FROM gold_px),
+batched AS (SELECT *, max(w) OVER (PARTITION BY batch) AS bw, max(h) OVER (PARTITION BY batch) AS bh FROM sized),
+spot AS (SELECT *, unnest(range(bw * bh)) AS p FROM batched), framed AS (SELECT image_id, p % bw AS x, p // bw AS y, p % bw < w AND p // bw < h AS inside FROM spot)
+{_PUT} (SELECT image_id, x, y, CASE WHEN inside THEN r ELSE 0 END AS r, CASE WHEN inside THEN g ELSE 0 END AS g, CASE WHEN inside THEN b ELSE 0 END AS b FROM framed LEFT JOIN cell c USING (image_id, x, y)) GROUP BY 1""",
     "erased_pixels": _erase(),
     "distorted_pixels": _distort(),
 }

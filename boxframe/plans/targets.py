@@ -89,6 +89,25 @@ def pad_masks(spark, d):
     return batching.padding_mask(images, "batch", "width", "height")
 
 
+def _sides(spark, d):
+    images = P.image(spark, d).select("image_id", batching.batch_number(F.col("image_id"), 16).alias("batch"), (300 + F.col("image_id") % 701).alias("width"), (200 + F.col("image_id") % 601).alias("height"))
+    return batching.batch_sides(images, "batch", "width", "height")
+
+
+def pad_mask_bands(spark, d):
+    """Masks of batches of sixteen as runs: a row for each band of equal rows."""
+    bands = batching.mask_bands(*(F.col(c) for c in ("width", "height", "batch_width", "batch_height")))
+    return _sides(spark, d).select("image_id", "batch", F.posexplode(bands).alias("band", "b")).select("image_id", "batch", F.col("band").cast("long").alias("band"), "b.*")
+
+
+def pad_mask_bits(spark, d):
+    """The same masks at a thirty-second of the pictures' resolution, bit by bit."""
+    cells = {c: F.ceil(F.col(c) / 32) for c in ("batch_width", "batch_height")}
+    w, h = (batching.cells_kept(F.col(c), F.col(f"batch_{c}"), cells[f"batch_{c}"]) for c in ("width", "height"))
+    bits = batching.mask_bits(batching.mask_bands(w, h, *cells.values()))
+    return _sides(spark, d).select("image_id", "batch", cells["batch_width"].alias("cells_wide"), cells["batch_height"].alias("cells_high"), bits.alias("bits"))
+
+
 def inference_batches(spark, d):
     """Pictures by call of the model, sixteen each."""
     return P.image(spark, d).groupBy(batching.batch_number(F.col("image_id"), inference.PICTURES).alias("batch")).agg(F.count("*").alias("n"), F.min("image_id").alias("first"))
@@ -163,7 +182,7 @@ def coco_scores(spark, d):
     return done.select(*(F.round(c, 9).alias(c) for c in done.columns))
 
 
-QUERIES = {f.__name__: f for f in (hflip, rotate90, crop_boxes, center_crop_boxes, resize_boxes, jitter_eval_scale, normalize_targets, free_spans, concat_targets, pad_sequences, pad_masks, inference_batches, draw_specs, state_keys, head_limit, dataset_name, reaction_json, merge_predictions, missing_pictures, smoothed_window, smoothed_global, reduce_metrics, log_every, coco_scores)}
+QUERIES = {f.__name__: f for f in (hflip, rotate90, crop_boxes, center_crop_boxes, resize_boxes, jitter_eval_scale, normalize_targets, free_spans, concat_targets, pad_sequences, pad_masks, pad_mask_bands, pad_mask_bits, inference_batches, draw_specs, state_keys, head_limit, dataset_name, reaction_json, merge_predictions, missing_pictures, smoothed_window, smoothed_global, reduce_metrics, log_every, coco_scores)}
 
 _V = P.VIEWS
 _B = "SELECT image_id, box_idx, "
@@ -178,6 +197,7 @@ _SPANS = """r AS (SELECT image_id, CAST(round_even(min(x), 0) AS BIGINT) AS low,
 o AS (SELECT *, max(high) OVER (PARTITION BY image_id ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS till FROM r),
 spans AS (SELECT image_id, coalesce(till, 0) AS start, greatest(low, coalesce(till, 0)) AS stop FROM o WHERE low > coalesce(till, 0) OR (till IS NULL AND low <= 0)
   UNION ALL SELECT image_id, least(max(high), 1000), 1000 FROM r GROUP BY image_id)"""
+_SIDES = "i AS (SELECT image_id, image_id // 16 AS batch, 300 + image_id % 701 AS width, 200 + image_id % 601 AS height FROM image), m AS (SELECT *, max(width) OVER (PARTITION BY batch) AS batch_width, max(height) OVER (PARTITION BY batch) AS batch_height FROM i)"
 _EV = "e AS (SELECT event_id, ts, event_type AS name, CAST(round_even(value * 100, 0) AS BIGINT) AS value FROM events)"
 _LAST = "PARTITION BY name ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW"
 _SOFAR = "PARTITION BY name ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
@@ -194,6 +214,8 @@ ORACLE_SQL = {
     "concat_targets": f"{_V}, n AS (SELECT image_id, count(*) AS n FROM gold_px GROUP BY 1), ok AS (SELECT image_id, n FROM n WHERE image_id % 2 = 0) SELECT g.image_id, box_idx AS place, box_idx AS number, {_R(x1='x', y1='y', x2='x + w', y2='y + h')} FROM gold_px g JOIN ok USING (image_id) UNION ALL SELECT ok.image_id, box_idx + n, box_idx + n, {_R(x1='x + 25e0', y1='y + 800e0', x2='x + w + 25e0', y2='y + h + 800e0')} FROM gold_px g JOIN ok ON g.image_id = ok.image_id + 1",
     "pad_sequences": "WITH s AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, conv_id // 8 AS batch, list_transform(list_filter(string_split(text, ' '), lambda w: w <> ''), lambda w: CAST(length(w) AS BIGINT)) AS q FROM conversations), m AS (SELECT *, len(q) AS length, max(len(q)) OVER (PARTITION BY batch) AS most FROM s) SELECT conv_id, turn, batch, length, array_to_string(list_concat(q, list_transform(range(most - length), lambda i: 2001)), ' ') AS sequence FROM m",
     "pad_masks": f"{_V}, i AS (SELECT image_id, image_id // 16 AS batch, 300 + image_id % 701 AS width, 200 + image_id % 601 AS height FROM image), m AS (SELECT *, max(width) OVER (PARTITION BY batch) AS batch_width, max(height) OVER (PARTITION BY batch) AS batch_height FROM i) SELECT *, batch_width * batch_height - width * height AS masked FROM m",
+    "pad_mask_bands": f"{_V}, {_SIDES}, n AS (SELECT *, unnest([0, 1]) AS band FROM m) SELECT image_id, batch, CAST(band AS BIGINT) AS band, CASE band WHEN 0 THEN 0 ELSE height END AS first, CASE band WHEN 0 THEN height ELSE batch_height - height END AS rows, CASE band WHEN 0 THEN width ELSE 0 END AS kept, CASE band WHEN 0 THEN batch_width - width ELSE batch_width END AS padded FROM n WHERE band = 0 OR batch_height > height",
+    "pad_mask_bits": f"{_V}, {_SIDES}, c AS (SELECT *, (batch_width + 31) // 32 AS cells_wide, (batch_height + 31) // 32 AS cells_high FROM m) SELECT image_id, batch, cells_wide, cells_high, array_to_string(list_transform(range(cells_wide * cells_high), lambda i: CASE WHEN (i // cells_wide) * batch_height // cells_high < height AND (i % cells_wide) * batch_width // cells_wide < width THEN '0' ELSE '1' END), '') AS bits FROM c",
     "inference_batches": f"{_V} SELECT image_id // 16 AS batch, count(*) AS n, min(image_id) AS first FROM image GROUP BY 1",
     "draw_specs": f"{_V} {_B} CASE role WHEN 0 THEN 'r' WHEN 1 THEN 'g' ELSE 'b' END AS colour, ['[Mol]', '[Txt]', '[Idt]', '[Sup]'][category_id] AS label FROM gold_box",
     "state_keys": "SELECT p_partkey, concat_ws('.', p_brand, 'model.weight') AS key FROM part",
