@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxframe.functions.geometry import from_xywh
-from boxframe.schemas import PREDICTION_FILE, ROLES, SPLIT_FILE
+from boxframe.schemas import GOLD_IMAGE, PREDICTION_FILE, ROLES, SPLIT_FILE
 
 
 def dataset_name(path: Column) -> Column:
@@ -17,20 +18,26 @@ def dataset_name(path: Column) -> Column:
     return F.substring_index(F.substring_index(path, "/", -1), ".", 1)
 
 
-def read_split(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
-    """One row for each image of a split file, with its place in the file; the ``first`` ones, if given."""
+def read_split(spark: SparkSession, path: str, first: int | None = None, folders: Sequence[str] = ()) -> DataFrame:
+    """One row for each image of a split file, with its place in the file; the ``first`` ones, if given.
+
+    ``path`` may be a folder with many files; ``folders`` are columns that the names of folders in it give (``split=3``).
+    """
     images = spark.read.schema(SPLIT_FILE).option("multiLine", True).json(path)
-    rows = images.select(dataset_name(F.input_file_name()).alias("dataset"), F.posexplode("images").alias("ordinal", "image"))
+    rows = images.select(*folders, dataset_name(F.input_file_name()).alias("dataset"), F.posexplode("images").alias("ordinal", "image"))
     rows = rows if first is None else rows.filter(F.col("ordinal") < first)
-    return rows.select("dataset", F.col("ordinal").cast("long").alias("ordinal"), "image.*")
+    return rows.select(*folders, "dataset", F.col("ordinal").cast("long").alias("ordinal"), "image.*")
+
 
+def read_predictions(spark: SparkSession, path: str, folders: Sequence[str] = ()) -> DataFrame:
+    """One row for each predicted reaction: ordinal (the image's place in the dataset), rxn_id and roles of boxes; file_name and ``folders`` (as in ``read_split``) too.
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each predicted reaction: ordinal (the image's place in the dataset), rxn_id and roles of boxes; file_name too."""
+    An image without reactions has a row without rxn_id.
+    """
     file = spark.read.schema(PREDICTION_FILE).option("multiLine", True).json(path)
-    images = file.select(F.posexplode("reaction").alias("ordinal", "reactions"), "file_name")
-    images = images.select(F.col("ordinal").cast("long").alias("ordinal"), F.get("file_name", F.col("ordinal")).alias("file_name"), "reactions")
-    return images.select("ordinal", "file_name", F.posexplode_outer("reactions").alias("rxn_id", "r")).select("ordinal", "file_name", F.col("rxn_id").cast("long").alias("rxn_id"), "r.*")
+    images = file.select(*folders, F.posexplode("reaction").alias("ordinal", "reactions"), "file_name")
+    images = images.select(*folders, F.col("ordinal").cast("long").alias("ordinal"), F.get("file_name", F.col("ordinal")).alias("file_name"), "reactions")
+    return images.select(*folders, "ordinal", "file_name", F.posexplode_outer("reactions").alias("rxn_id", "r")).select(*folders, "ordinal", "file_name", F.col("rxn_id").cast("long").alias("rxn_id"), "r.*")
 
 
 def _box(role: int, place: Column, category: Column, corners: list[Column]) -> Column:
@@ -125,6 +132,27 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def _in_order(place: str, value: Column) -> Column:
+    """A group's values by ``place``, as an array."""
+    return F.transform(F.sort_array(F.collect_list(F.struct(F.col(place).alias("at"), value.alias("value"))), asc=True), lambda x: x["value"])
+
+
+def write_splits(images: DataFrame, path: str, by: Sequence[str], place: str) -> None:
+    """A split file for each group of ``images`` (fields of an annotated image), in folders named by ``by``.
+
+    A file is one JSON document, so a group has to fit into a task: cut large splits by a further column.
+    """
+    fields = F.struct(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in GOLD_IMAGE))
+    images.groupBy(*by).agg(_in_order(place, fields).alias("images")).write.partitionBy(*by).json(path)
+
+
+def write_predictions(images: DataFrame, path: str, by: Sequence[str], place: str) -> None:
+    """A prediction file for each group of ``images`` (file_name, and reaction with the predicted reactions), as in ``write_splits``."""
+    kind = PREDICTION_FILE["reaction"].dataType.elementType
+    files = images.groupBy(*by).agg(_in_order(place, F.coalesce("reaction", F.expr("array()")).cast(kind)).alias("reaction"), _in_order(place, F.col("file_name")).alias("file_name"))
+    files.write.partitionBy(*by).json(path)
+
+
 def merge_predictions(arrived: DataFrame, idx: str, payload: str, arrival: list[str]) -> DataFrame:
     """One payload for each idx: the one that arrived last."""
     return arrived.groupBy(idx).agg(F.max_by(payload, F.struct(*arrival)).alias(payload))

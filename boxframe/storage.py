@@ -5,16 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the folder of ``spark.checkpoint.dir``, read again: computed once, whoever reads it and whatever is lost.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path for ``name`` in the folder of ``spark.checkpoint.dir``.
 
     Only in a local session, where driver and executors are one process, may
     the setting be missing; then a temporary folder is made.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
@@ -22,6 +21,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="boxframe-tables-")
         context.setCheckpointDir(folder)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table at a ``shared_path``, read again: computed once, whoever reads it and whatever is lost."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
