@@ -34,7 +34,8 @@ def all_earlier(boxes: Column, digits: int | None = None) -> Column:
     return F.filter(own, lambda i: i.isNotNull())
 
 
-def _has(boxes: Column, role: int, kept: Column | None) -> Column:
+def has_role(boxes: Column, role: int, kept: Column | None) -> Column:
+    """Whether a reaction has a box in a role, of those that ``kept`` names if it's given."""
     if kept is None:
         return F.exists(boxes, lambda b: b["role"] == role)
     return F.exists(kept, lambda i: F.get(boxes, i.cast("int"))["role"] == role)
@@ -49,7 +50,7 @@ def kept_reactions(rxns: DataFrame, image: list[str], with_kept: bool = False, d
     """
     kept = F.col("kept") if with_kept else None
     columns = ["rxn_id", "boxes", *(["kept"] if with_kept else [])]
-    whole = _has(F.col("boxes"), REACTANT, kept) & _has(F.col("boxes"), PRODUCT, kept)
+    whole = has_role(F.col("boxes"), REACTANT, kept) & has_role(F.col("boxes"), PRODUCT, kept)
     ready = rxns.select(*image, F.struct(*columns, whole.alias("whole"), prepared(F.col("boxes"), kept=kept).alias("q")).alias("r"))
     images = ready.groupBy(*image).agg(F.sort_array(F.collect_list("r")).alias("all"))
 

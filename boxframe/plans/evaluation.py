@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxframe.functions import geometry as G
-from boxframe.operators import dedup, matching, metrics
+from boxframe.operators import dedup, matching, metrics, overlap
 from boxframe.plans import proxies as P
 
 W, H = P.WIDTH, P.HEIGHT
@@ -174,7 +174,33 @@ def postprocess_reactions(spark, d):
     return done.select("image_id", "rxn_id", F.size("boxes").cast("long").alias("n_boxes"))
 
 
-QUERIES = {f.__name__: f for f in (bbox_normalize, bbox_unnormalize, bbox_flags, bbox_crop_rect, bbox_to_coco, bbox_center, clamp_boxes, iou_pairs, bbox_match, bbox_match_category, reaction_schema, reaction_compare_exact, reaction_compare_soft, eval_exact_overall, eval_soft_overall, eval_by_size, eval_by_group, eval_by_group_soft, eval_summarize, eval_cv_union, score_table, eval_images, dedup_boxes, dedup_boxes_all, dedup_reactions, postprocess_reactions)}
+def bbox_match_images(spark, d):
+    """Each box of an image with the predicted one of that image, whatever its reaction, that fits best; paired by grid cells."""
+    side = lambda boxes: boxes.select("image_id", F.col("box_idx").alias("place"), F.struct("category_id", "x1", "y1", "x2", "y2").alias("box"))
+    # Some IoUs, such as 101/1024, lie just between two numbers of nine digits, where engines round either way.
+    found = overlap.best_matches(side(P.gold_box(spark, d)), side(P.pred_box(spark, d)), ["image_id"], digits=12)
+    return found.select("image_id", F.col("place").alias("gold_idx"), F.col("place_found").alias("pred_idx"), "iou")
+
+
+def reaction_hits_exact(spark, d):
+    """Hit flags of both sides' reactions, from boxes paired by grid cells."""
+    return overlap.hits(P.gold(spark, d), P.pred(spark, d), ["image_id"], "exact", P.DIGITS)
+
+
+def reaction_hits_soft(spark, d):
+    return overlap.hits(P.gold(spark, d), P.pred(spark, d), ["image_id"], "soft", P.DIGITS)
+
+
+def dedup_reactions_rounds(spark, d):
+    return overlap.kept_reactions(_doubled(spark, d), ["image_id"], digits=P.DIGITS).select("image_id", "rxn_id")
+
+
+def postprocess_reactions_rounds(spark, d):
+    done = dedup.in_roles(overlap.postprocess(_doubled(spark, d), ["image_id"], P.DIGITS))
+    return done.select("image_id", "rxn_id", F.size("boxes").cast("long").alias("n_boxes"))
+
+
+QUERIES = {f.__name__: f for f in (bbox_normalize, bbox_unnormalize, bbox_flags, bbox_crop_rect, bbox_to_coco, bbox_center, clamp_boxes, iou_pairs, bbox_match, bbox_match_category, reaction_schema, reaction_compare_exact, reaction_compare_soft, eval_exact_overall, eval_soft_overall, eval_by_size, eval_by_group, eval_by_group_soft, eval_summarize, eval_cv_union, score_table, eval_images, dedup_boxes, dedup_boxes_all, dedup_reactions, postprocess_reactions, bbox_match_images, reaction_hits_exact, reaction_hits_soft, dedup_reactions_rounds, postprocess_reactions_rounds)}
 #: Evaluations of predictions as they are, by their SQL; each has a twin that removes duplicates first, as the reference does.
 SCORED = ("eval_exact_overall", "eval_soft_overall", "eval_by_size", "eval_by_group", "eval_by_group_soft", "eval_summarize", "eval_cv_union", "score_table", "eval_images")
 QUERIES |= {f"{n}_deduplicated": partial(QUERIES[n], pred=whole_pred) for n in SCORED}
@@ -249,3 +275,13 @@ d2 AS MATERIALIZED (SELECT turns.*, list_contains(box_done.stay, turns.t) AS kep
 {_KEPT_FOLD},
 done2 AS MATERIALIZED (SELECT image_id, arg_max(stay, t) AS stay FROM fold2 GROUP BY ALL)
 SELECT image_id, rxn_id, count(*) FILTER (WHERE kept) AS n_boxes FROM d2 JOIN done2 USING (image_id) WHERE list_contains(done2.stay, rxn_id) GROUP BY ALL"""
+
+_HITS = "SELECT s.image_id, 'gold' AS side, s.rxn_id, EXISTS (SELECT 1 FROM %s e WHERE e.image_id = s.image_id AND e.l = s.rxn_id) AS hit FROM (SELECT DISTINCT image_id, rxn_id FROM g) s UNION ALL SELECT s.image_id, 'pred', s.rxn_id, EXISTS (SELECT 1 FROM %s e WHERE e.image_id = s.image_id AND e.r = s.rxn_id) FROM (SELECT DISTINCT image_id, rxn_id FROM p) s"
+ORACLE_SQL |= {
+    "bbox_match_images": f"""{V}, every AS (SELECT g.image_id, g.box_idx AS gold_idx, p.box_idx AS pred_idx, coalesce({P.iou_sql('g', 'p', 12)}, 0e0) AS iou FROM g LEFT JOIN p ON p.image_id = g.image_id)
+SELECT image_id, gold_idx, CASE WHEN iou >= 0.5e0 THEN pred_idx ELSE -1 END AS pred_idx, iou FROM (SELECT *, row_number() OVER (PARTITION BY image_id, gold_idx ORDER BY iou DESC, pred_idx) AS k FROM every) WHERE k = 1""",
+    "reaction_hits_exact": f"{V}, {P.EXACT} {_HITS % ('exact', 'exact')}",
+    "reaction_hits_soft": f"{V}, {P.SOFT} {_HITS % ('soft', 'soft')}",
+    "dedup_reactions_rounds": ORACLE_SQL["dedup_reactions"],
+    "postprocess_reactions_rounds": ORACLE_SQL["postprocess_reactions"],
+}

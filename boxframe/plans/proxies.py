@@ -74,11 +74,11 @@ _PRED = """pred_box AS (
     x1 + shift * 0.5e0 AS x1, y1, x2 + shift * 0.5e0 AS x2, y2, shift FROM gold_box WHERE (image_id + rxn_id) % 11 <> 0)"""
 
 
-def iou_sql(a: str, b: str) -> str:
+def iou_sql(a: str, b: str, digits: int = DIGITS) -> str:
     wide = f"(least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1))"
     high = f"(least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1))"
     area = lambda t: f"(({t}.x2 - {t}.x1) * ({t}.y2 - {t}.y1))"
-    return f"round(CASE WHEN {wide} < 0 OR {high} < 0 THEN 0e0 ELSE coalesce({wide} * {high} / nullif({area(a)} + {area(b)} - {wide} * {high}, 0e0), 0e0) END, {DIGITS})"
+    return f"round(CASE WHEN {wide} < 0 OR {high} < 0 THEN 0e0 ELSE coalesce({wide} * {high} / nullif({area(a)} + {area(b)} - {wide} * {high}, 0e0), 0e0) END, {digits})"
 
 
 #: Boxes with their place in the reaction: by role, then box_idx.
