@@ -153,9 +153,9 @@ class PrefixEncoder:
 class Pieces(dict):
     """Ids of pieces of text, as little-endian unsigned 32-bit integers; remembers a bounded number."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, remembered: int = REMEMBERED):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.remembered = vocabulary, remembered
         #: Last tokens of first bytes that many pieces share; the rest is appended to a copy.
         self.heads: dict[bytes, list[int]] = {}
 
@@ -163,7 +163,7 @@ class Pieces(dict):
         v, start = self.vocabulary, data[:HEAD]
         head = self.heads.get(start)
         if head is None:
-            if len(self.heads) >= REMEMBERED // 4:
+            if len(self.heads) >= self.remembered // 4:
                 self.heads.clear()
             head = self.heads[start] = [-1]
             v.extend(start, head, len(start))
@@ -177,7 +177,7 @@ class Pieces(dict):
         ids = [whole] if whole is not None else self._ids(data)
         packed = b"".join([i.to_bytes(4, "little") for i in ids])
         if len(piece) < 64:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.remembered:
                 self.clear()
             self[piece] = packed
         return packed
@@ -196,7 +196,7 @@ class Chunks(dict):
     def __missing__(self, chunk: str) -> bytes:
         packed = self.encode(" " + chunk)
         if len(chunk) < 64:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.pieces.remembered:
                 self.clear()
             self[chunk] = packed
         return packed
@@ -210,8 +210,8 @@ def load(path: str) -> Vocabulary:
 
 
 @lru_cache(maxsize=2)
-def _chunks(path: str, pattern: str) -> Chunks:
-    return Chunks(Pieces(load(path)), pattern)
+def _chunks(path: str, pattern: str, remembered: int = REMEMBERED) -> Chunks:
+    return Chunks(Pieces(load(path), remembered), pattern)
 
 
 @lru_cache(maxsize=2)
@@ -239,7 +239,7 @@ def decode(ids: bytes, tokens: list[bytes]) -> bytes:
     return b"".join(map(tokens.__getitem__, memoryview(ids).cast("I")))
 
 
-def tokenize(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None, with_ids: bool = True, at_spaces: bool = True) -> DataFrame:
+def tokenize(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None, with_ids: bool = True, at_spaces: bool = True, remembered: int = REMEMBERED) -> DataFrame:
     """The ``keep`` columns of ``df`` (all, if None) with ids, n_tokens, ids_sha256 and decoded_sha256.
 
     Whole texts are cut into the matches of ``pattern`` and each is encoded by
@@ -250,7 +250,8 @@ def tokenize(df: DataFrame, path: str, pattern: str, text_col: str = "text", kee
 
     Defined cases: null text is empty and has no ids; rows are treated by
     themselves, so repeated rows, ties and empty tables need no care; columns
-    of ``df`` with the names added are replaced. ``with_ids`` leaves out ids.
+    of ``df`` with the names added are replaced. ``with_ids`` leaves out ids;
+    ``remembered`` is how many words and pieces a worker remembers at most.
     """
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if with_ids:
@@ -259,7 +260,7 @@ def tokenize(df: DataFrame, path: str, pattern: str, text_col: str = "text", kee
     kept = [c for c in (df.columns if keep is None else keep) if c not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, tokens = _chunks(path, pattern), _decoder(path)
+        chunks, tokens = _chunks(path, pattern, remembered), _decoder(path)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)

@@ -155,9 +155,10 @@ def score(df: DataFrame, model: FactorizationMachine, text_col: str = "text", th
     predicted are replaced.
     """
 
-    @F.pandas_udf("double")
-    def scored(texts):
-        return texts.map(lambda t: model.score(term_ids(t))).astype(float)
+    # Arrow arrays, read text by text: no second copy of a batch's texts in the worker.
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        return pa.array([model.score(term_ids(t.as_py())) for t in texts], pa.float64())
 
     kept = [c for c in df.columns if c not in ("score", "predicted")]
     out = df.select(*kept, scored(F.col(text_col)).alias("score"))

@@ -64,7 +64,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     other columns lang and source are kept.
     """
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return tokenize(docs, path, public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"])
+    # Workers outlive this stage, so what they remember is kept small.
+    return tokenize(docs, path, public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"], remembered=50_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
