@@ -31,12 +31,27 @@ def _in_batches(rows: Iterator[tuple[list, int]], schema: pa.Schema) -> Iterator
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
+def _of_bytes(batch: pa.RecordBatch, files: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose pictures, by their headers, have about ``BATCH_BYTES`` of pixels; a larger picture goes alone."""
+    first = size = 0
+    for i, f in enumerate(files):
+        head = f.as_buffer()[16:24].to_pybytes() if f.is_valid and len(f.as_buffer()) >= 24 else bytes(8)
+        own = 3 * int.from_bytes(head[:4], "big") * int.from_bytes(head[4:], "big")
+        if i > first and size + own > BATCH_BYTES:
+            yield batch.slice(first, i - first)
+            first, size = i, 0
+        size += own
+    if batch.num_rows > first:
+        yield batch.slice(first)
+
+
 def pictures(df: DataFrame, *steps: Step, keys: Sequence[str], content: str = "content", with_tensor: bool = False) -> DataFrame:
     """(keys, width, height, pixels) of PNG files after ``steps``; ``tensor`` too, if asked for.
 
     Pixels are red, green and blue bytes by rows. All steps of a picture run
     one after the other in one Python task, so pixels cross from Python to
-    Spark once, and a task holds one picture and what waits to go back.
+    Spark once, and a task holds ``BATCH_BYTES`` of pictures, which are read
+    together, or one, and what waits to go back.
     Parameters are computed by Spark. What can't be decoded has nulls.
     """
     columns = [F.col(k).alias(f"k_{i}") for i, k in enumerate(keys)] + [F.col(content).alias("content")]
@@ -48,19 +63,20 @@ def pictures(df: DataFrame, *steps: Step, keys: Sequence[str], content: str = "c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(batch: pa.RecordBatch) -> Iterator[tuple[list, int]]:
-            for i in range(batch.num_rows):
-                a = X.read_png(batch.column(len(keys))[i].as_py())
-                for k, f in enumerate(functions):
+            own, files, *values = (c.to_pylist() for c in (pa.StructArray.from_arrays(batch.columns[: len(keys)], names=batch.schema.names[: len(keys)]), *batch.columns[len(keys) :]))
+            for i, a in enumerate(X.read_pngs(files)):
+                for f, v in zip(functions, values, strict=True):
                     if a is not None:
-                        a = f(a, *(batch.column(len(keys) + 1 + k)[i].as_py() or {}).values())
-                own = [batch.column(j)[i].as_py() for j in range(len(keys))]
+                        a = f(a, *(v[i] or {}).values())
                 made = [None] * 3 if a is None else [a.shape[1], a.shape[0], np.ascontiguousarray(a).tobytes()]
                 made += [None if a is None else X.tensor(a).ravel()] * with_tensor
-                yield own + made, 0 if a is None else a.size * (1 + 4 * with_tensor)
+                yield [*own[i].values(), *made], 0 if a is None else a.size * (1 + 4 * with_tensor)
 
         for batch in batches:
             kinds = [batch.schema.field(j) for j in range(len(keys))] + [pa.field("width", pa.int32()), pa.field("height", pa.int32()), pa.field("pixels", pa.binary())]
-            yield from _in_batches(rows(batch), pa.schema(kinds + [pa.field("tensor", pa.list_(pa.float32()))] * with_tensor))
+            schema = pa.schema(kinds + [pa.field("tensor", pa.list_(pa.float32()))] * with_tensor)
+            for part in _of_bytes(batch, batch.column(len(keys))):
+                yield from _in_batches(rows(part), schema)
 
     out = chosen.mapInArrow(run, T.StructType([*chosen.schema.fields[: len(keys)], *fields]))
     return out.select(*(F.col(f"k_{i}").alias(k) for i, k in enumerate(keys)), *(f.name for f in fields))
@@ -70,16 +86,17 @@ def painted(boxes: DataFrame, key: str, width: int, height: int, colours: Sequen
     """(key, content): a PNG for each key with its boxes (x0, y0, x1, y1 in pixels, colour, and place, by which later ones cover others) on white."""
     listed = boxes.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("place", "x0", "y0", "x1", "y1", "colour"))).alias("boxes"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(batch: pa.RecordBatch) -> Iterator[tuple[list, int]]:
-            for k, own in zip(batch.column(0), batch.column(1), strict=True):
-                a = np.full((height, width, 3), 255, np.uint8)
-                for b in own.as_py():
-                    a[b["y0"] : b["y1"], b["x0"] : b["x1"]] = colours[b["colour"]]
-                yield [k.as_py(), X.write_png(a)], a.size
+    # Place 0 is the white ground.
+    palette, most = np.array([(255, 255, 255), *colours], np.uint8), max(BATCH_BYTES // (height * width * 3), 1)
 
-        for batch in batches:
-            yield from _in_batches(rows(batch), pa.schema([batch.schema.field(0), pa.field("content", pa.binary())]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, most) for b in batches for i in range(0, b.num_rows, most)):
+            a = np.zeros((batch.num_rows, height, width), np.int16)
+            own, b = batch.column(1), batch.column(1).flatten()
+            at = np.repeat(np.arange(batch.num_rows), own.value_lengths().to_numpy()).tolist()
+            for i, x0, y0, x1, y1, colour in zip(at, *(b.field(n).to_pylist() for n in ("x0", "y0", "x1", "y1", "colour")), strict=True):
+                a[i, y0:y1, x0:x1] = colour + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(X.write_pngs(palette[a]), pa.binary())], schema=pa.schema([batch.schema.field(0), pa.field("content", pa.binary())]))
 
     return listed.mapInArrow(run, T.StructType([listed.schema[0], T.StructField("content", T.BinaryType())]))
 
