@@ -19,6 +19,8 @@ from boxframe.storage import written
 
 #: Cells of a level have sides of two to its power; those of the last one are a whole image.
 FINEST, COARSEST = -8, 0
+#: Boxes of both sides up to which an image, or what else pairs are made in, is a single cell.
+FEW = 64
 
 
 def _cell(value: Column, level: Column) -> Column:
@@ -27,8 +29,8 @@ def _cell(value: Column, level: Column) -> Column:
     return F.floor(F.least(F.greatest(value * scale, -scale), 2 * scale)).cast("int")
 
 
-def _in_cells(df: DataFrame, box: str, level: str) -> DataFrame:
-    """Rows of ``df`` in the cells of their own level (cells as large as the box) and of all coarser ones.
+def _in_cells(df: DataFrame, box: str, level: str, many: Column) -> DataFrame:
+    """Rows of ``df`` in the cells of their own level (cells as large as the box) and of all coarser ones; of the coarsest alone, if there aren't ``many``.
 
     A box has up to four cells at a level. Boxes without corners, or with
     corners in the wrong order, overlap nothing and have no cells.
@@ -39,7 +41,8 @@ def _in_cells(df: DataFrame, box: str, level: str) -> DataFrame:
     for c in corners:
         real = real & c.isNotNull() & ~F.isnan(c.cast("double"))
     side = F.greatest(b["x2"] - b["x1"], b["y2"] - b["y1"])
-    own = F.least(F.greatest(F.ceil(F.log2(F.when(side > 0, side))), F.lit(FINEST)), F.lit(COARSEST)).cast("int")
+    own = F.least(F.greatest(F.ceil(F.log2(F.when(side > 0, side))), F.lit(FINEST)), F.lit(COARSEST))
+    own = F.when(many, own).otherwise(F.lit(COARSEST)).cast("int")
 
     def at(n: Column) -> Column:
         across, down = (F.sequence(_cell(b[f"{c}1"], n), _cell(b[f"{c}2"], n)) for c in "xy")
@@ -50,17 +53,28 @@ def _in_cells(df: DataFrame, box: str, level: str) -> DataFrame:
     return placed.withColumn("__cell", F.explode(cells)).withColumns({"__n": F.col("__cell.n"), "__x": F.col("__cell.x"), "__y": F.col("__cell.y")}).drop("__cell")
 
 
-def overlapping(left: DataFrame, right: DataFrame, by: Sequence[str], a: str = "a", b: str = "b") -> DataFrame:
+def _crowded(by: Sequence[str], *sides: DataFrame, n: Column | None = None) -> DataFrame:
+    """(by, __many): groups with more than ``FEW`` boxes; ``n`` is how many a row has, if not one."""
+    rows = [side.select(*by, (F.lit(1) if n is None else n).alias("__k")) for side in sides]
+    return rows[0].unionByName(rows[1]).groupBy(*by).agg(F.sum("__k").alias("__many")).filter(F.col("__many") > FEW)
+
+
+def overlapping(left: DataFrame, right: DataFrame, by: Sequence[str], a: str = "a", b: str = "b", crowded: DataFrame | None = None) -> DataFrame:
     """Each pair of rows with equal ``by`` whose boxes (struct columns ``a`` and ``b``) share a point, once.
 
     Other columns of the two sides have names of their own. A pair meets at
     the level of its larger box, in the one cell with the corner of what the
     boxes share. So a pair isn't made twice, and rows are shuffled by cell:
-    many tasks share an image. Boxes are best normalised by their image;
+    many tasks share an image, unless it has ``FEW`` boxes, when each of them
+    is one row in the coarsest cell and not one in each level's. Whoever has
+    counted the boxes before they were rows gives the ``crowded`` groups. Boxes are best normalised by their image;
     others are right but meet in fewer cells. Many boxes at one and the same
     place overlap each other, and are paired in one task.
     """
-    pairs = _in_cells(left, a, "__la").join(_in_cells(right, b, "__lb"), [*by, "__n", "__x", "__y"])
+    crowded = _crowded(by, left, right) if crowded is None else crowded
+    left, right = (side.join(crowded, list(by), "left") for side in (left, right))
+    many = F.col("__many").isNotNull()
+    pairs = _in_cells(left, a, "__la", many).drop("__many").join(_in_cells(right, b, "__lb", many).drop("__many"), [*by, "__n", "__x", "__y"])
     p, q = F.col(a), F.col(b)
     corner = {c: F.greatest(p[f"{c}1"], q[f"{c}1"]) for c in "xy"}
     once = F.greatest("__la", "__lb") == F.col("__n")
@@ -103,7 +117,7 @@ def equal_pairs(left: DataFrame, right: DataFrame, image: Sequence[str], mode: s
     l, r = (side.select(*image, F.col("rxn_id").alias(n), prepared(F.col("boxes"), kept=kept, **MODES[mode]).alias("q")).withColumn("look", _looked_at(F.col("q"))) for side, n in ((left, "l"), (right, "r")))
     a = l.select(*image, "l", F.size("look").alias("n"), "q", F.explode("look").alias("at")).select(*image, "l", "n", "at.role", F.col("at.place").alias("lp"), F.get("q.boxes", F.col("at.place").cast("int")).alias("a"))
     b = r.select(*image, "r", F.posexplode("q.boxes").alias("rp", "b"))
-    pairs = overlapping(a, b, image)
+    pairs = overlapping(a, b, image, crowded=_crowded(image, left, right, n=F.size("boxes")))
     if earlier:
         pairs = pairs.filter("l < r")
     score = overlap(F.col("a"), F.col("b"), digits=digits)

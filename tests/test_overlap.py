@@ -155,3 +155,15 @@ def test_one_image_of_five_thousand_reactions(many):
     df = many.createDataFrame(rows, f"image int, rxn_id long, boxes array<{BOX}>")
     got, want = (sorted(r.rxn_id for r in m.kept_reactions(df, ["image"], digits=9).collect()) for m in (overlap, dedup))
     assert got == want and 90 < len(got) < 250
+
+
+def test_boxes_of_small_images_are_one_row(spark):
+    """Few boxes meet in a single cell, whatever their size; many in cells of their own level and the coarser ones."""
+    from boxframe.operators import overlap
+
+    box = F.expr("named_struct('x1', 0.1d, 'y1', 0.1d, 'x2', 0.11d, 'y2', 0.11d)")
+    rows = spark.range(1).select(box.alias("b"))
+    assert overlap._in_cells(rows, "b", "l", F.lit(False)).count() == 1
+    assert overlap._in_cells(rows, "b", "l", F.lit(True)).count() > 6
+    few, many = (spark.range(n).select(F.lit(n).alias("image"), "id") for n in (overlap.FEW // 2, overlap.FEW))
+    assert [r.image for r in overlap._crowded(["image"], few, few).unionByName(overlap._crowded(["image"], many, many)).collect()] == [overlap.FEW]
