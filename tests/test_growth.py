@@ -1,3 +1,9 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from boxframe.functions import grammar, tokens
 from boxframe.plans import registry
 
 
@@ -5,3 +11,22 @@ def test_places_are_told_apart_before_they_grow(spark, sf_dir):
     """Eight rows a place come after the shuffle, not before."""
     plan = registry.QUERIES["sine_position"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert 0 <= plan.index("Generate posexplode") < plan.index("Aggregate")
+
+
+@pytest.mark.parametrize("pix2seq", [True, False])
+def test_tables_of_the_grammar(spark, pix2seq):
+    """The fold over numbers says of each state and token what the plain rule does, and remembers no array that grows."""
+    v = tokens.Vocabulary.of(pix2seq)
+    said = [*v.ids.values(), v.first, v.first + v.bins - 1, v.size - 1, v.size, -1, 2**40]
+    df = spark.createDataFrame([(s, t) for s in grammar.STATES for t in said], "s string, t long")
+    kind = {r.t: r.k for r in df.select("t", grammar._kind(v, F.col("t")).alias("k")).distinct().collect()}
+    for r in df.withColumn("ok", grammar.allowed(v, F.col("s"), F.col("t"))).collect():
+        assert r.ok == grammar._allowed(r.s, kind[r.t]), (r.s, r.t)
+    rng = random.Random(4)
+    rows = spark.createDataFrame([(i, [rng.choice(said) for _ in range(i)]) for i in range(30)], "i long, tokens array<long>")
+    got = rows.select("tokens", grammar.states(v, F.col("tokens")).alias("states"), grammar.allowed_each(v, F.col("tokens")).alias("ok"))
+    each = got.select("tokens", "states", "ok", F.zip_with("tokens", F.concat(F.array(F.lit(grammar.START)), F.slice("states", F.lit(1), F.greatest(F.size("states") - 1, F.lit(0)))), lambda t, s: grammar.allowed(v, s, t)).alias("plain"))
+    for r in each.collect():
+        assert len(r.states) == len(r.tokens) and r.ok == "".join(str(int(x)) for x in r.plain[: len(r.tokens)])
+    plan = registry.QUERIES["fsm_allowed"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring_index" not in plan
