@@ -144,8 +144,7 @@ def score_table(spark, d, pred=P.pred):
 
 
 def eval_images(spark, d, pred=P.pred):
-    flags = matching.hits(P.gold(spark, d), pred(spark, d), ["image_id"], P.DIGITS, ("exact",))
-    return metrics.per_image(flags, P.image(spark, d).select("image_id"), ["image_id"], "exact")
+    return _counts(spark, d, "exact", pred).select("image_id", *metrics.NUMBERS)
 
 
 def dedup_boxes(spark, d):

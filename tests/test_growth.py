@@ -30,3 +30,10 @@ def test_tables_of_the_grammar(spark, pix2seq):
         assert len(r.states) == len(r.tokens) and r.ok == "".join(str(int(x)) for x in r.plain[: len(r.tokens)])
     plan = registry.QUERIES["fsm_allowed"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "substring_index" not in plan
+
+
+@pytest.mark.parametrize("name", ["eval_images", "eval_images_deduplicated"])
+def test_images_are_counted_in_one_row(spark, sf_dir, name):
+    """Gold and predicted boxes are numbered once each, and no row is made for a pair of reactions."""
+    plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [row_number") == 2 and "inline" not in plan
