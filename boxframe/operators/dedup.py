@@ -48,11 +48,16 @@ def kept_reactions(rxns: DataFrame, image: list[str], with_kept: bool = False, d
     if an earlier one that stays equals it (that one on the left). Pairs meet
     within their image only; the fold is over the image's array of reactions.
     """
-    kept = F.col("kept") if with_kept else None
     columns = ["rxn_id", "boxes", *(["kept"] if with_kept else [])]
-    whole = has_role(F.col("boxes"), REACTANT, kept) & has_role(F.col("boxes"), PRODUCT, kept)
-    ready = rxns.select(*image, F.struct(*columns, whole.alias("whole"), prepared(F.col("boxes"), kept=kept).alias("q")).alias("r"))
-    images = ready.groupBy(*image).agg(F.sort_array(F.collect_list("r")).alias("all"))
+    images = rxns.select(*image, F.struct(*columns).alias("r")).groupBy(*image).agg(F.sort_array(F.collect_list("r")).alias("all"))
+
+    def ready(r: Column) -> Column:
+        own = r["kept"] if with_kept else None
+        whole = has_role(r["boxes"], REACTANT, own) & has_role(r["boxes"], PRODUCT, own)
+        return F.struct(*(r[c].alias(c) for c in columns), whole.alias("whole"), prepared(r["boxes"], kept=own).alias("q"))
+
+    # What a comparison needs is worked out behind the shuffle: it's larger than the boxes.
+    images = images.withColumn("all", F.transform("all", ready))
 
     def step(stay: Column, i: Column) -> Column:
         r = F.get("all", i)

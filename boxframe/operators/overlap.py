@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boxframe.operators import dedup
 from boxframe.operators.dedup import has_role, kept_boxes
 from boxframe.operators.matching import MODES, equal, overlap, prepared
 from boxframe.schemas import MATCH_IOU, PRODUCT, REACTANT
@@ -135,7 +136,35 @@ def hits(gold: DataFrame, pred: DataFrame, image: Sequence[str], mode: str = "ex
     return every.join(flagged, [*image, "side", "rxn_id"], "left").select(*image, "side", "rxn_id", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
+def _by_crowd(rxns: DataFrame, image: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
+    """``rxns`` of images with up to ``FEW`` boxes, and those of the others, if there are any; images without a key are among these."""
+    table = written(rxns, "reactions")
+    unknown = F.lit(False)
+    for c in image:
+        unknown = unknown | F.col(c).isNull()
+    crowded = table.groupBy(*image).agg(F.sum(F.size("boxes")).alias("__n")).filter((F.col("__n") > FEW) | unknown)
+    crowded = written(crowded.select(*(F.col(c).alias(f"__{c}") for c in image)), "crowded")
+    if crowded.isEmpty():
+        return table, None
+    same = F.lit(True)
+    for c in image:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return table.join(crowded, same, "left_anti"), table.join(crowded, same, "left_semi")
+
+
 def kept_reactions(rxns: DataFrame, image: Sequence[str], with_kept: bool = False, digits: int | None = None) -> DataFrame:
+    """The rows that ``dedup.kept_reactions`` keeps, of images of any number of reactions.
+
+    Where an image has few boxes, that fold compares them in its row; cells and
+    rounds cost more than they have to find. All others go in rounds.
+    """
+    columns = ["rxn_id", "boxes", *(["kept"] if with_kept else [])]
+    few, many = _by_crowd(rxns.select(*image, *columns), image)
+    done = dedup.kept_reactions(few, list(image), with_kept, digits)
+    return done if many is None else done.unionByName(_kept_in_rounds(many, image, with_kept, digits))
+
+
+def _kept_in_rounds(rxns: DataFrame, image: Sequence[str], with_kept: bool = False, digits: int | None = None) -> DataFrame:
     """The rows that ``dedup.kept_reactions`` keeps, found in rounds over pairs of equal reactions.
 
     rxn_id is unique in its image. In a round, reactions that no undecided
@@ -170,6 +199,10 @@ def kept_reactions(rxns: DataFrame, image: Sequence[str], with_kept: bool = Fals
 
 
 def postprocess(rxns: DataFrame, image: Sequence[str], digits: int | None = None) -> DataFrame:
-    """``dedup.postprocess`` in rounds."""
-    once = kept_reactions(rxns, image, digits=digits)
-    return kept_reactions(once.withColumn("kept", kept_boxes(F.col("boxes"), digits)), image, with_kept=True, digits=digits)
+    """``dedup.postprocess``, of images of any number of reactions as ``kept_reactions``."""
+    few, many = _by_crowd(rxns.select(*image, "rxn_id", "boxes"), image)
+    done = dedup.postprocess(few, list(image), digits)
+    if many is None:
+        return done
+    once = _kept_in_rounds(many, image, digits=digits)
+    return done.unionByName(_kept_in_rounds(once.withColumn("kept", kept_boxes(F.col("boxes"), digits)), image, with_kept=True, digits=digits))

@@ -167,3 +167,28 @@ def test_boxes_of_small_images_are_one_row(spark):
     assert overlap._in_cells(rows, "b", "l", F.lit(True)).count() > 6
     few, many = (spark.range(n).select(F.lit(n).alias("image"), "id") for n in (overlap.FEW // 2, overlap.FEW))
     assert [r.image for r in overlap._crowded(["image"], few, few).unionByName(overlap._crowded(["image"], many, many)).collect()] == [overlap.FEW]
+
+
+def test_images_of_few_boxes_need_no_cells(many, monkeypatch):
+    """Only crowded images, and rows without an image, go by cells and rounds."""
+    rng = random.Random(41)
+    rows = [(image, i, r) for image, n in enumerate([9, 5, 1, 12]) for i, r in reactions(rng, n, 2)]
+    df = many.createDataFrame(rows, f"image int, rxn_id long, boxes array<{BOX}>")
+    want, asked = kept(df, dedup), []
+    rounds = overlap._kept_in_rounds
+    monkeypatch.setattr(overlap, "_kept_in_rounds", lambda rxns, *a, **k: asked.append(sorted({r.image for r in rxns.select("image").collect()}, key=str)) or rounds(rxns, *a, **k))
+    assert kept(df, overlap) == want and not asked
+    crowd = [(7, i, r) for i, r in reactions(rng, 30, 3)]
+    both = many.createDataFrame([*rows, *crowd, (None, 1, crowd[0][2]), (None, 2, crowd[0][2])], df.schema)
+    got = overlap.postprocess(both, ["image"], 9).collect()
+    assert sorted(tuple(r) for r in got if r.image is not None) == kept(both.filter("image is not null"), dedup)[1]
+    assert asked == [[7, None]] * 2 and [r.rxn_id for r in got if r.image is None] == [1]
+
+
+def test_a_long_chain_takes_rounds(many):
+    rows = [(0, i, [(0, 0, 1, 0.02 * i, 0.0, 0.02 * i + 0.07, 0.1), (2, 1, 1, 0.02 * i, 0.5, 0.02 * i + 0.07, 0.6)]) for i in range(overlap.FEW)]
+    df = many.createDataFrame(rows, f"image int, rxn_id long, boxes array<{BOX}>")
+    left = overlap._by_crowd(df, ["image"])[1]
+    assert left is not None and left.count() == overlap.FEW
+    got = sorted(r.rxn_id for r in overlap.kept_reactions(df, ["image"], digits=9).collect())
+    assert got == list(range(0, overlap.FEW, 2))
