@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from boxframe.functions.draws import Draws, whole
 from boxframe.functions.geometry import Box
+from boxframe.functions.ranges import covered
 from boxframe.functions.tokens import Vocabulary, box_tokens
 from boxframe.schemas import PRODUCT, REACTANT, ROLES
 
@@ -59,13 +60,6 @@ def filled(images: DataFrame, v: Vocabulary, key: str, seed: int, parts: int, mo
     return rows.mapInArrow(work, f"`{key}` {kind}, noise int, n int, said string, wanted string")
 
 
-def _covered(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each range of ``n`` places from ``first``: the range's number, the place, and how far in it is."""
-    which = np.repeat(np.arange(len(n)), n)
-    far = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-    return which, first[which] + far, far
-
-
 class _Images:
     """A batch's boxes by image, and its reactions by role."""
 
@@ -95,7 +89,7 @@ class _Images:
 
     def roles(self, reaction: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Number in ``reaction``, role, place in the role, and box of each of these reactions' boxes."""
-        which, at, far = _covered(self.start[reaction].ravel(), self.count[reaction].ravel())
+        which, at, far = covered(self.start[reaction].ravel(), self.count[reaction].ravel())
         return which // len(ROLES), which % len(ROLES), far, self.listed[at]
 
     def drawn(self, image: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,7 +102,7 @@ class _Images:
 
         # Of boxes drawn anew: how many in each role, and these.
         counts = self.whole(np.tile(image[anew], 3), np.tile(k[anew], 3), np.repeat([name[f"n:{r}"] for r in "rcp"], len(anew)), np.repeat(_LEAST, len(anew)), _MOST)
-        which, _, far = _covered(np.zeros(len(counts), np.int64), counts)
+        which, _, far = covered(np.zeros(len(counts), np.int64), counts)
         part, role = anew[which % max(1, len(anew))], which // max(1, len(anew))
         box = self.whole(image[part], k[part], name["r:0"] + role * _MOST + far, 0, last[part])
         out.append((part, role, self.first[image[part]] + box))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxframe.operators import dedup
+from boxframe.operators import batches
 from boxframe.operators.dedup import has_role, kept_boxes
 from boxframe.operators.matching import MODES, equal, overlap, prepared
 from boxframe.schemas import MATCH_IOU, PRODUCT, REACTANT
@@ -155,12 +155,12 @@ def _by_crowd(rxns: DataFrame, image: Sequence[str]) -> tuple[DataFrame, DataFra
 def kept_reactions(rxns: DataFrame, image: Sequence[str], with_kept: bool = False, digits: int | None = None) -> DataFrame:
     """The rows that ``dedup.kept_reactions`` keeps, of images of any number of reactions.
 
-    Where an image has few boxes, that fold compares them in its row; cells and
+    Where an image has few boxes, ``batches`` compares them in its row; cells and
     rounds cost more than they have to find. All others go in rounds.
     """
     columns = ["rxn_id", "boxes", *(["kept"] if with_kept else [])]
     few, many = _by_crowd(rxns.select(*image, *columns), image)
-    done = dedup.kept_reactions(few, list(image), with_kept, digits)
+    done = batches.kept_reactions(few, image, with_kept, digits)
     return done if many is None else done.unionByName(_kept_in_rounds(many, image, with_kept, digits))
 
 
@@ -201,7 +201,7 @@ def _kept_in_rounds(rxns: DataFrame, image: Sequence[str], with_kept: bool = Fal
 def postprocess(rxns: DataFrame, image: Sequence[str], digits: int | None = None) -> DataFrame:
     """``dedup.postprocess``, of images of any number of reactions as ``kept_reactions``."""
     few, many = _by_crowd(rxns.select(*image, "rxn_id", "boxes"), image)
-    done = dedup.postprocess(few, list(image), digits)
+    done = batches.postprocess(few, image, digits)
     if many is None:
         return done
     once = _kept_in_rounds(many, image, digits=digits)
